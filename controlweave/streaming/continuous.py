@@ -20,11 +20,16 @@ from controlweave.sources.catalog import Catalog
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet folder (or file) as a stream, with the schema it has now."""
+    """A Parquet folder or a single file as a stream, with the schema it has now.
+
+    A file source takes its path for a folder unless it is a pattern, hence the
+    pattern that matches exactly this name.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{folder}/{{{name}}}")
 
 
 def row_exception_stream(control: Control, catalog: Catalog, lenient: bool = False) -> DataFrame:
