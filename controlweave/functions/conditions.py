@@ -29,11 +29,13 @@ def quoted(name: str) -> Column:
 
 
 def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(operator.and_, conditions, F.lit(True))
+    found = list(conditions)
+    return reduce(operator.and_, found) if found else F.lit(True)
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(operator.or_, conditions, F.lit(False))
+    found = list(conditions)
+    return reduce(operator.or_, found) if found else F.lit(False)
 
 
 def is_exception(condition: Column) -> Column:
@@ -46,6 +48,11 @@ def folded(column: Column) -> Column:
     return F.trim(F.upper(column.cast("string")))
 
 
+def sql_text(value: str) -> str:
+    """A string literal for a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal(value, data_type: T.DataType | None) -> Column:
     """A literal in the column's own type, so comparisons reach the scan uncast."""
     if isinstance(value, (datetime, date)):

@@ -14,15 +14,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from controlweave.functions.conditions import all_of, any_of, is_exception
+from controlweave.functions.conditions import all_of, any_of, is_exception, sql_text
 from controlweave.operators.groups import fails, grain, metric
 from controlweave.operators.population import Joined, build_joined, build_population, population_filters
 from controlweave.operators.rules import compliant, with_references
 from controlweave.operators.sampling import sample
 from controlweave.plans.spec import FILTERS, Control, Referential
 
-# Generated code grows with the number of aggregates; more are split over jobs.
-PREDICATES_PER_JOB = 100
+# Generated code grows with the number of aggregates and beyond this many is no
+# longer compiled by the JVM; more predicates are split over several aggregations,
+# which share the shuffles below them.
+PREDICATES_PER_JOB = 32
+# Up to this many different filters are offered to the scan as one disjunction.
+FILTERS_TO_SCAN = 16
 
 METRICS = (
     "total_population",
@@ -45,34 +49,41 @@ def sharing_key(control: Control) -> tuple:
 
 @dataclass(frozen=True)
 class Member:
-    """One control inside a shared scan."""
+    """One control inside a shared scan and the rows it covers; members with equal
+    ``filters`` cover the same rows."""
 
     control: Control
-    filters: list[Column]
+    covered: Column
+    filters: tuple = ()
 
-    @property
-    def covered(self) -> Column:
-        return all_of(self.filters)
+
+def members_of(controls: list[Control], joined: Joined, lenient: bool) -> list[Member]:
+    built: dict[tuple, Column] = {}
+    out = []
+    for control in controls:
+        key = tuple(s.action for s in control.steps if isinstance(s.action, FILTERS))
+        if key not in built:
+            built[key] = all_of(population_filters(control, joined.lineage, lenient))
+        out.append(Member(control, built[key], key))
+    return out
 
 
 def relevant(frame: DataFrame, members: list[Member]) -> DataFrame:
     """Rows some member covers, so selective filters still reach the scan."""
-    if all(m.filters for m in members):
-        return frame.filter(any_of(m.covered for m in members))
+    distinct = {m.filters: m.covered for m in members}
+    if all(distinct) and len(distinct) <= FILTERS_TO_SCAN:
+        return frame.filter(any_of(distinct.values()))
     return frame
 
 
-def long_rows(wide: DataFrame, rows: list[dict[str, Column]], ids: list[str]) -> DataFrame:
-    """One line per control out of one wide aggregate row."""
-    zero = F.lit(0).cast("long")
-    structs = [
-        F.struct(
-            F.lit(control_id).alias("control_id"),
-            *[row.get(m, zero).cast("long").alias(m) for m in METRICS],
-        )
+def long_rows(wide: DataFrame, rows: list[dict[str, str]], ids: list[str]) -> DataFrame:
+    """One line per control out of one wide aggregate row; ``rows`` name its columns."""
+    cells = [
+        ", ".join([sql_text(control_id), *(f"cast({row.get(m, 0)} as bigint)" for m in METRICS)])
         for control_id, row in zip(ids, rows)
     ]
-    return wide.select(F.inline(F.array(*structs)))
+    names = ", ".join(["control_id", *METRICS])
+    return wide.selectExpr(f"stack({len(ids)}, {', '.join(cells)}) as ({names})")
 
 
 def chunks(members: list[Member], weight) -> list[list[Member]]:
@@ -91,20 +102,16 @@ def row_metrics(joined: Joined, members: list[Member], catalog, lenient: bool) -
     """Population and exceptions of every member, in one aggregate over one scan."""
     rules = [r for m in members for r in m.control.row_assertions]
     marked = with_references(joined, list(dict.fromkeys(rules)), catalog)
+    populations: dict[tuple, str] = {}  # controls with equal filters share one count
     aggregates, rows = [], []
     for i, m in enumerate(members):
+        if m.filters not in populations:
+            populations[m.filters] = f"p{i}"
+            aggregates.append(F.count_if(m.covered).alias(f"p{i}"))
         broken = any_of(is_exception(compliant(r, marked.lineage, lenient)) for r in m.control.row_assertions)
-        aggregates += [
-            F.count_if(m.covered).alias(f"p{i}"),
-            F.count_if(m.covered & broken).alias(f"e{i}"),
-        ]
-        rows.append(
-            {
-                "total_population": F.col(f"p{i}"),
-                "sampled_population": F.col(f"p{i}"),
-                "row_exceptions": F.col(f"e{i}"),
-            }
-        )
+        aggregates.append(F.count_if(m.covered & broken).alias(f"e{i}"))
+        size = populations[m.filters]
+        rows.append({"total_population": size, "sampled_population": size, "row_exceptions": f"e{i}"})
     wide = relevant(marked.frame, members).agg(*aggregates)
     return long_rows(wide, rows, [m.control.control_id for m in members])
 
@@ -130,9 +137,9 @@ def group_metrics(joined: Joined, uses: list[tuple[Member, object, bool]]) -> Da
             F.count_if(present).alias(f"g{i}"),
             F.count_if(present & fails(rule, F.col(f"m{i}"))).alias(f"f{i}"),
         ]
-        row = {"failing_groups": F.col(f"f{i}"), "group_population": F.col(f"g{i}")}
+        row = {"failing_groups": f"f{i}", "group_population": f"g{i}"}
         if counting:
-            row["total_population"] = row["sampled_population"] = F.col(f"p{i}")
+            row["total_population"] = row["sampled_population"] = f"p{i}"
         rows.append(row)
     wide = relevant(joined.frame, members).groupBy(*keys).agg(*per_group).agg(*totals)
     return long_rows(wide, rows, [m.control.control_id for m, _, _ in uses])
@@ -142,10 +149,10 @@ def sampled_metrics(control: Control, catalog, lenient: bool) -> list[DataFrame]
     """A sampled control: its rows are tested on the sample, its groups on all rows."""
     joined = build_population(control, catalog, lenient)
     picked = sample(joined, control.sampling, catalog)
-    everything, tested = Member(control, []), Member(control, [])
+    everything = Member(control, F.lit(True))
     full = joined.frame.agg(F.count(F.lit(1)).alias("n"))
-    parts = [long_rows(full, [{"total_population": F.col("n")}], [control.control_id])]
-    on_sample = row_metrics(picked, [tested], catalog, lenient)
+    parts = [long_rows(full, [{"total_population": "n"}], [control.control_id])]
+    on_sample = row_metrics(picked, [everything], catalog, lenient)
     parts.append(on_sample.withColumn("total_population", F.lit(0).cast("long")))
     for rule in control.group_assertions:
         parts.append(group_metrics(joined, [(everything, rule, False)]))
@@ -163,7 +170,7 @@ def metric_parts(controls: list[Control], catalog, lenient: bool = False) -> lis
             shared[sharing_key(control)].append(control)
     for together in shared.values():
         joined = build_joined(together[0], catalog)
-        members = [Member(c, population_filters(c, joined.lineage, lenient)) for c in together]
+        members = members_of(together, joined, lenient)
         by_rows = [m for m in members if m.control.row_assertions or not m.control.group_assertions]
         for chunk in chunks(by_rows, lambda m: len(m.control.row_assertions)):
             parts.append(row_metrics(joined, chunk, catalog, lenient))

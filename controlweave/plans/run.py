@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from controlweave.functions.conditions import quoted
+from controlweave.functions.conditions import quoted, sql_text
 from controlweave.operators.groups import failing_groups, groups_failing_all
 from controlweave.operators.population import Joined, build_population
 from controlweave.operators.rules import broken_rules, compliant, row_exceptions, with_references
@@ -119,9 +119,8 @@ def percent(part: Column, whole: Column) -> Column:
 
 def judged(counts: DataFrame, controls: list[Control]) -> DataFrame:
     """Verdict columns from counts: at most the threshold passes, no rows is an error."""
-    thresholds = F.create_map(
-        *[x for c in controls for x in (F.lit(c.control_id), F.lit(c.threshold))]
-    )
+    pairs = dict.fromkeys((c.control_id, c.threshold) for c in controls)
+    thresholds = F.expr("map(" + ", ".join(f"{sql_text(i)}, {t!r}D" for i, t in pairs) + ")")
     found = F.col("row_exceptions") + F.col("failing_groups")
     rate = percent(found, F.col("sampled_population"))
     limit = F.element_at(thresholds, F.col("control_id"))
