@@ -6,6 +6,7 @@ from controlweave.plans.run import (
     exceptions,
     population,
     report,
+    run_control,
     run_controls,
     schema_drift,
 )
@@ -21,6 +22,7 @@ __all__ = [
     "exceptions",
     "population",
     "report",
+    "run_control",
     "run_controls",
     "schema_drift",
 ]

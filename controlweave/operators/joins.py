@@ -1,4 +1,4 @@
-"""Equi joins that stay balanced when one key holds much of the right side."""
+"""Equi joins that stay balanced when one key holds much of either side."""
 
 from __future__ import annotations
 
@@ -11,89 +11,38 @@ from pyspark.sql.window import Window
 
 from controlweave.functions.conditions import quoted
 
-# A right side of at most this many rows fits any single task, however its keys
-# are spread; a larger one is checked for hot keys first.
+# A key of at most this many right rows fits any single task.
 SPLIT_ABOVE_ROWS = 10_000_000
-# A key is hot when it holds more than 1/HOT_KEYS of the right rows, so there are
-# always fewer than HOT_KEYS of them and the list is safe to broadcast.
-HOT_KEYS = 1_000
-SALTS = 64
 
 
 def key_condition(pairs: list[tuple[str, str]]) -> Column:
     return reduce(and_, [quoted(left) == quoted(right) for left, right in pairs])
 
 
-def hot_keys(right: DataFrame, keys: list[str], rows: int, as_names: list[str]) -> DataFrame:
-    """Keys holding more than ``rows / HOT_KEYS`` rows: fewer than HOT_KEYS rows."""
-    counted = right.groupBy(*[quoted(k).alias(n) for k, n in zip(keys, as_names)])
-    present = all_present(as_names)
-    return (
-        counted.agg(F.count(F.lit(1)).alias("_copies"))
-        .filter((F.col("_copies") > F.lit(rows / HOT_KEYS)) & present)
-        .drop("_copies")
-    )
-
-
-def all_present(names: list[str]) -> Column:
-    return reduce(and_, [quoted(n).isNotNull() for n in names])
-
-
 def equi_join(
     left: DataFrame,
     right: DataFrame,
     pairs: list[tuple[str, str]],
     how: str,
-    right_rows: int | None = None,
+    rows_per_key: int | None = None,
     split_above: int = SPLIT_ABOVE_ROWS,
 ) -> DataFrame:
     """``left`` or ``inner`` join on distinct column names.
 
-    Adaptive execution splits hot keys of the left side. It cannot split the
-    right side of an outer join, so when the right side is large its hot keys
-    are spread over salts here. A left row with a hot key surely matches, so an
-    unmatched salt of such a row is not a miss and is dropped again.
+    Adaptive execution splits a hot key of the left side in any join, but a hot
+    key of the right side only in an inner join. So where a key may hold very
+    many right rows (``rows_per_key`` bounds them), a left join is written as its
+    two halves: the matches, an inner join that can be split on both sides, and
+    the misses, an anti join with the distinct right keys, which have no hot key.
+    Both halves need the same shuffle of the left side, which Spark then reuses.
     """
-    if right_rows is None or right_rows <= split_above:
-        return left.join(right, key_condition(pairs), how)
-
-    left_keys = [p[0] for p in pairs]
-    right_keys = [p[1] for p in pairs]
-    hot_left = [f"_hot_left_{i}" for i in range(len(pairs))]
-    hot_right = [f"_hot_right_{i}" for i in range(len(pairs))]
-    left_cols, right_cols = left.columns, right.columns
-
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    salted_right = (
-        right.join(
-            F.broadcast(hot_keys(right, right_keys, right_rows, hot_right)),
-            key_condition(list(zip(right_keys, hot_right))),
-            "left",
-        )
-        .withColumn("_salt_right", F.when(quoted(hot_right[0]).isNotNull(), spread).otherwise(F.lit(0)))
-        .select(*[quoted(c) for c in right_cols], "_salt_right")
-    )
-    salted_left = (
-        left.join(
-            F.broadcast(hot_keys(right, right_keys, right_rows, hot_left)),
-            key_condition(list(zip(left_keys, hot_left))),
-            "left",
-        )
-        .withColumn("_is_hot", quoted(hot_left[0]).isNotNull())
-        .withColumn(
-            "_salt_left",
-            F.explode(
-                F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .select(*[quoted(c) for c in left_cols], "_is_hot", "_salt_left")
-    )
-    joined = salted_left.join(
-        salted_right, key_condition(pairs + [("_salt_left", "_salt_right")]), how
-    )
-    if how == "left":
-        joined = joined.filter(~(F.col("_is_hot") & F.col("_salt_right").isNull()))
-    return joined.select(*[quoted(c) for c in left_cols + right_cols])
+    condition = key_condition(pairs)
+    if how == "inner" or rows_per_key is None or rows_per_key <= split_above:
+        return left.join(right, condition, how)
+    keys = right.select(*[quoted(r) for _, r in pairs]).distinct()
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
+    misses = left.join(keys, condition, "left_anti").select(*[quoted(c) for c in left.columns], *absent)
+    return left.join(right, condition, "inner").unionByName(misses)
 
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

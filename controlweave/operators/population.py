@@ -59,10 +59,11 @@ def add_join(current: Joined, step_id: str, action: JoinLeft, catalog) -> Joined
     right = catalog.frame(action.right_dataset)
     right_lineage = Lineage.of(right, action.right_dataset)
     keys = [right_lineage.physical(k) for k in action.right_keys]
-    rows = catalog.rows_if_batch(action.right_dataset)
     if action.latest_by:
         right = latest_per_key(right, keys, [right_lineage.physical(c) for c in action.latest_by])
-        rows = 0  # one row per key: nothing to split
+        rows_per_key = 1
+    else:
+        rows_per_key = catalog.rows_per_key(action.right_dataset, keys)
 
     names: dict[str, str] = {}
     taken: set[str] = set()
@@ -81,7 +82,7 @@ def add_join(current: Joined, step_id: str, action: JoinLeft, catalog) -> Joined
     order = [c for c in right.columns if c not in keys] + list(dict.fromkeys(keys))
     renamed = right.select(*[quoted(c).alias(names[c]) for c in order])
     pairs = [(current.lineage.physical(l), names[k]) for l, k in zip(action.left_keys, keys)]
-    frame = equi_join(current.frame, renamed, pairs, action.join_type.lower(), rows)
+    frame = equi_join(current.frame, renamed, pairs, action.join_type.lower(), rows_per_key)
     types = {names[c]: right_lineage.types[c] for c in order}
     return Joined(frame, current.lineage.joined(types, names, (action.right_dataset, step_id)))
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from controlweave.functions.conditions import all_of, any_of, is_exception, sql_text
+from controlweave.functions.conditions import all_of, any_of, is_exception, quoted, sql_text
 from controlweave.operators.groups import fails, grain, metric
 from controlweave.operators.population import Joined, build_joined, build_population, population_filters
 from controlweave.operators.rules import compliant, with_references
@@ -145,6 +145,35 @@ def group_metrics(joined: Joined, uses: list[tuple[Member, object, bool]]) -> Da
     return long_rows(wide, rows, [m.control.control_id for m, _, _ in uses])
 
 
+def exception_rows(controls: list[Control], catalog, lenient: bool = False) -> DataFrame:
+    """Row exceptions of controls that share joined rows, all found in one pass.
+
+    Each row comes once per control it breaks, with that ``control_id`` and the ids
+    of the broken rules, so the frame can be written partitioned by control.
+    """
+    joined = build_joined(controls[0], catalog)
+    parts = [
+        _exception_rows(joined, chunk, catalog, lenient)
+        for chunk in chunks(members_of(controls, joined, lenient), lambda m: len(m.control.row_assertions))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _exception_rows(joined: Joined, members: list[Member], catalog, lenient: bool) -> DataFrame:
+    rules = list(dict.fromkeys(r for m in members for r in m.control.row_assertions))
+    marked = with_references(joined, rules, catalog)
+    breaks = []
+    for m in members:
+        broken = {r: is_exception(compliant(r, marked.lineage, lenient)) for r in m.control.row_assertions}
+        named = F.array_compact(F.array(*[F.when(x, F.lit(r.assertion_id)) for r, x in broken.items()]))
+        found = F.struct(F.lit(m.control.control_id).alias("control_id"), named.alias("failed_assertions"))
+        breaks.append(F.when(m.covered & any_of(broken.values()), found))
+    rows = relevant(marked.frame, members).withColumn("_break", F.explode(F.array_compact(F.array(*breaks))))
+    taken = ("control_id", "failed_assertions")
+    own = [quoted(c).alias(f"{c}_1" if c.lower() in taken else c) for c in joined.frame.columns]
+    return rows.select(*own, *[F.col(f"_break.{name}").alias(name) for name in taken])
+
+
 def sampled_metrics(control: Control, catalog, lenient: bool) -> list[DataFrame]:
     """A sampled control: its rows are tested on the sample, its groups on all rows."""
     joined = build_population(control, catalog, lenient)

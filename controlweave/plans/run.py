@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from functools import reduce
@@ -10,13 +11,14 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from controlweave.functions.conditions import quoted, sql_text
 from controlweave.operators.groups import failing_groups, groups_failing_all
 from controlweave.operators.population import Joined, build_population
 from controlweave.operators.rules import broken_rules, compliant, row_exceptions, with_references
 from controlweave.operators.sampling import sample
-from controlweave.plans.metrics import metrics, sharing_key
+from controlweave.plans.metrics import exception_rows, metrics, sharing_key
 from controlweave.plans.spec import Control, SpecError
 
 EMPTY_POPULATION = "The population holds no rows after its filters, so nothing can be attested."
@@ -103,11 +105,23 @@ def attribution_counts(control: Control, catalog, lenient: bool = False) -> Data
     return marked.frame.agg(*counts).select(F.inline(F.array(*lines)))
 
 
+def as_json(frame: DataFrame, names: list[str]) -> Column:
+    """A row as JSON: absent values and NaN are null, timestamps ISO text."""
+    types = {f.name: f.dataType for f in frame.schema.fields}
+
+    def finite(name: str) -> Column:
+        column = quoted(name)
+        if isinstance(types[name], (T.DoubleType, T.FloatType)):
+            column = F.when(~F.isnan(column), column)
+        return column.alias(name)
+
+    return F.to_json(F.struct(*[finite(n) for n in names]), {"ignoreNullFields": "false"}).alias("exception_json")
+
+
 def exceptions_sample(frame: DataFrame, order: list[str] | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The first exceptions in a fixed order, each as JSON (a distributed top-n)."""
-    keys = order or [f.name for f in frame.schema.fields]
-    top = frame.orderBy(*[quoted(k) for k in keys]).limit(rows)
-    return top.select(F.to_json(F.struct(*[quoted(c) for c in frame.columns])).alias("exception_json"))
+    top = frame.orderBy(*[quoted(k) for k in order or frame.columns]).limit(rows)
+    return top.select(as_json(top, frame.columns))
 
 
 # --- verdicts ---------------------------------------------------------------------
@@ -147,6 +161,11 @@ def report(controls: list[Control], catalog, lenient: bool = False) -> DataFrame
     return judged(metrics(controls, catalog, lenient), controls)
 
 
+def run_control(control: Control, catalog, lenient: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """One control: its report row and its exceptions, both lazy."""
+    return report([control], catalog, lenient), exceptions(control, catalog, lenient=lenient)
+
+
 # --- pre-flight checks --------------------------------------------------------------
 
 
@@ -250,59 +269,99 @@ def run_controls(
     """Run many controls and return their report rows, in the order given.
 
     Missing evidence gives SKIPPED, a control that does not bind or fails while
-    running gives ERROR. With ``exceptions_to`` every exception of a failing
-    control is written there; with ``ledger`` the reports are appended to it.
+    running gives ERROR. With ``exceptions_to`` every exception is written there,
+    partitioned by control; with ``ledger`` the reports are appended to it.
     """
     executed_at = executed_at or datetime.now(timezone.utc).replace(tzinfo=None)
     lines: dict[str, dict] = {}
-    runnable: dict[tuple, list[Control]] = {}
+    fed = []
     for control in controls:
         missing = [d for d in control.datasets if d not in catalog]
         if missing:
             message = f"no evidence for {', '.join(missing)}"
             lines[control.control_id] = failure(control, "SKIPPED", "MissingEvidence", message)
-            continue
-        valid, message = dry_run(control, catalog, lenient)
-        if not valid:
-            lines[control.control_id] = failure(control, "ERROR", message.split(":")[0], message)
-            continue
-        key = (control.control_id,) if control.is_sampled else sharing_key(control)
-        runnable.setdefault(key, []).append(control)
+        else:
+            fed.append(control)
 
+    runnable: dict[tuple, list[Control]] = {}
     with ThreadPoolExecutor(PARALLEL_JOBS) as pool:
+        for control, (valid, message) in zip(fed, pool.map(lambda c: dry_run(c, catalog, lenient), fed)):
+            if valid:
+                key = (control.control_id,) if control.is_sampled else sharing_key(control)
+                runnable.setdefault(key, []).append(control)
+            else:
+                lines[control.control_id] = failure(control, "ERROR", message.split(":")[0], message)
         for found in pool.map(lambda group: collect_reports(group, catalog, lenient), runnable.values()):
             lines.update({line["control_id"]: line for line in found})
 
     by_id = {c.control_id: c for c in controls}
-    samples: dict[str, str] = {}
-    for control_id, line in lines.items():
-        if line["verdict"] != "ERROR" and line.get("exception_count"):
+    failing = [by_id[i] for i, line in lines.items() if line["verdict"] != "ERROR" and line.get("exception_count")]
+    samples: list[DataFrame] = []
+    if exceptions_to or ledger is not None:
+        for name, frame in exception_tables(failing, catalog, lenient).items():
             if exceptions_to:
-                write_exceptions(by_id[control_id], catalog, exceptions_to, executed_at, lenient)
-            if ledger is not None:
-                samples[control_id] = sample_json(by_id[control_id], catalog, lenient)
+                path = f"{exceptions_to}/{name}/run={executed_at:%Y%m%dT%H%M%S%f}"
+                frame.write.mode("overwrite").partitionBy("control_id").parquet(path)
+                frame = spark.read.schema(frame.schema).parquet(path)
+            samples.append(samples_per_control(frame))
 
     ordered = [lines[c.control_id] for c in controls]
     rows = [tuple(line.get(f.name) for f in REPORT.fields) for line in ordered]
     reports = spark.createDataFrame(rows, REPORT)
     if ledger is not None:
-        ledger.append_executions(reports, by_id, catalog, samples, executed_at)
+        ledger.append_executions(reports, by_id, catalog, joined_samples(spark, samples), executed_at)
     return reports
 
 
-def write_exceptions(control: Control, catalog, folder: str, executed_at: datetime, lenient: bool) -> None:
-    """All exceptions, written by the executors: one folder per control, rule and run."""
-    run = executed_at.strftime("%Y%m%dT%H%M%S%f")
-    for name, frame in exceptions(control, catalog, lenient=lenient).items():
-        path = f"{folder}/control_id={control.control_id}/rule={name}/run={run}"
-        frame.write.mode("overwrite").parquet(path)
+def exception_tables(controls: list[Control], catalog, lenient: bool) -> dict[str, DataFrame]:
+    """Everything that breaks these controls, as few frames as possible.
+
+    Row exceptions of controls on the same joined rows come from one pass and form
+    one frame; each group rule has a frame of its own. All carry ``control_id``.
+    """
+    tables: dict[str, DataFrame] = {}
+    shared: dict[tuple, list[Control]] = {}
+    for control in controls:
+        if control.row_assertions and control.is_sampled:
+            found = attribution(control, catalog, lenient)
+            tables[f"{control.base_dataset}-sample-{control.control_id}"] = found.withColumn(
+                "control_id", F.lit(control.control_id)
+            )
+        elif control.row_assertions:
+            shared.setdefault(sharing_key(control), []).append(control)
+        for rule in control.group_assertions:
+            found = failing_groups(build_population(control, catalog, lenient), rule)
+            tables[f"{control.base_dataset}-groups-{control.control_id}-{rule.assertion_id}"] = found.withColumn(
+                "control_id", F.lit(control.control_id)
+            )
+    for key, together in shared.items():
+        digest = hashlib.md5(repr(key).encode()).hexdigest()[:8]
+        tables[f"{together[0].base_dataset}-rows-{digest}"] = exception_rows(together, catalog, lenient)
+    return tables
+
+
+def samples_per_control(frame: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The first exceptions of each control as JSON lines: at most ``rows`` per
+    control leave a task, whatever the number of exceptions."""
+    names = [c for c in frame.columns if c != "control_id"]
+    first = Window.partitionBy("control_id").orderBy(*[quoted(c) for c in names])
+    return (
+        frame.withColumn("_rank", F.row_number().over(first))
+        .filter(F.col("_rank") <= rows)
+        .select("control_id", "_rank", as_json(frame, names))
+    )
 
 
-def sample_json(control: Control, catalog, lenient: bool) -> str:
-    """At most SAMPLE_ROWS exceptions of each kind as one JSON list."""
-    parts = [exceptions_sample(f) for f in exceptions(control, catalog, lenient=lenient).values()]
-    rows = reduce(DataFrame.unionByName, parts).limit(SAMPLE_ROWS).collect()
-    return "[" + ",".join(r.exception_json for r in rows) + "]"
+def joined_samples(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """One JSON list per control, of at most SAMPLE_ROWS exceptions."""
+    if not parts:
+        return spark.createDataFrame([], "control_id string, exceptions_sample string")
+    lines = reduce(DataFrame.unionByName, parts)
+    ordered = F.array_sort(F.collect_list(F.struct("_rank", "exception_json")))["exception_json"]
+    few = F.slice(ordered, 1, SAMPLE_ROWS)
+    return lines.groupBy("control_id").agg(
+        F.concat(F.lit("["), F.array_join(few, ","), F.lit("]")).alias("exceptions_sample")
+    )
 
 
 def batch_summary(results: DataFrame, cached: Column | None = None) -> DataFrame:

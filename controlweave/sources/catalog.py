@@ -16,6 +16,7 @@ class Catalog:
         self._frames: dict[str, DataFrame] = {}
         self._rows: dict[str, int] = {}
         self._hashes: dict[str, str] = {}
+        self._unique: dict[str, frozenset] = {}
         self._may_count = True
         for alias, frame in (frames or {}).items():
             self.add(alias, frame)
@@ -38,9 +39,17 @@ class Catalog:
         return catalog
 
     def add(
-        self, alias: str, frame: DataFrame, rows: int | None = None, sha256_hash: str | None = None
+        self,
+        alias: str,
+        frame: DataFrame,
+        rows: int | None = None,
+        sha256_hash: str | None = None,
+        unique: tuple[str, ...] = (),
     ) -> Catalog:
+        """``unique`` names columns no two rows agree on, as a grouped frame has:
+        a join on them meets no hot key, so the frame need not be counted."""
         self._frames[alias] = frame
+        self._unique[alias] = frozenset(c.lower() for c in unique)
         if rows is not None:
             self._rows[alias] = rows
         if sha256_hash is not None:
@@ -59,9 +68,13 @@ class Catalog:
     def sha256_hash(self, alias: str) -> str | None:
         return self._hashes.get(alias)
 
-    def rows_if_batch(self, alias: str) -> int | None:
-        """Row count of a static dataset: from its manifest, else counted once
-        (for Parquet, from the file footers)."""
+    def rows_per_key(self, alias: str, keys: list[str]) -> int | None:
+        """Upper bound for the rows one join key can hold: 1 when the keys are
+        unique, else the dataset's row count, taken from its manifest or counted
+        once (for Parquet, from the file footers). None when it cannot be known."""
+        unique = self._unique.get(alias)
+        if unique and unique <= {k.lower() for k in keys}:
+            return 1
         frame = self._frames[alias]
         if alias not in self._rows and self._may_count and not frame.isStreaming:
             self._rows[alias] = frame.count()
@@ -71,5 +84,6 @@ class Catalog:
         """The same datasets, but building a plan on them starts no job."""
         view = Catalog()
         view._frames, view._rows, view._hashes = self._frames, self._rows, self._hashes
+        view._unique = self._unique
         view._may_count = False
         return view

@@ -62,23 +62,23 @@ class Ledger:
     def executions(self) -> DataFrame:
         return self._read("executions", EXECUTIONS)
 
-    def append_control(self, control: Control, approved_by: str, approved_at: datetime | None = None) -> None:
-        row = (
-            control.control_id,
-            control.to_json(),
-            control.governance.version,
-            control.governance.owner_role,
-            approved_by,
-            approved_at or now(),
-        )
-        self._append("controls", self.spark.createDataFrame([row], CONTROLS))
+    def append_controls(
+        self, controls: list[Control], approved_by: str, approved_at: datetime | None = None
+    ) -> None:
+        """Add approved versions; earlier versions stay."""
+        when = approved_at or now()
+        rows = [
+            (c.control_id, c.to_json(), c.governance.version, c.governance.owner_role, approved_by, when)
+            for c in controls
+        ]
+        self._append("controls", self.spark.createDataFrame(rows, CONTROLS))
 
     def append_manifests(self, manifests: list[dict]) -> None:
         frame = self.spark.createDataFrame(manifests, MANIFESTS)
         self._append("evidence_manifests", frame)
 
     def append_executions(
-        self, reports: DataFrame, controls: dict[str, Control], catalog, samples: dict, executed_at: datetime
+        self, reports: DataFrame, controls: dict[str, Control], catalog, samples: DataFrame, executed_at: datetime
     ) -> None:
         """Add report rows with the control, the evidence hashes and a sample of exceptions."""
         facts = [
@@ -87,19 +87,19 @@ class Ledger:
                 str(uuid.uuid4()),
                 c.to_json(),
                 {d: catalog.sha256_hash(d) for d in c.datasets if d in catalog},
-                samples.get(c.control_id),
             )
             for c in controls.values()
         ]
         details = self.spark.createDataFrame(
             facts,
             "control_id string, execution_id string, control_json string, "
-            "evidence_hashes map<string,string>, exceptions_sample string",
+            "evidence_hashes map<string,string>",
         )
         names = [part.split()[0] for part in EXECUTIONS.split(", ")]
         rows = (
             reports.filter(F.col("verdict").isin(*RECORDED_VERDICTS))
             .join(details, "control_id")
+            .join(samples, "control_id", "left")
             .withColumn("executed_at", F.lit(executed_at.isoformat(sep=" ")).cast("timestamp_ntz"))
             .select(*names)
         )

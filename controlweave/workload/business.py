@@ -40,7 +40,7 @@ def business(control_id, names, base, steps, rules, counts, derived=None) -> Que
     def run(spark, sf_dir):
         catalog = tables(spark, sf_dir, *names)
         for alias, build in (derived or {}).items():
-            catalog.add(alias, build(spark, sf_dir))
+            catalog.add(alias, build(spark, sf_dir), unique=UNIQUE.get(alias, ()))
         return verdicts([spec], catalog)
 
     return Query(run, report_sql(control_id, counts, threshold))
@@ -75,6 +75,8 @@ def reviews(spark, sf_dir):
     )
 
 
+UNIQUE = {"register": ("part", "supplier"), "watch_list": ("s_suppkey",), "roster": ("c_custkey",)}
+
 LATEST_ORDER = """(SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus,
   max(o_orderdate) AS o_orderdate FROM orders GROUP BY o_custkey)"""
 

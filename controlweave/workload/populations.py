@@ -101,7 +101,7 @@ def latest_orders(spark, sf_dir):
 
 
 def split_hot_join(spark, sf_dir):
-    """Orders beside their items, with hot order keys spread over salts."""
+    """Orders beside their items, joined as matches and misses."""
     tables(spark, sf_dir)
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     items = items.select("l_orderkey", "l_partkey", "l_quantity")

@@ -6,7 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from controlweave.plans.metrics import exception_rows
 from controlweave.plans.run import batch_summary, dry_run, run_controls, schema_drift
+from controlweave.session import fresh_folder
+from controlweave.sources.evidence import dataset_hash
+from controlweave.sources.ledger import Ledger, current_controls
 from controlweave.workload.common import (
     REPORT_COLUMNS,
     Query,
@@ -19,11 +23,13 @@ from controlweave.workload.common import (
     report_sql,
     row_counts_sql,
     rule,
+    table,
     tables,
     verdicts,
 )
 from controlweave.workload.grouped import limit
 
+RUN_AT = datetime(2025, 6, 30, 12)
 WITH_ORDER = ("ord", join("orders", "l_orderkey", "o_orderkey"))
 ITEMS = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"
 
@@ -69,6 +75,47 @@ def shared_scan(spark, sf_dir):
     return verdicts(batch_controls(), tables(spark, sf_dir, "lineitem", "orders"))
 
 
+def batch_exceptions(spark, sf_dir):
+    """All exceptions of the batch from one pass, summed up per control."""
+    found = exception_rows(batch_controls(), tables(spark, sf_dir, "lineitem", "orders"))
+    return found.groupBy("control_id").agg(
+        F.count(F.lit(1)).alias("exception_count"),
+        F.sum("l_orderkey").alias("key_sum"),
+        F.max(F.array_join("failed_assertions", ",")).alias("failed_assertions"),
+    )
+
+
+BATCH_EXCEPTIONS_SQL = "\nUNION ALL\n".join(
+    f"""SELECT '{control_id}' AS control_id, count(*) AS exception_count, CAST(sum(l_orderkey) AS BIGINT) AS key_sum,
+       'r1' AS failed_assertions
+FROM {ITEMS} WHERE {where} AND ({ok}) IS NOT TRUE HAVING count(*) > 0"""
+    for control_id, _, _, where, ok, _ in BATCH
+)
+
+
+def recorded_batch(spark, sf_dir):
+    """Run the batch with its sinks and read back what the ledger holds."""
+    catalog = tables(spark, sf_dir)
+    for name in ("lineitem", "orders"):
+        digest = dataset_hash(spark, f"{sf_dir}/{name}.parquet").first()["sha256_hash"]
+        catalog.add(name, table(spark, sf_dir, name), sha256_hash=digest)
+    ledger = Ledger(spark, fresh_folder(spark, "ledger"))
+    ledger.append_controls(batch_controls(), "auditor", RUN_AT)
+    run_controls(spark, batch_controls(), catalog, ledger, fresh_folder(spark, "exceptions"), executed_at=RUN_AT)
+    current = current_controls(ledger.controls()).select("control_id", "version", "approved_by")
+    return ledger.executions().join(current, "control_id").select(
+        "control_id",
+        "verdict",
+        "exception_count",
+        "total_population",
+        "executed_at",
+        "version",
+        "approved_by",
+        F.size("evidence_hashes").cast("long").alias("evidence_count"),
+        F.coalesce(F.json_array_length("exceptions_sample"), F.lit(0)).cast("long").alias("sampled_exceptions"),
+    )
+
+
 def mixed_batch():
     """A batch in which single controls cannot run: they must not stop the others."""
     good = batch_controls()
@@ -189,6 +236,15 @@ QUERIES = {
         ),
     ),
     "batch_shared_scan": Query(shared_scan, BATCH_SQL),
+    "batch_exceptions": Query(batch_exceptions, BATCH_EXCEPTIONS_SQL),
+    "batch_recorded": Query(
+        recorded_batch,
+        f"""
+SELECT control_id, verdict, exception_count, total_population, TIMESTAMP '{RUN_AT}' AS executed_at,
+       '1.0' AS version, 'auditor' AS approved_by,
+       CAST(2 AS BIGINT) AS evidence_count, CAST(least(100, exception_count) AS BIGINT) AS sampled_exceptions
+FROM ({BATCH_SQL})""",
+    ),
     "control_error": Query(control_error, MIXED_SQL),
     "batch_summary": Query(
         summary,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from controlweave.session import fresh_folder
+from controlweave.sources.ledger import Ledger
 from controlweave.streaming.continuous import (
     file_stream,
     row_exception_stream,
     start_sink,
+    start_verdicts,
     windowed_failing_groups,
 )
 from controlweave.workload.common import Query, control, join, keep, match, tables
@@ -47,6 +51,22 @@ def window_control(spark, sf_dir):
     )
 
 
+VERDICT_CONTROL = control(
+    "events", [keep("event_type", "eq", "purchase")], [match("value", "lte", 150, threshold=2.0)], control_id="CTRL-LIVE"
+)
+
+
+def micro_batch_verdicts(spark, sf_dir):
+    """Every micro-batch judged as it arrives; the verdicts as the ledger holds them."""
+    ledger = Ledger(spark, fresh_folder(spark, "ledger"))
+    start_verdicts(
+        VERDICT_CONTROL, streamed(spark, sf_dir), ledger, fresh_folder(spark, "stream-state")
+    ).awaitTermination()
+    return ledger.executions().groupBy("control_id").agg(
+        F.sum("exception_count").alias("exception_count"), F.sum("total_population").alias("total_population")
+    )
+
+
 QUERIES = {
     "stream_row_control": Query(
         row_control,
@@ -56,6 +76,12 @@ FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey
 WHERE e.event_type <> 'view'
   AND ((e.value <= 150) IS NOT TRUE OR (trim(upper(c.c_mktsegment)) <> 'BUILDING') IS NOT TRUE)""",
     ),
+    "stream_verdicts": Query(
+        micro_batch_verdicts,
+        """
+SELECT 'CTRL-LIVE' AS control_id, count(*) FILTER (WHERE (value <= 150) IS NOT TRUE) AS exception_count,
+       count(*) AS total_population FROM events WHERE event_type = 'purchase'""",
+    ),
     # only windows the watermark has closed are final
     "stream_window_control": Query(
         window_control,

@@ -4,10 +4,10 @@ import random
 
 import pytest
 
-from controlweave.operators import joins
 from controlweave.operators.joins import equi_join, latest_per_key
 from controlweave.plans.run import population
 from controlweave.plans.spec import SpecError
+from controlweave.sources.catalog import Catalog
 
 from helpers import catalog, control, frame, join, keep, keep_null, plan, values
 
@@ -82,27 +82,62 @@ def test_latest_per_key(spark):
     assert values(latest_per_key(df, ["k"], ["t", "id"])) == [(None, 1, 3), (1, 5, 2)]
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_hot_keys_are_split_exactly(spark, how, monkeypatch):
-    """A third of the right rows share one key, some of them exact copies."""
-    monkeypatch.setattr(joins, "HOT_KEYS", 20)
-    monkeypatch.setattr(joins, "SALTS", 7)
+def hot_sides(spark):
+    """A third of the right rows share one key, most of them exact copies."""
     rng = random.Random(7)
-    right = [(1, "copy")] * 150 + [(1, f"r{i}") for i in range(50)]
-    right += [(rng.randrange(2, 300), f"x{i}") for i in range(380)] + [(None, "n")] * 20
-    left = [(1, i) for i in range(3)] + [(rng.randrange(2, 400), i) for i in range(200)] + [(None, -1), (999, -2)]
+    right = [(1, "copy")] * 1500 + [(1, f"r{i}") for i in range(500)]
+    right += [(rng.randrange(2, 300), f"x{i}") for i in range(3800)] + [(None, "n")] * 200
+    left = [(1, i) for i in range(3)] + [(rng.randrange(2, 400), i) for i in range(2000)] + [(None, -1), (999, -2)]
     l = frame(spark, "lk int, lv int", left).repartition(5)
-    r = frame(spark, "rk int, rv string", right).repartition(6)
-    split = equi_join(l, r, [("lk", "rk")], how, right_rows=len(right), split_above=0)
-    plain = l.join(r, l.lk == r.rk, how)
-    assert values(split) == values(plain)
-    assert "_salt_right" in plan(split)
+    r = frame(spark, "rk int, rv string", right).repartition(16)
+    return l, r
 
 
-def test_only_large_sides_are_checked_for_hot_keys(spark):
-    l, r = frame(spark, "a int", [(1,)]), frame(spark, "b int", [(1,)])
-    assert equi_join(l, r, [("a", "b")], "left", right_rows=1).columns == ["a", "b"]
-    assert "_salt" not in plan(equi_join(l, r, [("a", "b")], "left", right_rows=1))
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_halves_equal_the_plain_join(spark, how):
+    l, r = hot_sides(spark)
+    split = equi_join(l, r, [("lk", "rk")], how, rows_per_key=10**9, split_above=0)
+    assert split.columns == ["lk", "lv", "rk", "rv"]
+    assert values(split) == values(l.join(r, l.lk == r.rk, how))
+
+
+def test_adaptive_execution_splits_the_hot_right_key(spark):
+    """The plain left join cannot be split on its right side; its halves can."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000b",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        l, r = hot_sides(spark)
+        plain = l.join(r, l.lk == r.rk, "left")
+        split = equi_join(l, r, [("lk", "rk")], "left", rows_per_key=10**9, split_above=0)
+        assert values(plain) == values(split)
+        assert "skew=true" not in plan(plain, "simple").split("Initial Plan")[0]
+        assert "SortMergeJoin(skew=true)" in plan(split, "simple").split("Initial Plan")[0]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_only_keys_that_may_be_hot_are_joined_in_halves(spark):
+    l, r = frame(spark, "k int", [(1,)]), frame(spark, "k int, v int", [(1, 1)])
+    spec = control("l", [("j", join("r", "k", "k"))])
+    cases = [
+        (Catalog({"l": l}).add("r", r, rows=10**9), True),
+        (Catalog({"l": l}).add("r", r, rows=10**6), False),
+        (Catalog({"l": l}).add("r", r, rows=10**9, unique=("k",)), False),
+        (Catalog({"l": l}).add("r", r), False),
+    ]
+    for cat, halves in cases:
+        assert ("LeftAnti" in plan(population(spec, cat).frame, "simple")) == halves
+    matched = control("l", [("j", join("r", "k", "k")), keep_null("j_k", False)])
+    assert "LeftAnti" not in plan(population(matched, cases[0][0]).frame, "simple")
 
 
 def test_filters_may_precede_the_join_they_need(spark):

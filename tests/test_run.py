@@ -8,12 +8,14 @@ import pytest
 
 from controlweave.plans import metrics as counting
 from controlweave.plans.run import (
+    attribution,
     attribution_counts,
     batch_summary,
     dry_run,
     exceptions,
     exceptions_sample,
     report,
+    run_control,
     run_controls,
     schema_drift,
 )
@@ -175,6 +177,20 @@ def test_controls_on_one_population_share_the_scan(spark, tmp_path):
     assert "PushedFilters" in text and "GreaterThan(k,0)" in text
 
 
+def test_exceptions_of_many_controls_come_from_one_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame(spark, "k int, v int, control_id string", [(i, i % 7, "own") for i in range(100)]).write.parquet(path)
+    cat = catalog(t=spark.read.parquet(path))
+    specs = [control("t", [keep("k", "lt", 20 + i)], [match("v", "lt", i, "a"), match("v", "neq", 3, "b")], control_id=f"C{i}")
+             for i in range(8)]
+    found = counting.exception_rows(specs, cat)
+    assert plan(found, "simple").count("FileScan") == 1
+    for i, spec in enumerate(specs):
+        mine = found.filter(f"control_id = 'C{i}'").drop("control_id").withColumnRenamed("control_id_1", "control_id")
+        alone = attribution(spec, cat)
+        assert values(mine, "k", "v", "control_id", "failed_assertions") == values(alone, "k", "v", "control_id", "failed_assertions")
+
+
 def test_exceptions_per_rule_in_one_pass(spark, trades):
     spec = control("trades", [], [match("amount", "gt", 1000, "big"), match("approval_status", "eq", "approved", "ok")])
     assert values(attribution_counts(spec, catalog(trades=trades))) == [("big", 1), ("ok", 2)]
@@ -187,6 +203,17 @@ def test_sample_of_exceptions_is_ordered_and_limited(spark):
     assert rows[0]["d"].startswith("2024-01-01T00:00:00")
 
 
+def test_sample_json_keeps_nulls_and_has_no_nan(spark):
+    df = frame(spark, "k int, x double, s string", [(1, float("nan"), None), (2, 1.5, "a")])
+    rows = [json.loads(r.exception_json) for r in exceptions_sample(df, ["k"]).collect()]
+    assert rows == [{"k": 1, "x": None, "s": None}, {"k": 2, "x": 1.5, "s": "a"}]
+
+
+def test_one_control_alone(spark, trades):
+    verdicts, found = run_control(LARGE_APPROVED, catalog(trades=trades))
+    assert verdicts.first().verdict == "FAIL" and found["rows"].count() == 1
+
+
 def test_exceptions_and_executions_are_stored(spark, trades, tmp_path):
     limit = rule("aggregation", "per_status", group_by_fields=["approval_status"], metric_field="amount",
                  aggregation_function="SUM", operator="lte", threshold=20000)
@@ -196,14 +223,14 @@ def test_exceptions_and_executions_are_stored(spark, trades, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     when = datetime(2025, 3, 1, 12)
     out = str(tmp_path / "exceptions")
-    for control_ in (LARGE_APPROVED, grouped):
-        ledger.append_control(control_, "auditor", when)
+    ledger.append_controls([LARGE_APPROVED, grouped], "auditor", when)
     run_controls(spark, [LARGE_APPROVED, grouped], cat, ledger, out, executed_at=when)
-    assert sorted(os.listdir(out)) == ["control_id=CTRL-TRD", "control_id=GROUPED"]
-    rows = spark.read.parquet(f"{out}/control_id=CTRL-TRD/rule=rows")
-    assert values(rows, "trade_id") == [("T2",)]
-    groups = spark.read.parquet(f"{out}/control_id=GROUPED/rule=per_status")
-    assert values(groups, "approval_status", "total_amount") == [("PENDING", 25000)]
+    tables = {name.rsplit("-", 1)[0] if "rows" in name else name: f"{out}/{name}" for name in os.listdir(out)}
+    assert sorted(tables) == ["trades-groups-GROUPED-per_status", "trades-rows"]
+    rows = spark.read.parquet(tables["trades-rows"])
+    assert values(rows, "control_id", "trade_id") == [("CTRL-TRD", "T2"), ("GROUPED", "T4")]
+    groups = spark.read.parquet(tables["trades-groups-GROUPED-per_status"])
+    assert values(groups, "control_id", "approval_status", "total_amount") == [("GROUPED", "PENDING", 25000)]
     stored = {r.control_id: r for r in ledger.executions().collect()}
     assert stored["CTRL-TRD"].evidence_hashes == {"trades": "abc"}
     assert stored["CTRL-TRD"].executed_at == when
