@@ -114,15 +114,21 @@ def row_exceptions(joined: Joined, rules, catalog, lenient: bool = False) -> Dat
     return marked.frame.filter(broken).select(*[quoted(c) for c in joined.frame.columns])
 
 
+def rule_ids(broken: dict) -> Column:
+    """Ids of the rules whose exception column is true, as an array.
+
+    Joined and split text instead of a filtered array: it stays in generated code.
+    """
+    mark = "\u0001"
+    named = [F.when(x, F.lit(r.assertion_id)) for r, x in broken.items()]
+    return F.split(F.concat_ws(mark, *named), mark)
+
+
 def broken_rules(joined: Joined, rules, catalog, lenient: bool = False) -> DataFrame:
     """Exceptions with the ids of the rules each row breaks, in ``failed_assertions``."""
     marked = with_references(joined, rules, catalog)
-    ids = [
-        F.when(is_exception(compliant(r, marked.lineage, lenient)), F.lit(r.assertion_id)) for r in rules
-    ]
-    failed = F.array_compact(F.array(*ids))
-    return (
-        marked.frame.withColumn("failed_assertions", failed)
-        .filter(F.size("failed_assertions") > 0)
-        .select(*[quoted(c) for c in joined.frame.columns], "failed_assertions")
+    broken = {r: is_exception(compliant(r, marked.lineage, lenient)) for r in rules}
+    rows = marked.frame.filter(any_of(broken.values()))
+    return rows.select(
+        *[quoted(c) for c in joined.frame.columns], rule_ids(broken).alias("failed_assertions")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from controlweave.functions.conditions import all_of, any_of, is_exception, quoted, sql_text
 from controlweave.operators.groups import fails, grain, metric
 from controlweave.operators.population import Joined, build_joined, build_population, population_filters
-from controlweave.operators.rules import compliant, with_references
+from controlweave.operators.rules import compliant, rule_ids, with_references
 from controlweave.operators.sampling import sample
 from controlweave.plans.spec import FILTERS, Control, Referential
 
@@ -165,10 +165,12 @@ def _exception_rows(joined: Joined, members: list[Member], catalog, lenient: boo
     breaks = []
     for m in members:
         broken = {r: is_exception(compliant(r, marked.lineage, lenient)) for r in m.control.row_assertions}
-        named = F.array_compact(F.array(*[F.when(x, F.lit(r.assertion_id)) for r, x in broken.items()]))
-        found = F.struct(F.lit(m.control.control_id).alias("control_id"), named.alias("failed_assertions"))
+        found = F.struct(
+            F.lit(m.control.control_id).alias("control_id"), rule_ids(broken).alias("failed_assertions")
+        )
         breaks.append(F.when(m.covered & any_of(broken.values()), found))
-    rows = relevant(marked.frame, members).withColumn("_break", F.explode(F.array_compact(F.array(*breaks))))
+    rows = relevant(marked.frame, members).withColumn("_break", F.explode(F.array(*breaks)))
+    rows = rows.filter(F.col("_break").isNotNull())
     taken = ("control_id", "failed_assertions")
     own = [quoted(c).alias(f"{c}_1" if c.lower() in taken else c) for c in joined.frame.columns]
     return rows.select(*own, *[F.col(f"_break.{name}").alias(name) for name in taken])

@@ -301,7 +301,9 @@ def run_controls(
         for name, frame in exception_tables(failing, catalog, lenient).items():
             if exceptions_to:
                 path = f"{exceptions_to}/{name}/run={executed_at:%Y%m%dT%H%M%S%f}"
-                frame.write.mode("overwrite").partitionBy("control_id").parquet(path)
+                # one shuffle of the exceptions: few files per control, a large control split
+                balanced = frame.hint("rebalance", "control_id")
+                balanced.write.mode("overwrite").partitionBy("control_id").parquet(path)
                 frame = spark.read.schema(frame.schema).parquet(path)
             samples.append(samples_per_control(frame))
 

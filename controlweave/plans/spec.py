@@ -142,6 +142,10 @@ class FilterInList:
     field: str = entry("text")
     values: tuple = entry("scalars")
 
+    def __post_init__(self):
+        if not self.values:
+            raise SpecError(f"filter on '{self.field}': the list must not be empty")
+
 
 @dataclass(frozen=True)
 class FilterIsNull:
@@ -267,6 +271,8 @@ class ValueMatch:
             raise SpecError(f"{self.assertion_id}: only eq and neq compare with null")
         if is_list != (self.operator in ("in", "not_in")):
             raise SpecError(f"{self.assertion_id}: in / not_in take a list, other operators a scalar")
+        if is_list and not self.expected_value:
+            raise SpecError(f"{self.assertion_id}: the list must not be empty")
         if self.operator in ("contains", "not_contains") and not isinstance(self.expected_value, str):
             raise SpecError(f"{self.assertion_id}: {self.operator} takes text")
 

@@ -24,7 +24,7 @@ NOT_NUMBER = r"[^\d.-]"
 # Date spellings tried in turn after ISO dates and timestamps.
 DATE_FORMATS = ("MM/dd/yyyy", "dd-MMM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy")
 
-RECORDS_PER_FILE = 5_000_000  # keeps part files far below the 2 GB one row may hold
+RECORDS_PER_FILE = 1_000_000  # a file is hashed as one row, which may hold 2 GB: lower it for very wide rows
 
 
 # --- cleaning -----------------------------------------------------------------------
@@ -226,12 +226,13 @@ def land(
     folder: str,
     source_system: str = "UNKNOWN",
     extraction_timestamp: datetime | None = None,
+    records_per_file: int = RECORDS_PER_FILE,
     **cleaning_options,
 ) -> dict:
     """Clean ``frame``, write it as ``{folder}/{alias}.parquet`` and return its manifest."""
     path = f"{folder}/{alias}.parquet"
     cleaned = clean(frame, **cleaning_options)
-    cleaned.write.option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").parquet(path)
+    cleaned.write.option("maxRecordsPerFile", records_per_file).mode("overwrite").parquet(path)
     return manifest(spark, alias, path, source_system, extraction_timestamp)
 
 

@@ -107,6 +107,7 @@ def test_refuses_missing_sections(missing):
         {"operation": "filter_comparison", "field": "x", "operator": "eq", "value": None},
         {"operation": "filter_comparison", "field": "x", "operator": "eq", "value": True},
         {"operation": "filter_in_list", "field": "x", "values": [None]},
+        {"operation": "filter_in_list", "field": "x", "values": []},
         {"operation": "filter_is_null", "field": "x", "is_null": "yes"},
         {"operation": "join_left", "right_dataset": "r", "left_keys": ["a", "b"], "right_keys": ["a"]},
         {"operation": "join_left", "right_dataset": "r", "left_keys": [], "right_keys": []},
@@ -126,6 +127,7 @@ def test_refuses_bad_actions(body):
         {"assertion_type": "value_match", "field": "x", "operator": "in", "expected_value": "A"},
         {"assertion_type": "value_match", "field": "x", "operator": "eq", "expected_value": ["A"]},
         {"assertion_type": "value_match", "field": "x", "operator": "in", "expected_value": [1.5]},
+        {"assertion_type": "value_match", "field": "x", "operator": "not_in", "expected_value": []},
         {"assertion_type": "value_match", "field": "x", "operator": "contains", "expected_value": 5},
         {"assertion_type": "temporal_sequence", "event_chain": ["only"]},
         {"assertion_type": "temporal_date_math", "base_date_field": "a", "operator": "neq", "target_date_field": "b", "offset_days": 1},
