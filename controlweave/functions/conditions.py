@@ -23,6 +23,10 @@ COMPARE = {
 }
 
 
+ORDERINGS = ("gt", "lt", "gte", "lte")
+TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
 def quoted(name: str) -> Column:
     """A column by its exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -56,13 +60,40 @@ def sql_text(value: str) -> str:
 def literal(value, data_type: T.DataType | None) -> Column:
     """A literal in the column's own type, so comparisons reach the scan uncast."""
     if isinstance(value, (datetime, date)):
-        if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        if isinstance(data_type, TEMPORAL):
             target = "timestamp_ntz" if isinstance(data_type, T.DateType) else data_type.simpleString()
             return F.lit(value.isoformat(sep=" ") if isinstance(value, datetime) else str(value)).cast(target)
         return F.lit(value.isoformat())
     return F.lit(value)
 
 
+def typed_columns(
+    left: Column,
+    left_type: T.DataType | None,
+    right: Column,
+    right_type: T.DataType | None,
+    op: str,
+    lenient: bool = False,
+) -> tuple[Column, Column]:
+    """Two columns ready to compare. Text has no order against numbers or dates;
+    equality reads the text as the other side's kind of value."""
+
+    def as_kind_of(column: Column, other: T.DataType) -> Column:
+        kind = "double" if isinstance(other, T.NumericType) else other.simpleString()
+        return column.try_cast(kind) if lenient else column.cast(kind)
+
+    def text_against(a: T.DataType | None, b: T.DataType | None) -> bool:
+        return isinstance(a, T.StringType) and isinstance(b, (T.NumericType, *TEMPORAL))
+
+    if text_against(left_type, right_type) or text_against(right_type, left_type):
+        if op in ORDERINGS:
+            raise SpecError(f"cannot order {left_type.simpleString()} against {right_type.simpleString()}")
+        if isinstance(left_type, T.StringType):
+            return as_kind_of(left, right_type), right
+        return left, as_kind_of(right, left_type)
+    return left, right
+
+
 def typed_operands(
     column: Column, data_type: T.DataType | None, op: str, value, lenient: bool = False
 ) -> tuple[Column, Column]:
@@ -75,10 +106,10 @@ def typed_operands(
     values = value if isinstance(value, (list, tuple)) else [value]
     numeric = any(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
     if isinstance(data_type, T.StringType) and numeric:
-        if op in ("gt", "lt", "gte", "lte"):
+        if op in ORDERINGS:
             raise SpecError(f"cannot order text against the number {value!r}")
         column = column.try_cast("double") if lenient else column.cast("double")
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)) and numeric:
+    if isinstance(data_type, TEMPORAL) and numeric:
         raise SpecError(f"cannot compare {data_type.simpleString()} with the number {value!r}")
     if isinstance(data_type, T.BooleanType) and numeric:
         column = column.cast("int")

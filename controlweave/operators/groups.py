@@ -18,16 +18,24 @@ from controlweave.plans.spec import GroupLimit, SpecError
 FUNCTIONS = {"SUM": F.sum, "COUNT": F.count, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
 
+def measured(rule: GroupLimit, lineage: Lineage) -> Column | None:
+    """The metric as a number (a boolean counts its trues), or None for other types."""
+    data_type, column = lineage.type_of(rule.metric_field), lineage.column(rule.metric_field)
+    if isinstance(data_type, T.BooleanType):
+        return column.cast("int")
+    return column if data_type is None or isinstance(data_type, T.NumericType) else None
+
+
 def metric(rule: GroupLimit, lineage: Lineage, where: Column | None = None) -> Column:
     """The aggregate of the rule, over the rows where ``where`` holds."""
-    data_type = lineage.type_of(rule.metric_field)
-    numeric = data_type is None or isinstance(data_type, T.NumericType)
-    if rule.aggregation_function != "COUNT" and not numeric:
+    column = measured(rule, lineage)
+    if rule.aggregation_function == "COUNT":
+        column = lineage.column(rule.metric_field)
+    elif column is None:
         raise SpecError(
             f"{rule.assertion_id}: {rule.aggregation_function} of {rule.metric_field} "
-            f"({data_type.simpleString()}) cannot be held against a number"
+            f"({lineage.type_of(rule.metric_field).simpleString()}) cannot be held against a number"
         )
-    column = lineage.column(rule.metric_field)
     if where is not None:
         column = F.when(where, column)
     return FUNCTIONS[rule.aggregation_function](column)
@@ -35,9 +43,8 @@ def metric(rule: GroupLimit, lineage: Lineage, where: Column | None = None) -> C
 
 def total(rule: GroupLimit, lineage: Lineage) -> Column:
     """Sum of the metric; NULL where the metric is not a number."""
-    if isinstance(lineage.type_of(rule.metric_field), T.NumericType):
-        return F.sum(lineage.column(rule.metric_field))
-    return F.lit(None).cast("double")
+    column = measured(rule, lineage)
+    return F.lit(None).cast("double") if column is None else F.sum(column)
 
 
 def grain(rule: GroupLimit, lineage: Lineage) -> tuple[str, ...]:

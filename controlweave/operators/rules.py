@@ -12,6 +12,7 @@ from controlweave.functions.conditions import (
     folded,
     is_exception,
     quoted,
+    typed_columns,
     typed_operands,
 )
 from controlweave.operators.joins import equi_join
@@ -45,9 +46,16 @@ def value_match(rule: ValueMatch, lineage: Lineage, lenient: bool) -> Column:
     return COMPARE[op](left, right)
 
 
+def compared(left: str, op: str, right: str, lineage: Lineage, lenient: bool) -> Column:
+    pair = typed_columns(
+        lineage.column(left), lineage.type_of(left), lineage.column(right), lineage.type_of(right), op, lenient
+    )
+    return COMPARE[op](*pair)
+
+
 def temporal_sequence(rule: TemporalSequence, lineage: Lineage, lenient: bool) -> Column:
-    events = [lineage.column(e) for e in rule.event_chain]
-    return all_of(earlier < later for earlier, later in zip(events, events[1:]))
+    events = rule.event_chain
+    return all_of(compared(earlier, "lt", later, lineage, lenient) for earlier, later in zip(events, events[1:]))
 
 
 def date_math(rule: DateMath, lineage: Lineage, lenient: bool) -> Column:
@@ -60,7 +68,7 @@ def date_math(rule: DateMath, lineage: Lineage, lenient: bool) -> Column:
 
 
 def column_comparison(rule: ColumnComparison, lineage: Lineage, lenient: bool) -> Column:
-    return COMPARE[rule.operator](lineage.column(rule.left_field), lineage.column(rule.right_field))
+    return compared(rule.left_field, rule.operator, rule.right_field, lineage, lenient)
 
 
 def referential(rule: Referential, lineage: Lineage, lenient: bool) -> Column:

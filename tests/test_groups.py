@@ -47,6 +47,14 @@ def test_count_of_text_has_no_total(cat):
     assert values(found) == [("a", 2, 2, None), ("b", 2, 2, None)]
 
 
+def test_booleans_are_counted(spark):
+    cat = catalog(t=frame(spark, "k string, b boolean", [("a", True), ("a", True), ("b", True), ("b", False), ("c", None)]))
+    found = exceptions(control("t", [], [limit("SUM", "lte", 1, field="b")]), cat)["g"]
+    assert values(found) == [("a", 2, 2, 2), ("c", 1, None, None)]
+    worst = exceptions(control("t", [], [limit("MIN", "gte", 1, field="b")]), cat)["g"]
+    assert values(worst, "k") == [("b",), ("c",)]
+
+
 def test_sum_of_text_is_refused(cat):
     with pytest.raises(SpecError, match="cannot be held"):
         exceptions(control("t", [], [limit("SUM", "lt", 2, field="s")]), cat)

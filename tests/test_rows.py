@@ -103,6 +103,30 @@ def test_text_against_numbers(spark):
     assert broken(equal, cat, "k", lenient=True) == [(3,)]
 
 
+def test_columns_of_different_kinds(spark):
+    cat = catalog(t=frame(spark, "k int, s string, n int, day string, d date", [
+        (1, "5.0", 5, "2024-01-01", date(2024, 1, 1)), (2, "6", 5, "2024-01-02", date(2024, 1, 1)),
+        (3, "x", 5, "soon", date(2024, 1, 1))]))
+
+    def pair(left, op, right):
+        return control("t", [], [rule("column_comparison", left_field=left, operator=op, right_field=right)])
+
+    for left, right in (("s", "n"), ("n", "s"), ("day", "d"), ("d", "day")):
+        with pytest.raises(SpecError, match="cannot order"):
+            broken(pair(left, "lt", right), cat, "k")
+        with pytest.raises(PySparkException):
+            broken(pair(left, "eq", right), cat, "k")
+        assert broken(pair(left, "eq", right), cat, "k", lenient=True) == [(2,), (3,)]
+    with pytest.raises(SpecError, match="cannot order"):
+        broken(control("t", [], [rule("temporal_sequence", event_chain=["d", "day"])]), cat, "k")
+
+
+def test_booleans_compare_as_numbers(spark):
+    cat = catalog(t=frame(spark, "k int, b boolean", [(1, True), (2, False)]))
+    assert broken(control("t", [], [match("b", "gt", 0)]), cat, "k") == [(2,)]
+    assert values(population(control("t", [keep("b", "eq", 1)]), cat).frame, "k") == [(1,)]
+
+
 def test_timestamp_against_number_is_refused(spark):
     cat = catalog(t=frame(spark, "k int, d date", [(1, date(2024, 1, 1))]))
     with pytest.raises(SpecError, match="number"):
