@@ -108,6 +108,7 @@ def draws_below_cut(
     cut-off falls in; the draws inside that one bucket give the cut-off itself.
     No task ever holds a stratum: rows are only compared with the cut-off.
     """
+    shared_folder(frame.sparkSession)
     names = frame.columns
     strata = [stratum] if stratum else []
     keyed = frame.withColumn("_draw", draw(key, seed)).withColumn("_bucket", F.substring("_draw", 1, PREFIX))
@@ -123,31 +124,36 @@ def draws_below_cut(
     inside = beside(keyed, buckets, strata, bucket="_bucket", rest="_rest").filter(
         F.col("_bucket") == F.col("_cut.bucket")
     )
-    draws = inside.groupBy(*[quoted(s) for s in strata], "_draw").agg(
+    columns = [quoted(c) for c in names]
+    grouping = [quoted(s) for s in strata] if unique else columns
+    distinct = inside.groupBy(*grouping, "_draw").agg(
         F.count(F.lit(1)).alias("_rows"), F.first("_cut.rest").alias("_cut_rest")
     )
-    cuts = _cut(draws, strata, "_draw", F.col("_cut_rest"))
-    kept = beside(keyed, cuts, strata, draw="_draw", copies="_rest", ties="_rows").filter(
-        F.col("_draw") <= F.col("_cut.draw")
+    distinct = distinct.checkpoint()  # one bucket of rows; read again below instead of found again
+    draws = distinct.groupBy(*[quoted(s) for s in strata], "_draw").agg(
+        F.sum("_rows").alias("_rows"), F.first("_cut_rest").alias("_cut_rest")
     )
-    columns = [quoted(c) for c in names]
+    cuts = _cut(draws, strata, "_draw", F.col("_cut_rest"))
+    cut = {"bound": "_bound", "draw": "_draw", "copies": "_rest", "ties": "_rows"}  # one struct, found once
+    # One comparison per row: below the bound is in. Draws are hex digits, so "~" sorts after them.
+    including = F.concat("_draw", F.lit("~"))
+    bound = including if unique else F.when(F.col("_rest") == F.col("_rows"), including).otherwise(F.col("_draw"))
+    cuts = cuts.withColumn("_bound", bound)
+    whole = beside(keyed, cuts, strata, **cut).filter(F.col("_draw") < F.col("_cut.bound")).select(*columns)
     if unique:
-        return kept.select(*columns)
-
-    # Rows that share the cut-off draw are copies: counted, then the first few written out.
-    split_tie = (F.col("_draw") == F.col("_cut.draw")) & (F.col("_cut.copies") < F.col("_cut.ties"))
-    tied = (
-        kept.filter(split_tie)
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.first("_cut.copies").alias("_copies"))
+        return whole
+
+    # Rows that share the cut-off draw are copies: counted above, the first few are written out.
+    tied = beside(distinct, cuts, strata, **cut).filter(
+        (F.col("_draw") == F.col("_cut.draw")) & (F.col("_cut.copies") < F.col("_cut.ties"))
     )
     before = F.sum("_rows").over(
         Window.partitionBy(*[quoted(s) for s in strata])
         .orderBy(*columns)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("_rows")
-    some = tied.withColumn("_take", F.least(F.col("_copies") - before, F.col("_rows"))).filter("_take > 0")
-    return kept.filter(~split_tie).select(*columns).unionByName(write_out(some, "_take", names))
+    some = tied.withColumn("_take", F.least(F.col("_cut.copies") - before, F.col("_rows"))).filter("_take > 0")
+    return whole.unionByName(write_out(some, "_take", names))
 
 
 def beside(keyed: DataFrame, cuts: DataFrame, strata: list[str], **fields: str) -> DataFrame:

@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     # split a hot join key even where the next operator then needs a shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # unreadable text in a rule is an error, not a NULL
+    "spark.sql.ansi.enabled": "true",
 }
 
 
