@@ -76,7 +76,8 @@ def referential(rule: Referential, lineage: Lineage, lenient: bool) -> Column:
 
 
 def referential_flag(rule: Referential) -> str:
-    return f"_found_{rule.assertion_id}"
+    """Marker column; rules that ask for the same key share it."""
+    return f"_found_{rule.foreign_key_field}_in_{rule.reference_dataset}_{rule.reference_key_field}"
 
 
 # A new rule type is a record in the specification and a builder here.
@@ -102,9 +103,7 @@ def with_references(joined: Joined, rules, catalog) -> Joined:
     multiply rows nor meet a hot key on its right side.
     """
     frame = joined.frame
-    for rule in rules:
-        if not isinstance(rule, Referential):
-            continue
+    for rule in {referential_flag(r): r for r in rules if isinstance(r, Referential)}.values():
         keys = catalog.frame(rule.reference_dataset)
         key = quoted(Lineage.of(keys, rule.reference_dataset).physical(rule.reference_key_field))
         flag = referential_flag(rule)

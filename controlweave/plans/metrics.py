@@ -19,7 +19,7 @@ from controlweave.operators.groups import fails, grain, metric
 from controlweave.operators.population import Joined, build_joined, build_population, population_filters
 from controlweave.operators.rules import compliant, rule_ids, with_references
 from controlweave.operators.sampling import sample
-from controlweave.plans.spec import FILTERS, Control, Referential
+from controlweave.plans.spec import FILTERS, Control
 
 # Generated code grows with the number of aggregates and beyond this many is no
 # longer compiled by the JVM; more predicates are split over several aggregations,
@@ -40,11 +40,7 @@ METRICS = (
 def sharing_key(control: Control) -> tuple:
     """Controls with equal keys read the same joined rows. Filters may differ."""
     shape = [(s.step_id, s.action) for s in control.steps if not isinstance(s.action, FILTERS)]
-    references = sorted(
-        {(a.assertion_id, a.foreign_key_field, a.reference_dataset, a.reference_key_field)
-         for a in control.assertions if isinstance(a, Referential)}
-    )
-    return (control.base_dataset, repr(shape), repr(references))
+    return (control.base_dataset, repr(shape))
 
 
 @dataclass(frozen=True)

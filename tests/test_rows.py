@@ -7,7 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from controlweave.functions.conditions import is_exception
-from controlweave.plans.run import attribution, exceptions, population
+from controlweave.plans.metrics import exception_rows
+from controlweave.plans.run import attribution, exceptions, population, report
 from controlweave.plans.spec import SpecError
 
 from helpers import catalog, computed, control, frame, join, keep, keep_in, keep_null, match, rule, values
@@ -171,6 +172,24 @@ def test_referential_rule_never_multiplies_rows(spark):
     assert broken(both, cat, "k") == [(2,), (3,), (4,)]
 
 
+def test_referential_rules_of_a_batch_share_their_lookup(spark):
+    cat = catalog(
+        t=frame(spark, "k int, fk int, other int", [(1, 10, 5), (2, 11, 5), (3, None, 6)]),
+        ref=frame(spark, "id int", [(10,), (12,)]),
+        more=frame(spark, "id int", [(5,)]),
+    )
+
+    def known(control_id, field, dataset, threshold):
+        return control("t", [], [rule("referential", "known", threshold, foreign_key_field=field,
+                                      reference_dataset=dataset, reference_key_field="id")], control_id=control_id)
+
+    batch = [known("A", "fk", "ref", 0.0), known("B", "fk", "ref", 80.0), known("C", "other", "more", 0.0)]
+    assert values(report(batch, cat), "control_id", "verdict", "exception_count") == [
+        ("A", "FAIL", 2), ("B", "PASS", 2), ("C", "FAIL", 1)
+    ]
+    assert values(exception_rows(batch, cat), "control_id", "k") == [("A", 2), ("A", 3), ("B", 2), ("B", 3), ("C", 3)]
+
+
 def test_join_miss_fails_rules_on_right_columns(spark):
     cat = catalog(
         t=frame(spark, "k int, who int", [(1, 10), (2, 11)]),
