@@ -13,7 +13,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from controlweave.llm.tables import batch, decoded, payloads
+from controlweave.llm.tables import batch, decoded, payloads, prepared
 
 #: Code points given to the encoder in one call; longer texts are cut at safe boundaries.
 PIECE = 50_000
@@ -106,6 +106,7 @@ def encode_texts(
     empty table gives an empty result, other columns are ignored whatever their names. Invalid
     UTF-8 is read with U+FFFD in place of each broken sequence. Narrow: no shuffle.
     """
+    prepared(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, {DIGESTS if digests_only else ENCODED}"
     narrow = docs.select(docs[id_column], docs[text_column].cast("binary"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -16,8 +19,31 @@ ROWS_PER_BATCH = 128
 CHUNK_BYTES = 1 << 20
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, through the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(top.rglob("*.py")):
+            archive.write(source, source.relative_to(top.parent))
+    uri = f"{fresh_folder(spark, 'code')}/{top.name}.zip"
+    store, path = filesystem(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    context.addPyFile(uri)
+    _shipped.add(context.applicationId)
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Settings that the Python stages rely on: small batches and adaptive execution."""
+    """What the Python stages rely on: the package on executors, small batches, adaptive execution."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

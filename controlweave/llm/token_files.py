@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from controlweave.llm.tables import batch, decoded, filesystem, partitions, written
+from controlweave.llm.tables import batch, decoded, filesystem, partitions, prepared, written
 from controlweave.session import fresh_folder
 
 MAGIC = b"CWTOKIDX"
@@ -101,7 +101,7 @@ def write_ids(
     texts; null document ids come first. An empty table gives no shards. Other columns are
     ignored whatever their names. One shuffle, by ranges of the document id.
     """
-    spark = docs.sparkSession
+    spark = prepared(docs.sparkSession)
     folder = folder or fresh_folder(spark, "token-files")
     size = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
     width = 4 if (wide if wide is not None else max(size, (end_id or 0) + 1) > 1 << 16) else 2
@@ -208,5 +208,5 @@ def read_ids(shards: DataFrame, digests_only: bool = False) -> DataFrame:
                     values = [zlib.crc32(shard[i].astype("<u4").tobytes()) if digests_only else shard[i].astype(np.int64) for i in span]
                     yield batch(schema, [keys, starts, np.diff(shard.offsets[span.start : span.stop + 1]), values])
 
-    n = partitions(shards.sparkSession)
+    n = partitions(prepared(shards.sparkSession))
     return shards.select("shard").repartition(n, "shard").mapInArrow(read, _READ if digests_only else _READ_IDS)
