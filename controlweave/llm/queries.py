@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from controlweave.llm import byte_bpe, ngram_join, token_files, vectors, warc
+from controlweave.llm import byte_bpe, line_chunks, ngram_join, token_files, vectors, warc
 from controlweave.llm.tables import table
 from controlweave.workload.common import Query
 
@@ -63,6 +63,40 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM own JOIN lowest ON own.vec_id = lowest.id LEFT JOIN counts ON counts.id = vec_id"""
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.remove_repeats(docs)
+
+
+OP8_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line, len(l) AS n_lines
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), hashed AS (
+    SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines
+), ended AS (
+    SELECT *, i = n_lines OR (h + 31 * coalesce(lag(h) OVER w, 0)) % 3 = 0 AS ends FROM hashed
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+    SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+    FROM ended
+), chunks AS (
+    SELECT doc_id, k, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk
+    FROM numbered GROUP BY doc_id, k
+), placed AS (
+    SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, start) > 1 AS gone FROM chunks
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.kept, '') END AS text,
+       CAST(coalesce(c.n_lines, 0) AS INT) AS n_lines, CAST(coalesce(c.removed_chunks, 0) AS INT) AS removed_chunks,
+       CAST(coalesce(c.removed_lines, 0) AS INT) AS removed_lines
+FROM documents d LEFT JOIN (
+    SELECT doc_id, sum(n) AS n_lines, count(*) FILTER (WHERE gone) AS removed_chunks,
+           coalesce(sum(n) FILTER (WHERE gone), 0) AS removed_lines,
+           string_agg(chunk, chr(10) ORDER BY start) FILTER (WHERE NOT gone) AS kept
+    FROM placed GROUP BY doc_id
+) c USING (doc_id)"""
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents"), ngram_join.Rule(n=4, percent=85))
 
@@ -96,5 +130,6 @@ QUERIES: dict[str, Query] = {
     "op4_token_files": Query(op4_token_files),
     "op5_byte_bpe": Query(op5_byte_bpe),
     "op6_near_vectors": Query(op6_near_vectors, OP6_SQL),
+    "op8_line_chunks": Query(op8_line_chunks, OP8_SQL),
     "op9_ngram_join": Query(op9_ngram_join, OP9_SQL),
 }

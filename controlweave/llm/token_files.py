@@ -1,8 +1,8 @@
 """Token ids in flat binary files with 64-bit document offsets.
 
 A data set is a folder with shards ``<name>.bin`` (the ids, flat, as unsigned 16- or 32-bit
-little-endian integers), ``<name>.len`` (one unsigned 64-bit count per document, an intermediate)
-and ``<name>.idx``::
+little-endian integers), ``<name>.len`` and ``<name>.key`` (counts and ids of the
+documents, from which the index is made) and ``<name>.idx``::
 
     8 bytes   CWTOKIDX
     u64       format version (1)
@@ -18,6 +18,7 @@ Shards follow one another by their first document. Readers map both files into m
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,6 +38,11 @@ VERSION = 1
 NULL_ID = -(1 << 63)
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 400_000
+#: Words given to the tokenizer as one text.
+JOINED = 200
+GROUP_BYTES = 2 << 20
+#: The tokenizer's split pattern on lower-case ASCII.
+_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _SHARDS = "shard string, first_id bigint, n_docs bigint, n_ids bigint"
 _READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 _READ_IDS = "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>"
@@ -45,47 +51,89 @@ _READ_IDS = "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>"
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that drops white space and never crosses it.
 
-    Each distinct white-space separated word is encoded once and remembered; that is exact because
-    neither the normalizer nor the split pattern of such a file joins characters across ASCII white
-    space. ``checked`` compares with the tokenizer itself on texts where that is unsure.
+    Each distinct white-space separated word is encoded once and remembered, as neither the
+    normalizer nor the split pattern joins characters across ASCII white space. Texts that hold an
+    added token are read whole by the tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = False
         self.specials = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether an id ends a match of the split pattern.
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.begins, self.sizes = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]
         out = self._by_words(texts)
-        for i in whole:  # an added token may hold or touch anything: the tokenizer reads the whole text
-            out[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int64)
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.specials):
+                out[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        coded = split.flatten().dictionary_encode()
+        # a comma or full stop after a letter is a match of its own, so it may stand apart
+        spread = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"([A-Za-z])([.,])(\s)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(spread)
+        flat = split.flatten()
+        # case makes no difference in ASCII words (in others it may, before characters are composed)
+        foldable = pc.and_not(pc.string_is_ascii(flat), pc.match_substring(flat, "<"))
+        coded = pc.if_else(foldable, pc.ascii_lower(flat), flat).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        missing = [w for w in words if w and w not in self.known]
-        if len(self.known) + len(missing) > self.limit:
-            self.known, missing = {}, [w for w in words if w]
-        for word, got in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.known[word] = np.asarray(got.ids, np.uint32)
-        nothing = np.empty(0, np.uint32)
-        parts = [self.known[w] if w else nothing for w in words]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate([*parts, nothing])
-        begins = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[codes]
+        if len(self.number) > self.limit:
+            self._forget()
+        self._learn([w for w in words if w not in self.number])
+        known = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        codes = known[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.sizes[codes]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(begins[codes] - ends + n, n) + np.arange(total)]
-        per_text = np.concatenate([[0], ends])[split.offsets.to_numpy()]
-        return np.split(ids, per_text[1:-1]) if len(texts) else []
+        ids = self.flat[np.repeat(self.begins[codes] - ends + n, n) + np.arange(n.sum())]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words: ASCII ones joined by spaces, as a call costs more than a word."""
+        special = {w for w in words if any(s in w for s in self.specials)}
+        plain = [w for w in words if w.isascii() and w not in special]
+        other = [w for w in words if not w.isascii() or w in special]
+        joined = [" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        encode = lambda some: self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        ids = np.array([i for got in encode(joined) for i in got.ids], np.uint32)
+        # the pattern's matches in each word tell which of the final ids are its last
+        matches = np.fromiter((1 if w.isalpha() else len(_ASCII_SPLIT.findall(w.lower())) for w in plain), np.int64, len(plain))
+        finals = np.flatnonzero(self.final[ids]) + 1
+        if len(finals) != matches.sum():
+            raise ValueError("the tokenizer splits words otherwise than this reader")
+        ends = finals[np.cumsum(matches) - 1] if len(plain) else np.empty(0, np.int64)
+        rest = [got.ids for got in encode(other)]
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
+        new = np.concatenate([ids, np.array([i for r in rest for i in r], np.uint32)])
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, new])
+        self.number.update(zip([*plain, *other], range(len(self.number), len(self.number) + len(words)), strict=True))
+
+
+def _groups(batches) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of several batches, about GROUP_BYTES of text together."""
+    parts, texts, size = [], [], 0
+    for part in batches:
+        some = part.column(1).to_pylist()
+        parts.append(part.column(0))
+        texts += [decoded(t) for t in some]
+        size += sum(len(t) for t in some if t)
+        if size >= GROUP_BYTES:
+            yield pa.concat_arrays(parts), texts
+            parts, texts, size = [], [], 0
+    if texts:
+        yield pa.concat_arrays(parts), texts
 
 
 def write_ids(
@@ -113,21 +161,18 @@ def write_ids(
         tokenizer, store, place = WordTokenizer(tokenizer_path), *filesystem(folder)
         name, first, n_docs, n_ids = f"{place}/{uuid.uuid4().hex}", None, 0, 0
         out = lengths = keys = None
-        for part in batches:
-            if not part.num_rows:
-                continue
+        for column, texts in _groups(batches):
             if out is None:
                 store.create_dir(place, recursive=True)
                 out, lengths, keys = (store.open_output_stream(f"{name}.{x}") for x in ("bin", "len", "key"))
-                first = part.column(0)[0].as_py()
-            texts = [decoded(t) for t in part.column(1).to_pylist()]
-            for ids in tokenizer.encode(texts):
-                n = len(ids) + (end_id is not None)
-                out.write(np.concatenate([ids, [end_id]]).astype(f"<u{width}").tobytes() if end_id is not None else ids.astype(f"<u{width}").tobytes())
-                lengths.write(np.array([n], "<u8").tobytes())
-                n_ids += n
-            keys.write(part.column(0).fill_null(NULL_ID).to_numpy().astype("<i8").tobytes())
-            n_docs += part.num_rows
+                first = column[0].as_py()
+            tail = [] if end_id is None else [np.array([end_id])]
+            coded = tokenizer.encode(texts)
+            out.write(np.concatenate([x for ids in coded for x in (ids, *tail)]).astype(f"<u{width}").tobytes())
+            counts = np.fromiter(map(len, coded), np.int64, len(coded)) + len(tail)
+            lengths.write(counts.astype("<u8").tobytes())
+            keys.write(column.fill_null(NULL_ID).to_numpy().astype("<i8").tobytes())
+            n_ids, n_docs = n_ids + int(counts.sum()), n_docs + len(texts)
         if out is not None:
             for stream in (out, lengths, keys):
                 stream.close()
