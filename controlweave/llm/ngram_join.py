@@ -26,8 +26,10 @@ from controlweave.llm.tables import batch, chunks, partitions, payloads, prepare
 SLOT_BITS = 21
 #: Counters of one row when the tables of tasks are summed.
 SLOTS_PER_ROW = 1 << 15
-#: Ranges of the hash space whose counts bound the overlap of two sets (suffix filter).
-RANGES = 64
+#: Ranges of the hash space. Whether a set's count in each is odd takes one bit; sets differ in at
+#: least as many n-grams as bits (suffix filter: a bound of the Hamming distance by ranges).
+RANGES = 512
+_BITS = [f"s{i}" for i in range(RANGES // 64)]
 #: Bits of the table of nodes whose sets are needed.
 NEEDED_BITS = 23
 #: Rounds of linear linking before all remaining pairs are looked at.
@@ -74,8 +76,8 @@ def _node(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), len(grams)) - (1 << 63)
 
 
-_DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("ranges", pa.binary()), ("slots", pa.int32()), ("counts", pa.binary())])
-_DOCS_DDL = "doc_id bigint, n bigint, node bigint, ranges binary, slots int, counts binary"
+_DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), *((b, pa.int64()) for b in _BITS), ("slots", pa.int32()), ("counts", pa.binary())])
+_DOCS_DDL = f"doc_id bigint, n bigint, node bigint, {', '.join(f'{b} bigint' for b in _BITS)}, slots int, counts binary"
 
 
 def _described(n: int):
@@ -87,20 +89,20 @@ def _described(n: int):
             rows = []
             for grams in shingle_sets([t or b"" for t in payloads(part.column(1))], n):
                 if not len(grams):
-                    rows.append((0, None, None))
+                    rows.append((0, None, *[None] * len(_BITS)))
                     continue
                 node = _node(grams)
                 if node not in seen:
                     seen.add(node)
                     np.add.at(table, (grams & U64(table.size - 1)).astype(np.int64), 1)
-                counts = np.bincount((grams >> U64(58)).astype(np.int64), minlength=RANGES)
-                rows.append((len(grams), node, np.minimum(counts, 65535).astype("<u2").tobytes()))
+                odd = np.bincount((grams >> U64(55)).astype(np.int64), minlength=RANGES) & 1
+                rows.append((len(grams), node, *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
             none = [None] * len(rows)
-            yield batch(_DOCS, [part.column(0), *([r[k] for r in rows] for k in range(3)), none, none])
+            yield batch(_DOCS, [part.column(0), *([r[k] for r in rows] for k in range(2 + len(_BITS))), none, none])
         if seen:
             blocks = table.reshape(-1, SLOTS_PER_ROW)
             none = [None] * len(blocks)
-            yield batch(_DOCS, [none, none, none, none, range(len(blocks)), [pack.compress(b.tobytes()) for b in blocks]])
+            yield batch(_DOCS, [*[none] * (3 + len(_BITS)), range(len(blocks)), [pack.compress(b.tobytes()) for b in blocks]])
 
     return describe
 
@@ -180,20 +182,6 @@ def _sets_of(needed, n: int):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _suffix_filter(rule: Rule):
-    """Drop pairs whose counts by range of the hash space allow no sufficient overlap."""
-
-    def keep(batches) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int64) for c in ("ranges_a", "ranges_b"))
-            full = ((x == 65535) & (y == 65535)).any(axis=1)  # cut counts bound nothing
-            sizes = part.column("n_a").to_numpy() + part.column("n_b").to_numpy()
-            ok = full | (np.minimum(x, y).sum(axis=1) >= rule.overlap(sizes, 0))
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], schema=_PAIRS)
-
-    return keep
-
-
 def _verified(rule: Rule):
     def check(batches) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -217,9 +205,9 @@ class Join:
         self.spark, self.rule, self.docs = prepared(docs.sparkSession), rule, docs
         described = written(docs.mapInArrow(_described(rule.n), _DOCS_DDL), "sets-described")
         self.described = described.where("slots IS NULL").drop("slots", "counts")
-        self.nodes = self.described.where("node IS NOT NULL").groupBy("node").agg(F.first("ranges").alias("ranges"), F.first("n").alias("n"))
+        first = [F.first(c).alias(c) for c in ("n", *_BITS)]
+        self.nodes = written(self.described.where("node IS NOT NULL").groupBy("node").agg(*first), "nodes")
         self.entries = self._entries(described)
-        self.sets = self._sets()
 
     def _entries(self, described: DataFrame) -> DataFrame:
         """Prefix entries of n-grams that two nodes at least have in their prefixes."""
@@ -231,9 +219,19 @@ class Join:
         shared = placed.withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group))
         return written(shared.where("least <> most").drop("least", "most"), "prefix-entries")
 
-    def _sets(self) -> DataFrame:
-        needed = self.spark.sparkContext.broadcast(_needed(self.entries.select("node").distinct()))
-        return written(self.docs.select("text").mapInArrow(_sets_of(needed, self.rule.n), "node bigint, grams binary").dropDuplicates(["node"]), "prefix-sets")
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes in these pairs, at least."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        needed = self.spark.sparkContext.broadcast(_needed(nodes))
+        return self.docs.select("text").mapInArrow(_sets_of(needed, self.rule.n), "node bigint, grams binary").dropDuplicates(["node"])
+
+    def _alike(self, a: str, b: str):
+        """The suffix filter: the sets may differ in few enough n-grams to link."""
+        p = self.rule.percent
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _BITS[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+        # linked sets share p / (100 + p) of their sizes' sum, so they differ in the rest
+        return apart * (100 + p) <= (na + nb) * (100 - p)
 
     def _fits(self, a: str, b: str):
         """Length and positional filters for entries of the shorter set a and the longer set b."""
@@ -250,10 +248,12 @@ class Join:
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, each verified once."""
         once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        info = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("ranges").alias(f"ranges_{s}"))
-        likely = written(once.join(info("a"), "a").join(info("b"), "b").mapInArrow(_suffix_filter(self.rule), "a bigint, b bigint"), "likely-pairs")
-        sets = lambda s: self.sets.select(F.col("node").alias(s), F.col("grams").alias(f"grams_{s}"))
-        return likely.join(sets("a"), "a").join(sets("b"), "b").mapInArrow(_verified(self.rule), "a bigint, b bigint")
+        info = lambda s: self.nodes.withColumnRenamed("node", s).alias(f"of_{s}")
+        likely = once.join(info("a"), "a").join(info("b"), "b").where(self._alike("of_a", "of_b"))
+        likely = written(likely.select("a", "b"), "likely-pairs")
+        sets = self._sets(likely)
+        own = lambda s: sets.select(F.col("node").alias(s), F.col("grams").alias(f"grams_{s}"))
+        return likely.join(own("a"), "a").join(own("b"), "b").mapInArrow(_verified(self.rule), "a bigint, b bigint")
 
     def _grouped(self, links: DataFrame | None) -> DataFrame:
         """Entries with the group of their node, of n-grams that several groups share."""
@@ -282,9 +282,10 @@ class Join:
             new = written(self._verify(self._neighbours(self._grouped(found), turn)), "verified")
             found = new if found is None else found.union(new)
         entries = self._grouped(found)
+        entries = written(entries.join(self.nodes.drop("n"), "node"), "signed-entries")
         a, b = entries.alias("x"), entries.alias("y")
         # a bucket that many groups share is one hot key of this join, which adaptive execution splits
-        near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & self._fits("x", "y")
+        near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & self._fits("x", "y") & self._alike("x", "y")
         rest = a.join(b, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         return found.union(written(self._verify(rest), "verified"))
 
