@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from controlweave.llm import byte_bpe, line_chunks, ngram_join, token_files, vectors, warc
+from controlweave.llm import byte_bpe, line_chunks, ngram_join, token_files, toxicity, vectors, warc
 from controlweave.llm.tables import table
 from controlweave.workload.common import Query
 
@@ -32,6 +33,12 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM sized"""
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("hits").alias("n_hits"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_ids(shards, digests_only=True)
@@ -127,6 +134,7 @@ JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = d.do
 
 QUERIES: dict[str, Query] = {
     "op1_warc": Query(op1_warc, OP1_SQL),
+    "op3_toxicity": Query(op3_toxicity),
     "op4_token_files": Query(op4_token_files),
     "op5_byte_bpe": Query(op5_byte_bpe),
     "op6_near_vectors": Query(op6_near_vectors, OP6_SQL),
