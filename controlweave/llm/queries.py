@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from controlweave.llm import byte_bpe, line_chunks, ngram_join, token_files, toxicity, vectors, warc
+from controlweave.llm import byte_bpe, decontaminate, line_chunks, ngram_join, substrings, token_files, toxicity, vectors, warc
 from controlweave.llm.tables import table
 from controlweave.workload.common import Query
 
@@ -33,6 +33,10 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM sized"""
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -70,6 +74,10 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM own JOIN lowest ON own.vec_id = lowest.id LEFT JOIN counts ON counts.id = vec_id"""
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_chunks.remove_repeats(docs)
@@ -134,10 +142,12 @@ JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = d.do
 
 QUERIES: dict[str, Query] = {
     "op1_warc": Query(op1_warc, OP1_SQL),
+    "op2_repeated_passages": Query(op2_repeated_passages),
     "op3_toxicity": Query(op3_toxicity),
     "op4_token_files": Query(op4_token_files),
     "op5_byte_bpe": Query(op5_byte_bpe),
     "op6_near_vectors": Query(op6_near_vectors, OP6_SQL),
+    "op7_decontaminate": Query(op7_decontaminate),
     "op8_line_chunks": Query(op8_line_chunks, OP8_SQL),
     "op9_ngram_join": Query(op9_ngram_join, OP9_SQL),
 }
