@@ -90,40 +90,39 @@ class Codec:
         return self.encoding.decode_bytes(ids)
 
 
-ENCODED = "n_tokens bigint, ids binary, ids_sha256 string, decoded binary, decoded_sha256 string"
-DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-
-
 def encode_texts(
     docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
-    digests_only: bool = False, piece: int = PIECE,
+    with_ids: bool = True, with_decoded: bool = True, piece: int = PIECE,
 ) -> DataFrame:
     """Ids of every whole text by the rank file, and the bytes they decode to.
 
-    Result: the id column, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit), ``ids_sha256``,
-    ``decoded`` (raw bytes) and ``decoded_sha256``; with ``digests_only`` no ids and bytes.
-    Null and empty texts give no ids and empty bytes. Repeated rows and null ids are kept, an
-    empty table gives an empty result, other columns are ignored whatever their names. Invalid
-    UTF-8 is read with U+FFFD in place of each broken sequence. Narrow: no shuffle.
+    Result: the id column, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, unless left out,
+    ``ids`` (little-endian unsigned 32-bit) and ``decoded`` (raw bytes). Null and empty texts give no
+    ids and empty bytes. Repeated rows and null ids are kept, an empty table gives an empty result,
+    other columns are ignored whatever their names. Invalid UTF-8 is read with U+FFFD in place of
+    each broken sequence. Narrow: no shuffle.
     """
     prepared(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, {DIGESTS if digests_only else ENCODED}"
+    extra = ["ids"] * with_ids + ["decoded"] * with_decoded
+    schema = f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} binary" for c in extra)
     narrow = docs.select(docs[id_column], docs[text_column].cast("binary"))
 
     def encoded(batches):
         codec = Codec(ranks_path, pattern, piece)
         for part in batches:
-            rows: list[tuple] = []
+            columns: dict[str, list] = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for data in payloads(part.column(1)):
                 ids = codec.encode(decoded(data))
-                packed = np.asarray(ids, "<u4").tobytes()
-                back = codec.decode(ids)
-                digests = hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest()
-                rows.append((len(ids), digests[0], digests[1]) if digests_only else (len(ids), packed, digests[0], back, digests[1]))
-            types = [pa.int64(), pa.string(), pa.string()] if digests_only else [pa.int64(), pa.binary(), pa.string(), pa.binary(), pa.string()]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests_only else ["n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"]
-            out = pa.schema([pa.field(id_column, part.schema.field(0).type), *map(pa.field, names, types)])
-            yield batch(out, [part.column(0), *([r[k] for r in rows] for k in range(len(types)))])
+                packed, back = np.asarray(ids, "<u4").tobytes(), codec.decode(ids)
+                columns["n_tokens"].append(len(ids))
+                columns["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                columns["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
+                for name, value in (("ids", packed), ("decoded", back)):
+                    if name in extra:
+                        columns[name].append(value)
+            types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), **dict.fromkeys(extra, pa.binary())}
+            out = pa.schema([pa.field(id_column, part.schema.field(0).type), *types.items()])
+            yield batch(out, [part.column(0), *(columns[c] for c in types)])
 
     return narrow.mapInArrow(encoded, schema)

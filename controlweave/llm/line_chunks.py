@@ -7,18 +7,15 @@ once anywhere, the first occurrence stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from controlweave.llm.tables import prepared, written
+from controlweave.llm.tables import prepared, with_maybe, written
 
 #: On average, every so many lines a chunk ends.
 LINES = 3
 #: Chunks of fewer lines stay, however often they occur.
 LEAST_LINES = 2
-#: Bits of the table that tells documents which hold no repeated chunk; 1 MB whatever the corpus.
-TABLE_BITS = 23
-
 
 def _let(name: str, value: str, body: str) -> str:
     """SQL for ``body`` with ``name`` standing for ``value``, which is evaluated once.
@@ -40,22 +37,6 @@ def _chunks(lines: int) -> str:
     return _let("_l", "split(text, '\n', -1)", _let("_h", hashes, _let("_e", ends, f"transform(_e, (e, k) -> {chunk})")))
 
 
-def _place() -> Column:
-    """A document's bit in the table, counted from 1."""
-    return F.pmod(F.xxhash64("key"), F.lit(1 << TABLE_BITS)) + 1
-
-
-def _with_maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Add ``maybe``: false only where the document's key is not among ``keys``."""
-    place = _place().alias("p")
-    table = keys.select(place).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    # at most 256 rows of 4 kB
-    joined = rows.withColumn("p", _place()).withColumn("bucket", F.expr("bitmap_bucket_number(p)")).join(F.broadcast(table), "bucket", "left")
-    byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 AS int) + 1, 1)), 16, 10) AS int)"
-    maybe = F.expr(f"coalesce(getbit({byte}, cast(bitmap_bit_position(p) % 8 AS int)) = 1, false)")
-    return joined.withColumn("maybe", maybe).drop("p", "bucket", "bits")
-
-
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lines: int = LINES, least_lines: int = LEAST_LINES,
 ) -> DataFrame:
@@ -85,7 +66,7 @@ def remove_repeats(
     candidates = written(marks.join(repeated, ["mark", "size"], "left_semi").select("key", "start"), "chunk-candidates")
 
     # 2. texts of those chunks, compared byte by byte; the first occurrence of each stays
-    flagged = _with_maybe(rows, candidates.select("key").distinct())
+    flagged = with_maybe(rows, "key", candidates)
     wanted = candidates.groupBy("key").agg(F.collect_set("start").alias("wanted"))
     holding = flagged.where("maybe").select("key", "text").join(wanted, "key")
     occurring = holding.select("key", F.explode_outer(F.expr(f"filter({_chunks(lines)}, c -> array_contains(wanted, c.start))")).alias("c"))

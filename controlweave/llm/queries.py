@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from controlweave.llm import byte_bpe, decontaminate, line_chunks, ngram_join, substrings, token_files, toxicity, vectors, warc
+from controlweave.llm import byte_bpe, decontaminate, licenses, line_chunks, ngram_join, substrings, token_files, toxicity, vectors, warc
 from controlweave.llm.tables import table
 from controlweave.workload.common import Query
 
@@ -50,7 +50,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests_only=True)
+    return byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False, with_decoded=False)
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +140,10 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = d.doc_id"""
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": Query(op1_warc, OP1_SQL),
     "op2_repeated_passages": Query(op2_repeated_passages),
@@ -150,4 +154,5 @@ QUERIES: dict[str, Query] = {
     "op7_decontaminate": Query(op7_decontaminate),
     "op8_line_chunks": Query(op8_line_chunks, OP8_SQL),
     "op9_ngram_join": Query(op9_ngram_join, OP9_SQL),
+    "op10_licenses": Query(op10_licenses),
 }

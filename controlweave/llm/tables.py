@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from controlweave.session import fresh_folder
 
@@ -17,6 +18,8 @@ from controlweave.session import fresh_folder
 ROWS_PER_BATCH = 128
 #: Bytes of text that one numpy pass works on.
 CHUNK_BYTES = 1 << 20
+#: Bits of a table that tells which keys are certainly not in a set; 1 MB whatever the set.
+TABLE_BITS = 23
 
 
 _shipped: set[str] = set()
@@ -61,6 +64,32 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def with_maybe(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Add ``maybe``: false only for rows whose ``key`` is not among those of ``keys``.
+
+    Rows that certainly aren't concerned then need no shuffle.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << TABLE_BITS)) + 1
+    found = keys.select(place.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_bucket"))
+    bits = found.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
+    # at most 256 rows of 4 kB
+    joined = rows.withColumn("_p", place).withColumn("_bucket", F.expr("bitmap_bucket_number(_p)")).join(F.broadcast(bits), "_bucket", "left")
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    maybe = F.expr(f"coalesce(getbit({byte}, cast(bitmap_bit_position(_p) % 8 AS int)) = 1, false)")
+    return joined.withColumn("maybe", maybe).drop("_p", "_bucket", "_bits")
+
+
+def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not among those of ``keys``; rows without a key stay.
+
+    Only rows that may be concerned are shuffled.
+    """
+    held = rows.select(F.col(key).alias("_key"), F.struct("*").alias("_row"))
+    flagged = with_maybe(held, "_key", keys.select(F.col(key).alias("_key")))
+    checked = flagged.where("maybe").join(keys.select(F.col(key).alias("_key")).distinct(), "_key", "left_anti")
+    return checked.select("_row.*").union(flagged.where("NOT maybe").select("_row.*"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

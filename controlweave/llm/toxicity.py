@@ -339,3 +339,19 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             yield batch(out, [part.column(0), part.column(1), scores, [int(s >= threshold) for s in scores], hits])
 
     return own.mapInArrow(scored, f"`{id_column}` {kind}, held_out boolean, score double, predicted int, hits {_HIT_DDL}")
+
+
+def accepted(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold. Narrow: no shuffle."""
+    prepared(docs.sparkSession)
+    place = docs.columns.index(text_column)
+
+    def keep(batches) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
+        for part in batches:
+            good = []
+            for _, group in chunks([t or b"" for t in payloads(part.column(place))]):
+                good += [_score(model, n, found) < threshold for n, found in reader.hits([decoded(t) for t in group])]
+            yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
