@@ -28,7 +28,7 @@ SLOT_BITS = 21
 SLOTS_PER_ROW = 1 << 15
 #: Ranges of the hash space. Whether a set's count in each is odd takes one bit; sets differ in at
 #: least as many n-grams as bits (suffix filter: a bound of the Hamming distance by ranges).
-RANGES = 512
+RANGES = 1024
 _BITS = [f"s{i}" for i in range(RANGES // 64)]
 #: Bits of the table of nodes whose sets are needed.
 NEEDED_BITS = 23
@@ -95,7 +95,7 @@ def _described(n: int):
                 if node not in seen:
                     seen.add(node)
                     np.add.at(table, (grams & U64(table.size - 1)).astype(np.int64), 1)
-                odd = np.bincount((grams >> U64(55)).astype(np.int64), minlength=RANGES) & 1
+                odd = np.bincount((grams >> U64(54)).astype(np.int64), minlength=RANGES) & 1
                 rows.append((len(grams), node, *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
             none = [None] * len(rows)
             yield batch(_DOCS, [part.column(0), *([r[k] for r in rows] for k in range(2 + len(_BITS))), none, none])
@@ -221,7 +221,7 @@ class Join:
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
         """The sets of the nodes in these pairs, at least."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        nodes = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct())
         needed = self.spark.sparkContext.broadcast(_needed(nodes))
         return self.docs.select("text").mapInArrow(_sets_of(needed, self.rule.n), "node bigint, grams binary").dropDuplicates(["node"])
 
