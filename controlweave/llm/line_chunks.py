@@ -48,7 +48,7 @@ def remove_repeats(
     ids come first. Rows that repeat an id and its text are cut alike; an empty table gives no rows.
 
     Only documents that may hold a repeated chunk are shuffled with their texts, told by a table of
-    fixed size; the others pass by.
+    fixed size; the others pass by. All joins sort and merge, so that plans are alike at every size.
     """
     prepared(docs.sparkSession)
     others = [c for c in docs.columns if c != text_column]
@@ -63,21 +63,21 @@ def remove_repeats(
     every = rows.select("key", F.explode_outer(F.expr(_chunks(lines))).alias("c")).where(repeatable)
     marks = written(every.select("key", F.col("c.start").alias("start"), F.xxhash64("c.text").alias("mark"), F.length("c.text").alias("size")), "chunk-hashes")
     repeated = marks.groupBy("mark", "size").agg(F.count("*").alias("times")).where("times > 1").select("mark", "size")
-    candidates = written(marks.join(repeated, ["mark", "size"], "left_semi").select("key", "start"), "chunk-candidates")
+    candidates = written(marks.join(repeated.hint("merge"), ["mark", "size"], "left_semi").select("key", "start"), "chunk-candidates")
 
     # 2. texts of those chunks, compared byte by byte; the first occurrence of each stays
     flagged = with_maybe(rows, "key", candidates)
     wanted = candidates.groupBy("key").agg(F.collect_set("start").alias("wanted"))
-    holding = flagged.where("maybe").select("key", "text").join(wanted, "key")
+    holding = flagged.where("maybe").select("key", "text").join(wanted.hint("merge"), "key")
     occurring = holding.select("key", F.explode_outer(F.expr(f"filter({_chunks(lines)}, c -> array_contains(wanted, c.start))")).alias("c"))
     occurrences = written(occurring.select("key", F.col("c.start").alias("start"), F.col("c.text").alias("chunk")).distinct(), "chunk-texts")
     firsts = occurrences.groupBy("chunk").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").select("chunk", "first")
     # a chunk that very many documents hold is one hot key of this join, which adaptive execution splits
-    later = occurrences.join(firsts, "chunk").where(F.struct("key", "start") != F.col("first"))
+    later = occurrences.join(firsts.hint("merge"), "chunk").where(F.struct("key", "start") != F.col("first"))
     removed = written(later.groupBy("key").agg(F.collect_set("start").alias("removed")), "chunks-removed")
 
     # 3. texts without them
-    touched = flagged.where("maybe").join(removed, "key", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    touched = flagged.where("maybe").join(removed.hint("merge"), "key", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     gone = _let("g", "filter(c, x -> array_contains(removed, x.start))", "struct(size(g) AS removed_chunks, aggregate(g, 0, (t, x) -> t + x.n) AS removed_lines)")
     kept = "array_join(transform(filter(c, x -> NOT array_contains(removed, x.start)), x -> x.text), '\n')"
     whole = f"struct(aggregate(c, 0, (t, x) -> t + x.n) AS n_lines, {gone} AS gone, {kept} AS kept)"
