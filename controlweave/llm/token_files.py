@@ -42,7 +42,7 @@ CACHED_WORDS = 400_000
 JOINED = 200
 GROUP_BYTES = 2 << 20
 #: The tokenizer's split pattern on lower-case ASCII.
-_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _SHARDS = "shard string, first_id bigint, n_docs bigint, n_ids bigint"
 _READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 _READ_IDS = "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>"

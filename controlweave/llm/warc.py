@@ -31,6 +31,7 @@ READ_BYTES = 1 << 20
 #: A header block larger than this is taken as damage.
 HEADER_LIMIT = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _HTTP_LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
@@ -180,7 +181,11 @@ def _headers(head: bytes) -> dict[str, str]:
         if not colon or not name.strip():
             raise Damage("broken header line")
         last = name.strip().decode("utf-8", "replace").lower()
+        if last in out and last != "warc-concurrent-to":  # the rest of one header before the next
+            raise Damage("repeated header field")
         out[last] = value.strip().decode("utf-8", "replace")
+    if not _MANDATORY <= out.keys():
+        raise Damage("missing header field")
     return out
 
 
