@@ -31,18 +31,32 @@ def equi_join(
 
     Adaptive execution splits a hot key of the left side in any join, but a hot
     key of the right side only in an inner join. So where a key may hold very
-    many right rows (``rows_per_key`` bounds them), a left join is written as its
-    two halves: the matches, an inner join that can be split on both sides, and
-    the misses, an anti join with the distinct right keys, which have no hot key.
-    Both halves need the same shuffle of the left side, which Spark then reuses.
+    many right rows (``rows_per_key`` bounds them), the keys that do are measured
+    in the plan and salted: their right rows are spread, their left rows repeated
+    once per share. All other rows go through the same join unchanged, and every
+    row is shuffled once.
     """
     condition = key_condition(pairs)
     if how == "inner" or rows_per_key is None or rows_per_key <= split_above:
         return left.join(right, condition, how)
-    keys = right.select(*[quoted(r) for _, r in pairs]).distinct()
-    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
-    misses = left.join(keys, condition, "left_anti").select(*[quoted(c) for c in left.columns], *absent)
-    return left.join(right, condition, "inner").unionByName(misses)
+    names = [f"_hot_{i}" for i in range(len(pairs))]
+    keys = [quoted(r).alias(n) for (_, r), n in zip(pairs, names)]
+    counted = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > split_above)
+    # at most one row per ``split_above`` right rows
+    hot = F.broadcast(counted.select(*names, F.ceil(F.col("_rows") / max(split_above, 1)).alias("_shares")))
+    beside = lambda frame, own: frame.join(hot, reduce(and_, [quoted(c) == F.col(n) for c, n in zip(own, names)]), "left")
+    shares = F.coalesce("_shares", F.lit(1))
+    marked = beside(left, [l for l, _ in pairs])
+    repeated = marked.select(
+        *[quoted(c) for c in left.columns], "_shares", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("_share")
+    )
+    spread = beside(right, [r for _, r in pairs]).select(
+        *[quoted(c) for c in right.columns], F.floor(F.rand(7) * shares).alias("_salt")
+    )
+    joined = repeated.join(spread, condition & (F.col("_share") == F.col("_salt")), "left")
+    # a hot key has matches: a share of it without any is no miss
+    matched = joined.filter(F.col("_shares").isNull() | F.col("_salt").isNotNull())
+    return matched.select(*[quoted(c) for c in [*left.columns, *right.columns]])
 
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

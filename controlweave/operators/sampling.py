@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from operator import and_
 from statistics import NormalDist
@@ -23,9 +24,6 @@ from controlweave.operators.population import Joined
 from controlweave.plans.spec import Sampling
 from controlweave.session import shared_folder
 
-# Up to this many rows are taken by one distributed top-n; above it the cut-off
-# draw is found from counts and each task keeps its own rows.
-TOP_ROWS = 2_000
 # Draws are counted by their first hex digits: at most 16**PREFIX counts.
 PREFIX = 4
 # Copies of one row are written out in blocks of this many rows per task.
@@ -70,18 +68,6 @@ def statistical_quota(plan: Sampling) -> Quota:
     return quota
 
 
-def lowest_draws(frame: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
-    """Top-n: each task sends on at most n rows."""
-    names = frame.columns
-    ties = [quoted(c) for c in names]
-    return (
-        frame.withColumn("_draw", draw(key, seed))
-        .orderBy("_draw", *ties)
-        .limit(n)
-        .select(*[quoted(c) for c in names])
-    )
-
-
 def same_stratum(left: list[str], right: list[str]) -> Column:
     return reduce(and_, [quoted(a).eqNullSafe(quoted(b)) for a, b in zip(left, right)])
 
@@ -149,7 +135,7 @@ def draws_below_cut(
     )
     before = F.sum("_rows").over(
         Window.partitionBy(*[quoted(s) for s in strata])
-        .orderBy(*columns)
+        .orderBy("_draw")  # rows of one draw are copies, so there is one row per stratum
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("_rows")
     some = tied.withColumn("_take", F.least(F.col("_cut.copies") - before, F.col("_rows"))).filter("_take > 0")
@@ -260,6 +246,13 @@ def chosen_rows(frame: DataFrame, selection: DataFrame, pairs: list[tuple[str, s
     return frame.join(picks, condition, "left_semi")
 
 
+def settled(plan: Sampling | None) -> Sampling | None:
+    """The plan with a seed of its own, so that every later draw gives the same rows."""
+    if plan is None or not plan.enabled or plan.random_seed:
+        return plan
+    return replace(plan, random_seed=random.randrange(1, 2**31))
+
+
 def sample(joined: Joined, plan: Sampling | None, catalog) -> Joined:
     """The rows of the population that are tested."""
     if plan is None or not plan.enabled:
@@ -267,7 +260,7 @@ def sample(joined: Joined, plan: Sampling | None, catalog) -> Joined:
     frame, lineage = joined.frame, joined.lineage
     unique = bool(plan.sample_key)
     key = [lineage.physical(k) for k in plan.sample_key] or frame.columns
-    seed = plan.random_seed or random.randrange(1, 2**31)
+    seed = settled(plan).random_seed
     if plan.method == "judgmental":
         selection = catalog.frame(plan.selection_dataset)
         names = Lineage.of(selection, plan.selection_dataset)
@@ -279,8 +272,6 @@ def sample(joined: Joined, plan: Sampling | None, catalog) -> Joined:
         picked = draws_below_cut(frame, key, unique, quota, seed, lineage.physical(plan.stratification_field))
     elif plan.method == "statistical":
         picked = draws_below_cut(frame, key, unique, statistical_quota(plan), seed)
-    elif plan.sample_size and plan.sample_size <= TOP_ROWS:
-        picked = lowest_draws(frame, key, plan.sample_size, seed)
     elif plan.sample_size:
         picked = draws_below_cut(frame, key, unique, fixed_quota(plan.sample_size), seed)
     else:

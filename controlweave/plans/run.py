@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -17,11 +19,12 @@ from controlweave.functions.conditions import quoted, sql_text
 from controlweave.operators.groups import failing_groups, groups_failing_all
 from controlweave.operators.population import Joined, build_population
 from controlweave.operators.rules import broken_rules, compliant, row_exceptions, with_references
-from controlweave.operators.sampling import sample
+from controlweave.operators.sampling import sample, settled
 from controlweave.plans.metrics import exception_rows, metrics, sharing_key
 from controlweave.plans.spec import Control, SpecError
 
 EMPTY_POPULATION = "The population holds no rows after its filters, so nothing can be attested."
+SAMPLE_BUCKETS = 64
 SAMPLE_ROWS = 100  # exceptions shown in a report; all of them go to the exceptions sink
 PARALLEL_JOBS = 4
 
@@ -163,6 +166,7 @@ def report(controls: list[Control], catalog, lenient: bool = False) -> DataFrame
 
 def run_control(control: Control, catalog, lenient: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
     """One control: its report row and its exceptions, both lazy."""
+    control = replace(control, sampling=settled(control.sampling))
     return report([control], catalog, lenient), exceptions(control, catalog, lenient=lenient)
 
 
@@ -247,14 +251,22 @@ def failure(control: Control, verdict: str, error_type: str, message: str) -> di
 
 
 def collect_reports(controls: list[Control], catalog, lenient: bool) -> list[dict]:
-    """Report rows of controls that share a scan. If the scan fails, each control
-    is tried alone, so one bad control does not take the others with it."""
+    """Report rows of controls that share a scan. If the scan fails, for whatever
+    reason, either half is tried: a bad control among n costs about 2 log n scans
+    and does not take the others with it."""
     try:
         return [row.asDict() for row in report(controls, catalog, lenient).collect()]
-    except (SpecError, PySparkException) as error:
+    except Exception as error:  # noqa: BLE001 - a batch outlives its controls
         if len(controls) == 1:
-            return [failure(controls[0], "ERROR", type(error).__name__, str(error))]
-    return [line for c in controls for line in collect_reports([c], catalog, lenient)]
+            return [failure(controls[0], "ERROR", error_kind(error), str(error))]
+    half = len(controls) // 2
+    return [line for part in (controls[:half], controls[half:]) for line in collect_reports(part, catalog, lenient)]
+
+
+def error_kind(error: Exception) -> str:
+    """Spark's error condition where there is one, else the exception's class."""
+    found = re.search(r"\[([A-Z][A-Z0-9_.]{5,})\]", str(error)) if not isinstance(error, (SpecError, PySparkException)) else None
+    return found[1] if found else type(error).__name__
 
 
 def run_controls(
@@ -265,13 +277,21 @@ def run_controls(
     exceptions_to: str | None = None,
     lenient: bool = False,
     executed_at: datetime | None = None,
+    sample_rows: int = SAMPLE_ROWS,
+    run_id: str | None = None,
 ) -> DataFrame:
     """Run many controls and return their report rows, in the order given.
 
     Missing evidence gives SKIPPED, a control that does not bind or fails while
     running gives ERROR. With ``exceptions_to`` every exception is written there,
-    partitioned by control; with ``ledger`` the reports are appended to it.
+    partitioned by control; with ``ledger`` the reports are appended to it. An exception
+    table that cannot be stored leaves the verdicts standing; the report names the failure.
+    Samples without a seed get one for the run, which report, exceptions and ledger share.
     """
+    ids = [c.control_id for c in controls]
+    if len(set(ids)) < len(ids):
+        raise SpecError(f"control id(s) used twice: {', '.join(sorted({i for i in ids if ids.count(i) > 1}))}")
+    controls = [replace(c, sampling=settled(c.sampling)) for c in controls]
     executed_at = executed_at or datetime.now(timezone.utc).replace(tzinfo=None)
     lines: dict[str, dict] = {}
     fed = []
@@ -297,21 +317,31 @@ def run_controls(
     by_id = {c.control_id: c for c in controls}
     failing = [by_id[i] for i, line in lines.items() if line["verdict"] != "ERROR" and line.get("exception_count")]
     samples: list[DataFrame] = []
+    unstored: list[str] = []
     if exceptions_to or ledger is not None:
         for name, frame in exception_tables(failing, catalog, lenient).items():
-            if exceptions_to:
-                path = f"{exceptions_to}/{name}/run={executed_at:%Y%m%dT%H%M%S%f}"
-                # one shuffle of the exceptions: few files per control, a large control split
-                balanced = frame.hint("rebalance", "control_id")
-                balanced.write.mode("overwrite").partitionBy("control_id").parquet(path)
-                frame = spark.read.schema(frame.schema).parquet(path)
-            samples.append(samples_per_control(frame))
-
+            try:
+                if exceptions_to:
+                    path = f"{exceptions_to}/{name}/run={executed_at:%Y%m%dT%H%M%S%f}"
+                    # one shuffle of the exceptions: few files per control, a large control split
+                    balanced = frame.hint("rebalance", "control_id")
+                    balanced.write.mode("overwrite").partitionBy("control_id").parquet(path)
+                    frame = spark.read.schema(frame.schema).parquet(path)
+                samples.append(samples_per_control(frame, sample_rows))
+            except Exception as error:  # noqa: BLE001 - the verdicts stand
+                unstored.append(f"{name}: {error_kind(error)}: {error}")
+
+    for line in lines.values() if unstored else ():
+        if line["verdict"] == "FAIL":
+            line.update(error_type="ExceptionsNotStored", error_message="; ".join(unstored)[:2000])
     ordered = [lines[c.control_id] for c in controls]
     rows = [tuple(line.get(f.name) for f in REPORT.fields) for line in ordered]
     reports = spark.createDataFrame(rows, REPORT)
     if ledger is not None:
-        ledger.append_executions(reports, by_id, catalog, joined_samples(spark, samples), executed_at)
+        try:
+            ledger.append_executions(reports, by_id, catalog, joined_samples(spark, samples, sample_rows), executed_at, run_id)
+        except Exception:  # noqa: BLE001 - a sample that fails must not lose the verdicts
+            ledger.append_executions(reports, by_id, catalog, joined_samples(spark, []), executed_at, run_id)
     return reports
 
 
@@ -343,24 +373,26 @@ def exception_tables(controls: list[Control], catalog, lenient: bool) -> dict[st
 
 
 def samples_per_control(frame: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The first exceptions of each control as JSON lines: at most ``rows`` per
-    control leave a task, whatever the number of exceptions."""
+    """Some exceptions of each control as JSON lines, the same on every run: those
+    whose JSON has the lowest hashes. A control's rows are first cut down in many
+    buckets, so none is sorted whole in one task."""
     names = [c for c in frame.columns if c != "control_id"]
-    first = Window.partitionBy("control_id").orderBy(*[quoted(c) for c in names])
-    return (
-        frame.withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= rows)
-        .select("control_id", "_rank", as_json(frame, names))
-    )
+    lines = frame.select("control_id", as_json(frame, names)).withColumn("_hash", F.xxhash64("exception_json"))
+    lines = lines.withColumn("_bucket", F.pmod("_hash", F.lit(SAMPLE_BUCKETS)))
+    order = [F.col("_hash"), F.col("exception_json")]
+    for keys in (["control_id", "_bucket"], ["control_id"]):
+        lines = lines.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        lines = lines.filter(F.col("_rank") <= rows)
+    return lines.select("control_id", "_rank", "exception_json")
 
 
-def joined_samples(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    """One JSON list per control, of at most SAMPLE_ROWS exceptions."""
+def joined_samples(spark: SparkSession, parts: list[DataFrame], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One JSON list per control, of at most ``rows`` exceptions."""
     if not parts:
         return spark.createDataFrame([], "control_id string, exceptions_sample string")
     lines = reduce(DataFrame.unionByName, parts)
     ordered = F.array_sort(F.collect_list(F.struct("_rank", "exception_json")))["exception_json"]
-    few = F.slice(ordered, 1, SAMPLE_ROWS)
+    few = F.slice(ordered, 1, rows)
     return lines.groupBy("control_id").agg(
         F.concat(F.lit("["), F.array_join(few, ","), F.lit("]")).alias("exceptions_sample")
     )

@@ -17,7 +17,6 @@ class Catalog:
         self._rows: dict[str, int] = {}
         self._hashes: dict[str, str] = {}
         self._unique: dict[str, frozenset] = {}
-        self._may_count = True
         for alias, frame in (frames or {}).items():
             self.add(alias, frame)
 
@@ -70,20 +69,23 @@ class Catalog:
 
     def rows_per_key(self, alias: str, keys: list[str]) -> int | None:
         """Upper bound for the rows one join key can hold: 1 when the keys are
-        unique, else the dataset's row count, taken from its manifest or counted
-        once (for Parquet, from the file footers). None when it cannot be known."""
+        unique, else the dataset's row count where its manifest or the caller tells
+        it. None when it is not known; nothing is counted for it."""
         unique = self._unique.get(alias)
         if unique and unique <= {k.lower() for k in keys}:
             return 1
-        frame = self._frames[alias]
-        if alias not in self._rows and self._may_count and not frame.isStreaming:
-            self._rows[alias] = frame.count()
         return self._rows.get(alias)
 
+    def with_frame(self, alias: str, frame: DataFrame) -> Catalog:
+        """The same catalog, but for one dataset's rows."""
+        view = self.for_analysis()
+        view._frames = {**self._frames, alias: frame}
+        view._rows = {a: n for a, n in self._rows.items() if a != alias}
+        return view
+
     def for_analysis(self) -> Catalog:
-        """The same datasets, but building a plan on them starts no job."""
+        """The same datasets, with all that is known of them."""
         view = Catalog()
         view._frames, view._rows, view._hashes = self._frames, self._rows, self._hashes
         view._unique = self._unique
-        view._may_count = False
         return view

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -20,6 +21,10 @@ ID_KEYWORDS = ("id", "code", "number")
 DATE_KEYWORD = "date"
 NUMBER_TEXT = r"^[\s$€£¥]*[\d,\.]+$"
 NOT_NUMBER = r"[^\d.-]"
+# Spellings of "no value" that don't count against a column of numbers or dates (fixed values).
+NO_VALUE = ("", "-", "n/a", "na", "nan", "none", "null")
+# Shares of the other values that must be readable before a text column is converted by itself.
+NUMBER_SHARE, DATE_SHARE = 1.0, 0.5
 
 # Date spellings tried in turn after ISO dates and timestamps.
 DATE_FORMATS = ("MM/dd/yyyy", "dd-MMM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy")
@@ -61,23 +66,19 @@ def as_timestamp(column: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Col
     return F.coalesce(*tries)
 
 
-def number_text_columns(frame: DataFrame, names: list[str], min_share: float = 0.0) -> set[str]:
-    """Text columns that hold number text, found in one pass over all of them.
-
-    One matching value is enough by default; ``min_share`` asks for a share of
-    the non-null values, which protects free text that holds a stray number.
-    """
+def readable_columns(
+    frame: DataFrame, names: list[str], readable: Callable[[Column], Column], min_share: float
+) -> set[str]:
+    """Columns of which at least this share of the values can be read, found in one pass over
+    all of them. Spellings of "no value" don't count; a column without other values is left out."""
     if not names:
         return set()
+    present = lambda n: quoted(n).isNotNull() & ~F.lower(F.trim(quoted(n).cast("string"))).isin(*NO_VALUE)
     counts = frame.agg(
-        *[F.count_if(quoted(n).rlike(NUMBER_TEXT)).alias(f"m{i}") for i, n in enumerate(names)],
-        *[F.count(quoted(n)).alias(f"n{i}") for i, n in enumerate(names)],
+        *[F.count_if(present(n) & F.coalesce(readable(quoted(n)), F.lit(False))).alias(f"m{i}") for i, n in enumerate(names)],
+        *[F.count_if(present(n)).alias(f"n{i}") for i, n in enumerate(names)],
     ).first()
-    return {
-        n
-        for i, n in enumerate(names)
-        if counts[f"m{i}"] > 0 and counts[f"m{i}"] >= min_share * counts[f"n{i}"]
-    }
+    return {n for i, n in enumerate(names) if counts[f"m{i}"] > 0 and counts[f"m{i}"] >= min_share * counts[f"n{i}"]}
 
 
 @dataclass(frozen=True)
@@ -92,29 +93,35 @@ class Cleaned:
 def cleaning(
     frame: DataFrame,
     overrides: dict[str, str] | None = None,
-    min_share: float = 0.0,
+    min_share: float = NUMBER_SHARE,
     decimal_comma: bool = False,
     date_formats: tuple[str, ...] = DATE_FORMATS,
 ) -> list[Cleaned]:
     """Decide each column's rule from its name, type and content.
 
-    Identifier-like names become text. Other text columns that hold number text
-    become numbers. Remaining text columns with a date name become timestamps.
-    ``overrides`` fixes the rule of single columns.
+    Columns with a date name become timestamps if half of their values are dates. Of the
+    others, identifier-like names become text, and text columns become numbers if
+    every value (or ``min_share`` of them) is number text. ``overrides`` fixes the rule of
+    single columns.
     """
     overrides = overrides or {}
     types = {f.name: f.dataType for f in frame.schema.fields}
     texts = [n for n, t in types.items() if isinstance(t, T.StringType)]
-    sniffed = [n for n in texts if not is_identifier(n) and n not in overrides]
-    numbers = number_text_columns(frame, sniffed, min_share)
+    open_to = [n for n in types if n not in overrides]
+    dated = [n for n in open_to if DATE_KEYWORD in n and (n in texts or is_identifier(n))]
+    is_date = lambda column: as_timestamp(column.cast("string"), date_formats).isNotNull()
+    dates = readable_columns(frame, dated, is_date, DATE_SHARE)
+    sniffed = [n for n in texts if n in open_to and n not in dates and not is_identifier(n)]
+    is_number = lambda column: column.rlike(NUMBER_TEXT) & as_number(column, decimal_comma).isNotNull()
+    numbers = readable_columns(frame, sniffed, is_number, min_share)
 
     def rule_for(name: str) -> str:
         if name in overrides:
             return overrides[name]
+        if name in dates:
+            return "timestamp"
         if name in numbers:
             return "numeric"
-        if DATE_KEYWORD in name and (name in texts or is_identifier(name)):
-            return "timestamp"
         return "string" if is_identifier(name) else "keep"
 
     plan = []

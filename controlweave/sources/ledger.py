@@ -35,6 +35,10 @@ def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+def execution_id(run_id: str, control_id: str) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_OID, f"{run_id}/{control_id}"))
+
+
 class Ledger:
     """Tables under one folder. Rows are only ever added."""
 
@@ -78,13 +82,17 @@ class Ledger:
         self._append("evidence_manifests", frame)
 
     def append_executions(
-        self, reports: DataFrame, controls: dict[str, Control], catalog, samples: DataFrame, executed_at: datetime
+        self, reports: DataFrame, controls: dict[str, Control], catalog, samples: DataFrame, executed_at: datetime,
+        run_id: str | None = None,
     ) -> None:
-        """Add report rows with the control, the evidence hashes and a sample of exceptions."""
+        """Add report rows with the control, the evidence hashes and a sample of exceptions.
+
+        With a ``run_id`` the execution ids follow from it, so a run that is repeated can be told.
+        """
         facts = [
             (
                 c.control_id,
-                str(uuid.uuid4()),
+                execution_id(run_id, c.control_id) if run_id else str(uuid.uuid4()),
                 c.to_json(),
                 {d: catalog.sha256_hash(d) for d in c.datasets if d in catalog},
             )
@@ -118,9 +126,9 @@ def current_controls(controls: DataFrame) -> DataFrame:
     return latest_per_key(controls, ["control_id"], ["approved_at", "version"])
 
 
-def execution_history(executions: DataFrame, control_id: str, limit: int = 100) -> DataFrame:
-    """The newest runs of one control: a distributed top-n."""
-    return (
+def execution_history(executions: DataFrame, control_id: str, limit: int | None = 100) -> DataFrame:
+    """The newest runs of one control, a distributed top-n, or without a limit all of them."""
+    found = (
         executions.filter(F.col("control_id") == control_id)
         .select(
             "execution_id",
@@ -131,24 +139,22 @@ def execution_history(executions: DataFrame, control_id: str, limit: int = 100)
             "exception_rate_percent",
             "executed_at",
         )
-        .orderBy(F.desc("executed_at"), "execution_id")
-        .limit(limit)
     )
+    return found if limit is None else found.orderBy(F.desc("executed_at"), "execution_id").limit(limit)
 
 
 def evidence_lineage(
     executions: DataFrame,
     manifests: DataFrame,
     execution_id: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     latest_only: bool = False,
 ) -> DataFrame:
     """Each run's evidence hash beside the recorded hashes of that dataset.
 
-    One run is compared with every recorded landing of its datasets. Over all
-    runs the newest ``limit`` lines are listed: the runs are narrowed first, to
-    lines that have a recorded landing, so the pairs of all runs and all landings
-    never arise. ``latest_only`` compares every run with the newest landing of
+    One run is compared with every recorded landing of its datasets, and so are all
+    runs. With a ``limit`` only the newest lines are listed, and the runs are
+    narrowed first, so that the other pairs never arise. ``latest_only`` compares every run with the newest landing of
     each dataset and lists everything.
     """
     used = executions
@@ -165,7 +171,7 @@ def evidence_lineage(
     newest_first = [F.desc("executed_at"), F.col("execution_id"), F.col("dataset_alias")]
     if latest_only:
         recorded = latest_per_key(recorded, ["dataset_alias"], ["ingested_at", "stored_hash"])
-    elif execution_id is None:
+    elif execution_id is None and limit is not None:
         known = recorded.select("dataset_alias").distinct()
         used = used.join(known, "dataset_alias", "left_semi").orderBy(*newest_first).limit(limit)
     lines = used.join(recorded, "dataset_alias").select(
@@ -181,7 +187,7 @@ def evidence_lineage(
         .alias("integrity_status"),
         "ingested_at",
     )
-    if execution_id is None and not latest_only:
+    if execution_id is None and not latest_only and limit is not None:
         lines = lines.orderBy(*newest_first, "ingested_at", "stored_hash").limit(limit)
     return lines.drop("ingested_at")
 

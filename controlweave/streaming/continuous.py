@@ -15,8 +15,9 @@ from controlweave.operators.groups import fails, grain, metric, total
 from controlweave.operators.population import build_population
 from controlweave.operators.rules import row_exceptions
 from controlweave.plans.run import run_controls
-from controlweave.plans.spec import Control, GroupLimit
+from controlweave.plans.spec import Control, GroupLimit, SpecError
 from controlweave.sources.catalog import Catalog
+from controlweave.sources.ledger import execution_id
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -85,16 +86,21 @@ def start_sink(
 def start_verdicts(
     control: Control, catalog: Catalog, ledger, checkpoint: str, available_now: bool = True, every: str = "1 minute"
 ) -> StreamingQuery:
-    """Judge every micro-batch as a population of its own and record the verdict."""
+    """Judge every micro-batch as a population of its own and record the verdict.
+
+    A group may span micro-batches, so group rules are refused here; use
+    :func:`windowed_failing_groups`. A micro-batch that is replayed is recorded once.
+    """
+    if control.group_assertions:
+        raise SpecError("a group rule cannot be judged by micro-batches; use windowed_failing_groups")
     stream = catalog.frame(control.base_dataset)
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        datasets = Catalog()
-        for alias in catalog.aliases():
-            if alias != control.base_dataset:
-                datasets.add(alias, catalog.frame(alias), sha256_hash=catalog.sha256_hash(alias))
-        datasets.add(control.base_dataset, batch)
-        run_controls(batch.sparkSession, [control], datasets, ledger=ledger)
+        run_id = f"{checkpoint}#{batch_id}"
+        known = F.col("execution_id") == execution_id(run_id, control.control_id)
+        if ledger.executions().filter(known).isEmpty():
+            datasets = catalog.with_frame(control.base_dataset, batch)
+            run_controls(batch.sparkSession, [control], datasets, ledger=ledger, run_id=run_id)
 
     writer = stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": every}

@@ -101,11 +101,11 @@ def latest_orders(spark, sf_dir):
 
 
 def split_hot_join(spark, sf_dir):
-    """Orders beside their items, joined as matches and misses."""
+    """Orders beside their items, those with more than five spread over shares."""
     tables(spark, sf_dir)
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     items = items.select("l_orderkey", "l_partkey", "l_quantity")
-    return equi_join(orders, items, [("o_orderkey", "l_orderkey")], "left", items.count(), split_above=0)
+    return equi_join(orders, items, [("o_orderkey", "l_orderkey")], "left", rows_per_key=10**9, split_above=5)
 
 
 LATEST_ORDER = """

@@ -46,22 +46,26 @@ def test_dirty_cases(spark):
     assert [r.note for r in rows] == ["fine", None, "12 apples", "-"]
 
 
-def test_dotted_dates_look_like_numbers_unless_overridden(spark):
-    """The number rule comes before the date rule, so such a column needs an override."""
+def test_dotted_dates_are_dates(spark):
     df = frame(spark, "closed_date string", [("04.07.2025",), ("2025-07-05",)])
-    assert values(evidence.clean(df)) == [(None,), (None,)]
-    fixed = evidence.clean(df, overrides={"closed_date": "timestamp"})
-    assert values(fixed) == [(datetime(2025, 7, 4),), (datetime(2025, 7, 5),)]
+    assert values(evidence.clean(df)) == [(datetime(2025, 7, 4),), (datetime(2025, 7, 5),)]
+
+
+def test_text_that_is_mostly_no_number_or_date_stays(spark):
+    df = frame(spark, "memo string, candidate_id string, total string", [("2024", "C1", "7"), ("a word", "C2", "n/a"), (".", "C3", "1,5")])
+    cleaned = evidence.clean(df)
+    assert dict(cleaned.dtypes) == {"memo": "string", "candidate_id": "string", "total": "double"}
+    assert values(cleaned.select("memo", "candidate_id")) == values(df.select("memo", "candidate_id"))
 
 
 def test_overrides_and_lost_values(spark):
     df = frame(spark, "paid_amount string, memo string", [("$5", "17"), ("6", "hello"), ("x", None)])
     lost = {r.column_name: (r.rule, r.nulls_introduced) for r in evidence.cleaning_report(df).collect()}
-    assert lost == {"paid_amount": ("string", 0), "memo": ("numeric", 1)}
+    assert lost == {"paid_amount": ("string", 0), "memo": ("keep", 0)}
     fixed = evidence.clean(df, overrides={"paid_amount": "numeric", "memo": "keep"})
     assert values(fixed) == [(None, None), (5.0, "17"), (6.0, "hello")]
-    careful = evidence.clean(df, min_share=0.9)
-    assert dict(careful.dtypes)["memo"] == "string"
+    lax = evidence.clean(df, min_share=0.4)
+    assert dict(lax.dtypes)["memo"] == "double"
     with pytest.raises(SpecError, match="not known"):
         evidence.clean(df, overrides={"memo": "guess"})
 

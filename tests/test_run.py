@@ -19,6 +19,7 @@ from controlweave.plans.run import (
     run_controls,
     schema_drift,
 )
+from controlweave.plans.spec import SpecError
 from controlweave.sources.ledger import Ledger
 
 from helpers import catalog, control, frame, join, keep, keep_null, match, plan, rule, values
@@ -209,6 +210,46 @@ def test_sample_json_keeps_nulls_and_has_no_nan(spark):
     assert rows == [{"k": 1, "x": None, "s": None}, {"k": 2, "x": 1.5, "s": "a"}]
 
 
+def test_a_batch_survives_bad_files_maps_and_bad_casts(spark, trades, tmp_path):
+    bad = str(tmp_path / "bad")
+    trades.coalesce(1).write.parquet(bad)
+    unreadable = spark.read.schema(trades.schema).parquet(bad)
+    part = next(f for f in os.listdir(bad) if f.startswith("part-"))
+    (tmp_path / "bad" / part).write_bytes(b"PAR1 no more PAR1")
+    for name in os.listdir(bad):
+        if name.endswith(".crc"):
+            os.remove(os.path.join(bad, name))
+    maps = frame(spark, "k int, m map<string,string>", [(1, {"a": "b"}), (2, None)])
+    cat = catalog(trades=trades, unreadable=unreadable, maps=maps)
+    controls = [
+        LARGE_APPROVED,
+        control("unreadable", [], [match("amount", "gt", 0)], control_id="FILE"),
+        control("maps", [], [match("k", "gt", 1)], control_id="MAP"),
+    ]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    found = {r.control_id: r for r in run_controls(spark, controls, cat, ledger).collect()}
+    assert {i: r.verdict for i, r in found.items()} == {"CTRL-TRD": "FAIL", "FILE": "ERROR", "MAP": "FAIL"}
+    stored = {r.control_id: r for r in ledger.executions().collect()}
+    sampled = json.loads(stored["MAP"].exceptions_sample)
+    assert set(stored) == set(found) and [(r["k"], r["m"]) for r in sampled] == [(1, {"a": "b"})]
+
+
+def test_ids_used_twice_are_refused(spark, trades):
+    with pytest.raises(SpecError, match="CTRL-TRD"):
+        run_controls(spark, [LARGE_APPROVED, LARGE_APPROVED], catalog(trades=trades))
+
+
+def test_an_unseeded_sample_is_one_sample_for_report_and_exceptions(spark, tmp_path):
+    cat = catalog(t=frame(spark, "k int", [(i,) for i in range(400)]))
+    plan = {"enabled": True, "method": "random", "sample_size": 100, "random_seed": None}
+    spec = control("t", [], [match("k", "lt", 200)], plan, control_id="S")
+    ledger, out = Ledger(spark, str(tmp_path / "ledger")), str(tmp_path / "out")
+    row = run_controls(spark, [spec], cat, ledger, out).first()
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/t-sample-S")
+    assert stored.count() == row.exception_count
+    assert json.loads(ledger.executions().first().control_json)["population"]["sampling"]["random_seed"]
+
+
 def test_one_control_alone(spark, trades):
     verdicts, found = run_control(LARGE_APPROVED, catalog(trades=trades))
     assert verdicts.first().verdict == "FAIL" and found["rows"].count() == 1

@@ -30,16 +30,13 @@ def drawn(spark, rows, schema, parts=4, **plan):
 
 
 @pytest.mark.parametrize("n", [1, 10, 500, 999, 1000, 5000])
-@pytest.mark.parametrize("top_rows", [2000, 0])
-def test_fixed_size_is_exact_even_among_copies(spark, n, top_rows, monkeypatch):
-    monkeypatch.setattr(sampling, "TOP_ROWS", top_rows)
+def test_fixed_size_is_exact_even_among_copies(spark, n):
     got = drawn(spark, COPIES, "k string, v int", method="random", sample_size=n)
     assert Counter(got) == lowest(COPIES, n)
 
 
 def test_cut_inside_a_hot_group_of_copies(spark, monkeypatch):
     """The cut-off falls among 400 identical rows, written out in small blocks."""
-    monkeypatch.setattr(sampling, "TOP_ROWS", 0)
     monkeypatch.setattr(sampling, "COPY_BLOCK", 7)
     below = sum(md5_draw(*r) < md5_draw("hot", 1) for r in COPIES)
     got = drawn(spark, COPIES, "k string, v int", method="random", sample_size=below + 123)
@@ -47,6 +44,20 @@ def test_cut_inside_a_hot_group_of_copies(spark, monkeypatch):
     assert Counter(got) == lowest(COPIES, below + 123)
 
 
+def test_rows_that_share_a_key_stay_together_at_every_size(spark):
+    rows = [(i // 3, i) for i in range(3000)]
+    for n in (4, 1999, 2000, 2002):
+        got = drawn(spark, rows, "k int, v int", method="random", sample_size=n, sample_key=["k"])
+        assert n <= len(got) < n + 3 and set(Counter(k for k, _ in got).values()) == {3}
+
+
+def test_a_map_column_is_no_obstacle(spark):
+    rows = [(i, {"a": str(i)}) for i in range(50)]
+    for more in ({}, {"sample_key": ["k"]}):
+        got = drawn(spark, rows, "k int, m map<string,string>", method="random", sample_size=7, **more)
+        assert len({k for k, _ in got}) == 7
+
+
 def test_partitioning_does_not_matter(spark):
     rows = [(i, f"r{i}") for i in range(300)]
     one = drawn(spark, rows, "k int, v string", parts=1, method="random", sample_size=40)

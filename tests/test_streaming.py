@@ -1,8 +1,10 @@
 """Continuous controls on small file streams."""
 
+import pytest
 from datetime import datetime, timedelta
 
 from controlweave.sources.catalog import Catalog
+from controlweave.plans.spec import SpecError
 from controlweave.sources.ledger import Ledger
 from controlweave.streaming.continuous import (
     file_stream,
@@ -80,3 +82,19 @@ def test_each_micro_batch_gets_a_verdict(spark, tmp_path):
     write(spark, path, [(3, T0, 1, 5.0)])
     run()
     assert values(ledger.executions(), "verdict", "exception_count", "total_population") == [("FAIL", 1, 2), ("PASS", 0, 1)]
+
+
+def test_a_replayed_micro_batch_is_recorded_once_and_group_rules_are_refused(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spec = control("events", [], [match("amount", "lt", 10)], control_id="LIVE")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    write(spark, path, [(1, T0, 1, 5.0), (2, T0, 1, 50.0)])
+    state = tmp_path / "state"
+    for _ in range(2):
+        start_verdicts(spec, Catalog().add("events", file_stream(spark, path)), ledger, str(state)).awaitTermination()
+        for done in (state / "commits").glob("*0*"):  # as if the run had ended before it was noted as done
+            done.unlink()
+    assert values(ledger.executions(), "verdict", "exception_count") == [("FAIL", 1)]
+    limit = rule("aggregation", "g", group_by_fields=["who"], metric_field="amount", aggregation_function="SUM", operator="lte", threshold=10)
+    with pytest.raises(SpecError, match="windowed_failing_groups"):
+        start_verdicts(control("events", [], [limit]), Catalog().add("events", file_stream(spark, path)), ledger, str(tmp_path / "s2"))
