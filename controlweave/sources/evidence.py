@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -179,13 +180,18 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dataset_hash(spark: SparkSession, path: str) -> DataFrame:
-    """One hash for all files of a dataset, whatever their order.
+    """One hash for all files of a dataset, whatever their order."""
+    return combined_hash(file_hashes(spark, path))
+
+
+def combined_hash(files: DataFrame) -> DataFrame:
+    """``file_count`` and one ``sha256_hash`` of the files' hashes.
 
     File hashes are combined by their first three digits (at most 4096 buckets)
     and the buckets once more, so no task gathers all files. A dataset of one
     file has that file's own hash.
     """
-    hashes = file_hashes(spark, path).groupBy("sha256_hash").agg(F.count(F.lit(1)).alias("n"))
+    hashes = files.groupBy("sha256_hash").agg(F.count(F.lit(1)).alias("n"))
     line = F.concat_ws("*", "sha256_hash", F.col("n").cast("string"))
     buckets = hashes.groupBy(F.substring("sha256_hash", 1, 3).alias("bucket")).agg(
         F.sum("n").alias("files"),
@@ -193,10 +199,10 @@ def dataset_hash(spark: SparkSession, path: str) -> DataFrame:
         F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ","), 256).alias("digest"),
     )
     combined = F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "digest"))), ","), 256)
-    files = F.sum("files")
+    count = F.sum("files")
     return buckets.agg(
-        files.alias("file_count"),
-        F.when(files == 1, F.max("only")).otherwise(combined).alias("sha256_hash"),
+        count.alias("file_count"),
+        F.when(count == 1, F.max("only")).otherwise(combined).alias("sha256_hash"),
     )
 
 
@@ -236,10 +242,14 @@ def land(
     records_per_file: int = RECORDS_PER_FILE,
     **cleaning_options,
 ) -> dict:
-    """Clean ``frame``, write it as ``{folder}/{alias}.parquet`` and return its manifest."""
-    path = f"{folder}/{alias}.parquet"
+    """Clean ``frame``, write it to a path of its own and return its manifest.
+
+    Earlier landings of the dataset stay as they are, so their manifests can be checked later.
+    """
+    moment = datetime.now(timezone.utc)
+    path = f"{folder}/{alias}/{moment:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}.parquet"
     cleaned = clean(frame, **cleaning_options)
-    cleaned.write.option("maxRecordsPerFile", records_per_file).mode("overwrite").parquet(path)
+    cleaned.write.option("maxRecordsPerFile", records_per_file).parquet(path)
     return manifest(spark, alias, path, source_system, extraction_timestamp)
 
 

@@ -90,7 +90,7 @@ SELECT execution_id, control_id, verdict, exception_count, total_population, exc
 FROM ({EXECUTIONS_SQL}) WHERE control_id = 'CTRL-7' ORDER BY executed_at DESC, execution_id LIMIT 100""",
     ),
     "evidence_lineage": Query(
-        lineage(),
+        lineage(limit=100),  # the report of the newest lines; evidence_lineage_latest lists every run
         f"""
 SELECT execution_id, control_id, verdict, executed_at, dataset_alias, stored_hash, execution_hash, {STATUS}
 FROM ({LINES_SQL}) JOIN ({MANIFESTS_SQL}) USING (dataset_alias)
