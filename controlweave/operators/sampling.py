@@ -86,9 +86,16 @@ def _cut(counts: DataFrame, strata: list[str], by: str, wanted: Column) -> DataF
 
 
 def draws_below_cut(
-    frame: DataFrame, key: list[str], unique: bool, quota: Quota, seed: int, stratum: str | None = None
+    frame: DataFrame,
+    key: list[str],
+    unique: bool,
+    quota: Quota | None,
+    seed: int,
+    stratum: str | None = None,
+    size: int | None = None,
 ) -> DataFrame:
-    """The lowest draws of each stratum (or of all rows), any number of them.
+    """The lowest draws of each stratum (or of all rows), any number of them: by ``quota``,
+    or ``size`` rows shared out among the strata.
 
     Counts by draw prefix, at most 16**PREFIX per stratum, give the bucket the
     cut-off falls in; the draws inside that one bucket give the cut-off itself.
@@ -100,13 +107,13 @@ def draws_below_cut(
     keyed = frame.withColumn("_draw", draw(key, seed)).withColumn("_bucket", F.substring("_draw", 1, PREFIX))
 
     histogram = keyed.groupBy(*[quoted(s) for s in strata], "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    total = F.sum("_rows").over(Window.partitionBy(*[quoted(s) for s in strata]))
-    buckets = _cut(
-        histogram.withColumn("_total", total),
-        strata,
-        "_bucket",
-        F.least(quota(F.col("_total")), F.col("_total")),
-    )
+    if quota is None:
+        counted = shared_out(histogram, stratum, size)
+        wanted = F.col("_quota")
+    else:
+        counted = histogram.withColumn("_total", F.sum("_rows").over(Window.partitionBy(*[quoted(s) for s in strata])))
+        wanted = F.least(quota(F.col("_total")), F.col("_total"))
+    buckets = _cut(counted, strata, "_bucket", wanted)
     inside = beside(keyed, buckets, strata, bucket="_bucket", rest="_rest").filter(
         F.col("_bucket") == F.col("_cut.bucket")
     )
@@ -168,14 +175,32 @@ def write_out(frame: DataFrame, copies: str, names: list[str]) -> DataFrame:
     return few.unionByName(many).drop("_copy")
 
 
-def stratified_quota(frame: DataFrame, plan: Sampling) -> Quota:
-    """Rows per stratum in proportion to its size, at least one each."""
-    if plan.sample_size:
-        total = frame.agg(F.count(F.lit(1))).scalar()
-        share = F.lit(float(plan.sample_size)) / total
-    else:
-        share = F.lit(float(plan.sample_percentage))
-    return lambda size: F.greatest(F.lit(1).cast("long"), rounded(size * share))
+def shared_out(histogram: DataFrame, stratum: str, size: int) -> DataFrame:
+    """The counts with ``_quota``, the rows that each stratum gives: in proportion to its
+    size by largest remainder, ``size`` together.
+
+    Strata whose proportion is below one row give one row, so there are never fewer rows
+    than strata. One row per stratum is compared in one task.
+    """
+    key, whole = quoted(stratum), lambda text: F.expr(text)
+    everything = Window.partitionBy(F.lit(0))
+    sizes = histogram.groupBy(key).agg(F.sum("_rows").cast("decimal(38,0)").alias("_n"))
+    marked = sizes.withColumn("_small", F.lit(size) * F.col("_n") < F.sum("_n").over(everything))
+    big = F.sum(F.when(~F.col("_small"), F.col("_n"))).over(everything).cast("decimal(38,0)")
+    rest = F.greatest(F.lit(size) - F.count_if("_small").over(everything), F.lit(0)).cast("decimal(38,0)")
+    parts = marked.withColumn("_big", big).withColumn("_rest", rest)
+    parts = parts.withColumn("_base", whole("CASE WHEN _small THEN 1L ELSE (_rest * _n) div _big END"))
+    parts = parts.withColumn("_over", whole("CASE WHEN _small THEN -1 ELSE (_rest * _n) % _big END"))
+    place = F.row_number().over(everything.orderBy(F.desc("_over"), F.desc("_n"), key))
+    left = F.lit(size) - F.sum("_base").over(everything)
+    given = F.least(F.greatest(F.col("_base") + F.when(place <= left, 1).otherwise(0), F.lit(1)), F.col("_n")).cast("long")
+    quotas = parts.select(key.alias("_of"), given.alias("_quota"))
+    return histogram.join(quotas, key.eqNullSafe(F.col("_of"))).drop("_of")
+
+
+def stratified_share(plan: Sampling) -> Quota:
+    """A share of each stratum, at least one row each."""
+    return lambda size: F.greatest(F.lit(1).cast("long"), rounded(size * F.lit(float(plan.sample_percentage))))
 
 
 def every_kth(
@@ -268,8 +293,9 @@ def sample(joined: Joined, plan: Sampling | None, catalog) -> Joined:
     elif plan.method == "systematic":
         picked = every_kth(frame, key, unique, seed, plan.sample_size, plan.sample_percentage)
     elif plan.method == "stratified":
-        quota = stratified_quota(frame, plan)
-        picked = draws_below_cut(frame, key, unique, quota, seed, lineage.physical(plan.stratification_field))
+        quota = None if plan.sample_size else stratified_share(plan)
+        stratum = lineage.physical(plan.stratification_field)
+        picked = draws_below_cut(frame, key, unique, quota, seed, stratum, plan.sample_size)
     elif plan.method == "statistical":
         picked = draws_below_cut(frame, key, unique, statistical_quota(plan), seed)
     elif plan.sample_size:

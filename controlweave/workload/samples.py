@@ -48,6 +48,31 @@ def judgmental(spark, sf_dir):
     return population(control("orders", sampling=plan), catalog).frame
 
 
+def stratified_sql(size: int) -> str:
+    """Largest remainder by stratum; strata below one row give one."""
+    return f"""
+WITH sizes AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1),
+marked AS (SELECT *, {size} * n < sum(n) OVER () AS small FROM sizes),
+parts AS (SELECT *, {size} - count(*) FILTER (WHERE small) OVER () AS rest, sum(n) FILTER (WHERE NOT small) OVER () AS big FROM marked),
+based AS (SELECT *, CASE WHEN small THEN 1 ELSE rest * n // big END AS base, CASE WHEN small THEN -1 ELSE rest * n % big END AS over FROM parts),
+placed AS (SELECT *, row_number() OVER (ORDER BY over DESC, n DESC, p) AS place, {size} - sum(base) OVER () AS remaining FROM based),
+quotas AS (SELECT p, base + CASE WHEN place <= remaining THEN 1 ELSE 0 END AS quota FROM placed)
+SELECT * EXCLUDE (rn, p, quota) FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {ORDER_DRAW}) AS rn FROM orders)
+JOIN quotas ON o_orderpriority = p WHERE rn <= quota"""
+
+
+def shared_key_sizes(spark, sf_dir):
+    """Rows and keys of samples by a key that several rows share: keys stay whole at every size."""
+    catalog = tables(spark, sf_dir, "lineitem")
+    sizes = []
+    for n in (2000, 2004):
+        spec = control("lineitem", sampling=sampled("random", sample_size=n, sample_key=["l_orderkey"]))
+        found = population(spec, catalog).frame
+        sizes.append(found.agg(F.lit(n).alias("wanted"), F.count("*").alias("n_rows"), F.count_distinct("l_orderkey").alias("n_keys")))
+    return sizes[0].union(sizes[1])
+
+
 def sampled_report(spark, sf_dir):
     spec = control(
         "orders",
@@ -81,11 +106,21 @@ WHERE rn <= floor(n * CAST(0.05 AS DOUBLE) + 0.5)""",
     ),
     "sample_stratified": Query(
         of_orders(sampled("stratified", sample_size=300, stratification_field="o_orderpriority")),
+        stratified_sql(300),
+    ),
+    # five strata of about one size: rounding each would miss the total
+    "sample_stratified_remainder": Query(
+        of_orders(sampled("stratified", sample_size=103, stratification_field="o_orderpriority")),
+        stratified_sql(103),
+    ),
+    "sample_shared_key": Query(
+        shared_key_sizes,
         f"""
-SELECT * EXCLUDE (rn, n, total) FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {ORDER_DRAW}) AS rn,
-         count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS total FROM orders)
-WHERE rn <= greatest(1, floor(n * (CAST(300 AS DOUBLE) / total) + 0.5))""",
+WITH drawn AS (SELECT l_orderkey, {draw_sql("l_orderkey")} AS d FROM lineitem),
+keys AS (SELECT l_orderkey, d, count(*) AS n FROM drawn GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (ORDER BY d) AS total FROM keys)
+SELECT wanted, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys
+FROM upto, (VALUES (2000), (2004)) AS w(wanted) WHERE total - n < wanted GROUP BY wanted""",
     ),
     "sample_systematic": Query(
         of_orders(sampled("systematic", sample_size=200)),

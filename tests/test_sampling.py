@@ -85,13 +85,21 @@ def test_stratified_is_proportional_with_null_and_tiny_strata(spark):
     rows += [(i, None) for i in range(990, 999)] + [(999, "one")]
     got = drawn(spark, rows, "k int, s string", method="stratified", sample_size=100,
                 stratification_field="s", sample_key=["k"])
-    assert Counter(s for _, s in got) == {"big": 70, "small": 29, None: 1, "one": 1}
+    assert Counter(s for _, s in got) == {"big": 69, "small": 29, None: 1, "one": 1}
     for stratum in ("big", "small", None, "one"):
         members = [r for r in rows if r[1] == stratum]
         chosen = sorted(members, key=lambda r: md5_draw(r[0]))[: sum(s == stratum for _, s in got)]
         assert sorted(r for r in got if r[1] == stratum) == sorted(chosen)
 
 
+@pytest.mark.parametrize("n", [5, 7, 101, 103, 500])
+def test_stratified_size_is_kept(spark, n):
+    rows = [(i, "abcde"[i % 5]) for i in range(500)]
+    got = drawn(spark, rows, "k int, s string", method="stratified", sample_size=n, stratification_field="s", sample_key=["k"])
+    sizes = Counter(s for _, s in got)
+    assert len(got) == n and max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_stratified_copies(spark):
     rows = [("a", 1)] * 90 + [("b", i) for i in range(10)]
     got = drawn(spark, rows, "s string, v int", method="stratified", sample_percentage=0.5, stratification_field="s")
