@@ -70,8 +70,8 @@ def test_learns_and_scores(spark):
     assert set(TERMS) <= set(model.terms)
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert all(r.predicted == int(i % 6 == 0) and 0 <= r.score <= 1 for i, r in got.items())
-    misspelt = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, [(1, "you worthles idi0t, word1 word2"), (2, LONG), *ODD[:4]]), model).collect() if r.doc_id}
-    assert misspelt[1] == 1 or toxicity.score(frame(spark, [(1, "x")]), model).count() == 1
+    misspelt = {r.doc_id: r for r in toxicity.score(frame(spark, [(1, "you worthles, patthetic word1 word2"), (2, "word1 word2")]), model).collect()}
+    assert misspelt[1].predicted == 1 and [h.edits for h in misspelt[1].hits] == [1, 1] and misspelt[2].predicted == 0
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(not r.held_out for r in odd if r.doc_id is None)
     kept = toxicity.accepted(docs, model)
