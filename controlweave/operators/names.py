@@ -8,14 +8,21 @@ suffix. A bare name is the leftmost column of that name; a qualified one
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from controlweave.functions.conditions import quoted
 
 
+# Quoted parts of an expression, or a qualified name that is no function.
+_QUALIFIED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|\b(?P<of>[A-Za-z_]\w*)\.(?P<own>[A-Za-z_]\w*)\b(?!\s*[.(])""")
+_QUOTED_UNIT = re.compile(r"(\b(?:DATEDIFF|DATE_DIFF|TIMESTAMPDIFF)\s*\(\s*)'(\w+)'\s*,", re.I)
+
+
 @dataclass(frozen=True)
 class Lineage:
     types: dict[str, T.DataType]
@@ -36,6 +43,19 @@ class Lineage:
             return self.qualified[(qualifier.lower(), bare.lower())]
         return by_lower.get(bare.lower(), bare)
 
+    def expression(self, text: str) -> Column:
+        """A Spark SQL expression in which ``alias.column`` means that dataset's own column.
+
+        Texts in quotes and other names stay as they are; ``DATEDIFF('day', a, b)`` is read as
+        ``DATEDIFF(day, a, b)``.
+        """
+
+        def named(found: re.Match) -> str:
+            key = (found["of"] or "").lower(), (found["own"] or "").lower()
+            return f"`{self.qualified[key]}`" if key in self.qualified else found[0]
+
+        return F.expr(_QUALIFIED.sub(named, _QUOTED_UNIT.sub(r"\1\2,", text)))
+
     def column(self, name: str) -> Column:
         return quoted(self.physical(name))
 

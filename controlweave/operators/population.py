@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from controlweave.functions.conditions import COMPARE, all_of, quoted, typed_operands
 from controlweave.operators.joins import equi_join, latest_per_key
@@ -51,7 +50,7 @@ def filter_column(action, lineage: Lineage, lenient: bool = False) -> Column:
         column = lineage.column(action.field)
         return column.isNull() if action.is_null else column.isNotNull()
     if isinstance(action, FilterExpression):
-        return F.expr(action.filter_expression)
+        return lineage.expression(action.filter_expression)
     raise SpecError(f"{type(action).__name__} is not a filter")
 
 
@@ -98,7 +97,7 @@ def build_joined(control: Control, catalog) -> Joined:
             name = action.new_field_name
             if name.lower() in {n.lower() for n in current.lineage.types}:
                 raise SpecError(f"computed field '{name}' exists already")
-            frame = current.frame.withColumn(name, F.expr(action.expression))
+            frame = current.frame.withColumn(name, current.lineage.expression(action.expression))
             current = Joined(frame, current.lineage.with_column(name, frame.schema[name].dataType))
         elif not isinstance(action, FILTERS):
             raise SpecError(f"step '{step.step_id}' has no known action")

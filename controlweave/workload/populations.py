@@ -163,6 +163,24 @@ WHERE c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_totalpri
         ),
         "SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40",
     ),
+    "expression_qualified_names": Query(
+        covered(
+            ("lineitem", "orders"),
+            control(
+                "lineitem",
+                [
+                    ("ord", join("orders", "l_orderkey", "o_orderkey")),
+                    computed("days", "DATEDIFF('day', orders.o_orderdate, lineitem.l_shipdate)"),
+                    {"operation": "filter", "filter_expression": "ord.o_totalprice > 1000 AND days < 30 AND orders.o_orderstatus <> 'ord.x'"},
+                ],
+            ),
+        ),
+        """
+SELECT l.*, o.* EXCLUDE (o_orderkey), o.o_orderkey AS ord_o_orderkey,
+       CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS BIGINT) AS days
+FROM lineitem l LEFT JOIN orders o ON l_orderkey = o_orderkey
+WHERE o_totalprice > 1000 AND date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) < 30 AND o_orderstatus <> 'ord.x'""",
+    ),
     "computed_field": Query(
         covered(
             ("lineitem", "orders"),
