@@ -20,7 +20,7 @@ def test_pipeline_against_plain_version(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     scores = [toxicity._score(model, n, h) for n, h in toxicity.Reader(model).hits([t or "" for _, t in rows])]
     rows = [r for r, s in zip(rows, scores, strict=True) if s < toxicity.THRESHOLD]
-    rows = [(d, c[0]) for (d, _), c in zip(rows, cut_lines(rows), strict=True) if c[2] == 0 or c[0].strip(" ")]
+    rows = [(d, c[0]) for (d, _), c in zip(rows, cut_lines(rows), strict=True) if c[2] == 0 or c[0].strip()]
     least = groups(rows, 5, 80)
     rows = [r for i, r in enumerate(rows) if least[i] in (r[0], None)]
     clean = lambda t: " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").lower()).split())
