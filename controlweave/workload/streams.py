@@ -13,7 +13,7 @@ from controlweave.streaming.continuous import (
     start_verdicts,
     windowed_failing_groups,
 )
-from controlweave.workload.common import Query, control, join, keep, match, tables
+from controlweave.workload.common import Query, control, join, keep, match, table, tables
 from controlweave.workload.grouped import limit
 
 ROW_CONTROL = control(
@@ -57,13 +57,20 @@ VERDICT_CONTROL = control(
 
 
 def micro_batch_verdicts(spark, sf_dir):
-    """Every micro-batch judged as it arrives; the verdicts as the ledger holds them."""
+    """Every micro-batch judged as it arrives; the verdicts as the ledger holds them.
+
+    The events arrive in four files, one per micro-batch.
+    """
+    catalog = tables(spark, sf_dir)
+    arrived = fresh_folder(spark, "arrived")
+    table(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(arrived)
+    catalog.add("events", file_stream(spark, arrived, files_per_trigger=1))
     ledger = Ledger(spark, fresh_folder(spark, "ledger"))
-    start_verdicts(
-        VERDICT_CONTROL, streamed(spark, sf_dir), ledger, fresh_folder(spark, "stream-state")
-    ).awaitTermination()
+    start_verdicts(VERDICT_CONTROL, catalog, ledger, fresh_folder(spark, "stream-state")).awaitTermination()
     return ledger.executions().groupBy("control_id").agg(
-        F.sum("exception_count").alias("exception_count"), F.sum("total_population").alias("total_population")
+        F.sum("exception_count").alias("exception_count"),
+        F.sum("total_population").alias("total_population"),
+        F.count("*").alias("micro_batches"),
     )
 
 
@@ -80,7 +87,7 @@ WHERE e.event_type <> 'view'
         micro_batch_verdicts,
         """
 SELECT 'CTRL-LIVE' AS control_id, count(*) FILTER (WHERE (value <= 150) IS NOT TRUE) AS exception_count,
-       count(*) AS total_population FROM events WHERE event_type = 'purchase'""",
+       count(*) AS total_population, CAST(4 AS BIGINT) AS micro_batches FROM events WHERE event_type = 'purchase'""",
     ),
     # only windows the watermark has closed are final
     "stream_window_control": Query(
