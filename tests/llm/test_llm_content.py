@@ -153,6 +153,27 @@ def test_licences(spark):
     assert licenses.notices(frame(spark, [])).count() == 0
 
 
+def test_notices_in_long_lines_and_lists():
+    apache, bsd, mit = (licenses.TEMPLATES[n][0] for n in ("Apache-2.0", "BSD-3-Clause", "MIT"))
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randrange(2, 9))) + rng.choice(["", " of the", " under", " and"]) for _ in range(n))
+    for n in (20, 60, 200, 2000):
+        got = scanner.scan(f"{prose(n)}. {apache} {prose(n)}")
+        assert [(g.licence, g.exact) for g in got] == [("Apache-2.0", True)], n
+        changed = scanner.scan(f"{prose(n)} {licenses.TEMPLATES['GPL-3.0'][1].replace('redistribute it and/or', 'redistribute it or')} {prose(n)}")
+        assert [(g.licence, g.missing) for g in changed] == [("GPL-3.0", ("and",))], n
+    full = licenses.TEMPLATES["MIT"][2]
+    beside = {g.licence for g in scanner.scan(f"{full}\n{bsd}\n{full}")}
+    assert beside == {"MIT", "BSD-3-Clause"}
+    every = "\n".join(w for wordings in licenses.TEMPLATES.values() for w in wordings)
+    listed = scanner.scan(every)
+    assert {g.licence for g in listed} == set(licenses.TEMPLATES) and all(g.exact for g in listed)
+    both = scanner.scan(f"{licenses.TEMPLATES['GPL-2.0'][1]} {prose(50)} {licenses.TEMPLATES['GPL-3.0'][1]} {mit}")
+    assert sorted(g.licence for g in both) == ["GPL-2.0", "GPL-3.0", "MIT"] and all(g.exact for g in both)
+    assert [g.licence for g in scanner.scan(prose(300) + " licence")] == [None]
+
+
 def test_licence_query_against_plain_search(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = {(r.doc_id, r.first_line, r.licence) for r in QUERIES["op10_licenses"].run(spark, sf_dir).collect()}
