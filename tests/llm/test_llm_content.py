@@ -126,6 +126,28 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.matches(frame(spark, rows), items.where("false")).count() == 0
 
 
+def test_scattered_words_of_an_item_are_no_leak():
+    text = "what is the name of the river that runs through the old town? it is the long blue river"
+    (item,) = decontaminate.read_items([(5, text)])
+
+    class Run(decontaminate.Search):
+        """One run of close windows over all of each text."""
+
+        def __init__(self):
+            self.items = [item]
+
+        def close(self, words):
+            yield from ((t, 0, 0, int(n)) for t, n in enumerate(np.diff(words.first)))
+
+    filler = lambda k, n: [f"x{k}{i}" for i in range(n)]
+    clean = " ".join(w for k, part in enumerate(text.split()) for w in [part, *filler(k, 40)])
+    for before in range(0, 60, 7):
+        held = " ".join(filler("a", 300 + before) + text.split() + filler("b", 300))
+        found = list(Run().confirmed(decontaminate.Words([clean.encode(), held.encode()], marks=True)))
+        assert [(t, i, share, answer) for t, i, share, answer, *_ in found] == [(1, 5, 1.0, 1.0)]
+        assert found[0][5] == 300 + before + len(item.words)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_common_subsequence(seed):
     rng = random.Random(seed)
