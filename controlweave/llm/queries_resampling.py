@@ -1,0 +1,55 @@
+"""The queries of resampling, suffix buckets and source divergence, over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from controlweave.llm import resampling
+from controlweave.llm.tables import table
+from controlweave.workload.common import Query
+
+
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH steps AS (
+    SELECT list(c ORDER BY b) AS crcs FROM (
+        SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) t(b))
+), texts AS (
+    SELECT doc_id, 's' AS part, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT item_id, 't', coalesce(text, '') FROM benchmark
+), split AS (
+    SELECT doc_id, part, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), met AS (
+    SELECT doc_id, part, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+           list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM split
+), counted AS (SELECT doc_id, part, f, count(*) AS n FROM met GROUP BY ALL),
+digits AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), placed AS (
+    SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(h) // 2),
+           lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM digits, steps
+), hashed AS (SELECT doc_id, part, bucket, sum(n) AS n FROM counted JOIN placed USING (f) GROUP BY ALL),
+sums AS (
+    SELECT bucket, coalesce(sum(n) FILTER (WHERE part = 's'), 0) AS s, coalesce(sum(n) FILTER (WHERE part = 't'), 0) AS t
+    FROM hashed GROUP BY bucket
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE)
+           / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM sums
+), weighed AS (
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+    FROM hashed JOIN gains USING (bucket) WHERE part = 's' GROUP BY doc_id
+), scored AS (
+    SELECT doc_id, len(w) >= 20 AS eligible, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM split LEFT JOIN weighed USING (doc_id) WHERE part = 's'
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY eligible) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND r <= 5 * n // 100 THEN r END AS rank FROM ranked"""
