@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from controlweave.llm import queries_resampling
-from controlweave.llm import byte_bpe, decontaminate, licenses, line_chunks, ngram_join, substrings, token_files, toxicity, vectors, warc
+from controlweave.llm import byte_bpe, decontaminate, licenses, line_chunks, ngram_join, queries_corpus, substrings, token_files, toxicity, vectors, warc
 from controlweave.llm.tables import table
 from controlweave.workload.common import Query
 
@@ -156,5 +155,5 @@ QUERIES: dict[str, Query] = {
     "op8_line_chunks": Query(op8_line_chunks, OP8_SQL),
     "op9_ngram_join": Query(op9_ngram_join, OP9_SQL),
     "op10_licenses": Query(op10_licenses),
-    "op11_resampling": Query(queries_resampling.op11_resampling, queries_resampling.OP11_SQL),
 }
+QUERIES |= queries_corpus.QUERIES

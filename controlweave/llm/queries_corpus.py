@@ -1,10 +1,11 @@
-"""The queries of resampling, suffix buckets and source divergence, over whole tables, and their SQL."""
+"""The queries of resampling, suffix removal and source divergence, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from controlweave.llm import resampling
+from controlweave.llm import resampling, suffix_buckets
 from controlweave.llm.tables import table
 from controlweave.workload.common import Query
 
@@ -53,3 +54,43 @@ sums AS (
     SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY eligible) AS n FROM scored
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND r <= 5 * n // 100 THEN r END AS rank FROM ranked"""
+
+
+def op12_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_buckets.remove_repeats(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select(
+        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+OP12_SQL = r"""
+WITH own AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (
+    SELECT doc_id, k, substr(h, 2000 * k + 1, 2098) AS h FROM (SELECT doc_id, h, unnest(range((len(h) // 2 + 999) // 1000)) AS k FROM own)
+), windows AS (
+    SELECT doc_id, 1000 * k + i AS i, substr(h, 2 * i + 1, 100) AS s
+    FROM (SELECT doc_id, k, h, unnest(range(least(1000, len(h) // 2 - 49))) AS i FROM parts)
+), first AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s),
+hits AS (SELECT doc_id, i FROM windows JOIN first USING (s) WHERE least < doc_id),
+bytes AS (
+    SELECT doc_id, 1000 * k + i AS i, substr(h, 2 * i + 1, 2) AS byte
+    FROM (SELECT doc_id, k, h, unnest(range(least(1000, len(h) // 2))) AS i FROM parts)
+), marked AS (
+    SELECT doc_id, b.i, byte, coalesce(b.i - max(x.i) OVER (PARTITION BY doc_id ORDER BY b.i) < 50, false) AS gone
+    FROM bytes b LEFT JOIN hits x USING (doc_id, i)
+), edges AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS starts FROM marked),
+cut AS (
+    SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans,
+           coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+    FROM edges GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(from_hex(coalesce(kept, ''))) AS kept_sha256
+FROM own LEFT JOIN cut USING (doc_id)"""
+
+
+QUERIES = {
+    "op11_resampling": Query(op11_resampling, OP11_SQL),
+    "op12_suffix_buckets": Query(op12_suffix_buckets, OP12_SQL),
+}
