@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from controlweave.llm import resampling, suffix_buckets
+from controlweave.llm import divergence, resampling, suffix_buckets
 from controlweave.llm.tables import table
 from controlweave.workload.common import Query
 
@@ -90,7 +90,44 @@ SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_remo
 FROM own LEFT JOIN cut USING (doc_id)"""
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH own AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), met AS (SELECT d, lang, source, unnest(w) AS term FROM own),
+kept AS (SELECT lang, term FROM met GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM own),
+counts AS (SELECT lang, source, term, count(*) AS n FROM met JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+own_p AS (
+    SELECT lang, source, term, n,
+           1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM dense
+), lang_p AS (
+    SELECT lang, term, 1 + 1000000000 * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q
+    FROM dense GROUP BY lang, term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM own_p a JOIN own_p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM own_p JOIN lang_p USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+           CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 QUERIES = {
     "op11_resampling": Query(op11_resampling, OP11_SQL),
     "op12_suffix_buckets": Query(op12_suffix_buckets, OP12_SQL),
+    "op13_divergence": Query(op13_divergence, OP13_SQL),
 }

@@ -62,6 +62,18 @@ def xxh64(lanes: list[np.ndarray], seeds: np.ndarray | int = 0) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+def word_lanes(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The first 8 * LANES bytes of each word as 8-byte lanes, zero behind its end; ``data`` has as many bytes after the last word."""
+    lanes_at = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    lanes = []
+    for k in range(LANES):
+        rest = np.clip(size - 8 * k, 0, 8)
+        at = np.where(rest > 0, starts + 8 * k, 0)
+        mask = np.where(rest >= 8, ~U64(0), (U64(1) << (U64(8) * np.minimum(rest, 7).astype(U64))) - U64(1))
+        lanes.append(np.where(rest > 0, lanes_at[at].astype(U64) & mask, U64(0)))
+    return lanes
+
+
 class SlotTable:
     """An open-addressed table of one batch: interned items with linear probing.
 
@@ -234,14 +246,7 @@ class Features:
     def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[SlotTable, np.ndarray, np.ndarray, np.ndarray]:
         """The words' table and the CRC in each slot; of each word, the CRC of a space and the word, and that length."""
         size = ends - starts
-        lanes_at = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-        lanes = []
-        for k in range(LANES):
-            rest = np.clip(size - 8 * k, 0, 8)
-            at = np.where(rest > 0, starts + 8 * k, 0)
-            # the bytes behind the word's end are zero
-            mask = np.where(rest >= 8, ~U64(0), (U64(1) << (U64(8) * np.minimum(rest, 7).astype(U64))) - U64(1))
-            lanes.append(np.where(rest > 0, lanes_at[at].astype(U64) & mask, U64(0)))
+        lanes = word_lanes(data, starts, size)
         keys = xxh64(lanes, size.astype(U64))
         content = [size, *lanes]
         long = np.flatnonzero(size > 8 * LANES)
