@@ -245,17 +245,18 @@ def _sent(block: Block, row: dict) -> list[tuple[int, int, bytes]]:
     text = block.text
     piece = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)], np.int64)
     contents = list(known)
-    bucket, least = np.zeros(len(contents), np.int64), np.full(len(contents), NO_ID)
-    bucket[piece] = (key >> U64(32)).astype(np.int64)
+    of_piece, least = np.zeros(len(contents), U64), np.full(len(contents), NO_ID)
+    of_piece[piece] = key
     np.minimum.at(least, piece, block.ids[doc])
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(of_piece, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     sizes = np.array([len(contents[i]) for i in order], np.int64)
+    tops = ((of_piece[order] >> U64(24)) & U64(255)).astype(np.uint8)
     rows = []
-    for k, number, s in _rows_by_bucket(row["block"], bucket[order]):
+    for k, number, s in _rows_by_bucket(row["block"], (of_piece[order] >> U64(32)).astype(np.int64)):
         head = np.concatenate([[s.stop - s.start], sizes[s], least[order[s]]]).astype("<i8").tobytes()
-        rows.append((k, number, _squeezed(head + b"".join([contents[i] for i in order[s]]))))
+        rows.append((k, number, _squeezed(head + tops[s].tobytes() + b"".join([contents[i] for i in order[s]]))))
     # a text whose id is larger than another one's with the same run loses all of the run
     lost = block.ids[doc] > least[piece]
     held = np.stack([begin, count, place[piece], lost.astype(np.int64)])
@@ -304,39 +305,61 @@ def bucket_pointers(data: np.ndarray, end: np.ndarray, length: int) -> np.ndarra
     return pointer
 
 
+class _Sent:
+    """The pieces that a block sent to a bucket, in the order of their anchors' hashes."""
+
+    def __init__(self, data: bytes) -> None:
+        self.raw = zstandard.ZstdDecompressor().decompress(data)
+        n = int(np.frombuffer(self.raw, "<i8", 1)[0])
+        head = np.frombuffer(self.raw, "<i8", 2 * n, 8)
+        self.sizes, self.ids = head[:n], head[n:]
+        self.tops = np.frombuffer(self.raw, np.uint8, n, 8 + 16 * n)
+        self.ends = 8 + 17 * n + np.cumsum(self.sizes)
+
+    def between(self, low: int, high: int) -> tuple[list[bytes], np.ndarray]:
+        """The contents and ids of the pieces whose upper bits are from low to high."""
+        a, b = np.searchsorted(self.tops, low, side="left"), np.searchsorted(self.tops, high, side="right")
+        ends = self.ends[a:b].tolist()
+        return [self.raw[e - n : e] for e, n in zip(ends, self.sizes[a:b].tolist(), strict=True)], self.ids[a:b]
+
+
+def _repeated(sent: list[tuple[list[bytes], np.ndarray]], rule: Rule) -> list[np.ndarray]:
+    """For the windows of each block's pieces, whether any piece with a smaller id has them."""
+    known: dict[bytes, int] = {}
+    content = [np.array([known.setdefault(c, len(known)) for c in contents], np.int64) for contents, _ in sent]
+    least = np.full(len(known), NO_ID)
+    for which, (_, ids) in zip(content, sent, strict=True):
+        np.minimum.at(least, which, ids)
+    sizes = np.fromiter(map(len, known), np.int64, len(known))
+    data = np.frombuffer(b"".join(known), np.uint8)
+    ends = np.cumsum(sizes)
+    windows = sizes - rule.length + 1
+    pointer = bucket_pointers(data, np.repeat(ends, sizes), rule.length)[_spread(ends - sizes, windows)]
+    smallest = np.repeat(least, windows)
+    order = np.argsort(pointer, kind="stable")
+    cuts = np.flatnonzero(np.diff(pointer[order], prepend=-1))
+    if len(cuts):
+        smallest[order] = np.repeat(np.minimum.reduceat(smallest[order], cuts), np.diff(cuts, append=len(order)))
+    first = np.cumsum(windows) - windows
+    return [smallest[_spread(first[w], windows[w])] < np.repeat(ids, windows[w]) for w, (_, ids) in zip(content, sent, strict=True)]
+
+
 def _judged(rule: Rule):
     """For each window sent to a bucket, whether a text with a smaller id has it: a bit for each, by block."""
 
     def judge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        sent: list[tuple[int, np.ndarray, np.ndarray]] = []
-        bucket = key[0].as_py()
-        for part in batches:
-            for r in part.to_pylist():
-                raw = zstandard.ZstdDecompressor().decompress(r["data"])
-                n = int(np.frombuffer(raw, "<i8", 1)[0])
-                head = np.frombuffer(raw, "<i8", 2 * n, 8)
-                ends = (8 + 16 * n + np.cumsum(head[:n])).tolist()
-                begins = [8 + 16 * n, *ends[:-1]]
-                content = [known.setdefault(raw[a:b], len(known)) for a, b in zip(begins, ends, strict=True)]
-                sent.append((r["block"], np.array(content, np.int64), head[n:]))
-        least = np.full(len(known), NO_ID)
-        for _, content, ids in sent:
-            np.minimum.at(least, content, ids)
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        data = np.frombuffer(b"".join(known), np.uint8)
-        ends = np.cumsum(sizes)
-        windows = sizes - rule.length + 1
-        starts = _spread(ends - sizes, windows)
-        pointer = bucket_pointers(data, np.repeat(ends, sizes), rule.length)[starts]
-        smallest = np.repeat(least, windows)
-        order = np.argsort(pointer, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(pointer[order]) != 0))
-        smallest[order] = np.repeat(np.minimum.reduceat(smallest[order], cuts), np.diff(cuts, append=len(order)))
-        first = np.cumsum(windows) - windows
-        for block, content, ids in sent:
-            bits = smallest[_spread(first[content], windows[content])] < np.repeat(ids, windows[content])
-            yield batch(_ANCHORS, [[bucket], [block], [_squeezed(np.int64(len(bits)).tobytes() + np.packbits(bits).tobytes())]])
+        sent = [(r["block"], _Sent(r["data"])) for part in batches for r in part.to_pylist()]
+        weight = sum(np.bincount(x.tops, x.sizes, 256) for _, x in sent)
+        # anchors with equal upper bits of their hash stay together
+        share = (np.cumsum(weight) // PART_BYTES).astype(np.int64)
+        bits: list[list[np.ndarray]] = [[] for _ in sent]
+        for part in np.unique(share):
+            low, high = np.flatnonzero(share == part)[[0, -1]]
+            for mine, found in zip(bits, _repeated([x.between(low, high) for _, x in sent], rule), strict=True):
+                mine.append(found)
+        for (block, _), mine in zip(sent, bits, strict=True):
+            every = np.concatenate(mine)
+            yield batch(_ANCHORS, [[key[0].as_py()], [block], [_squeezed(np.int64(len(every)).tobytes() + np.packbits(every).tobytes())]])
 
     return judge
 
