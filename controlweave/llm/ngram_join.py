@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from controlweave.llm.arrays import U64, Words, combined
-from controlweave.llm.components import components
+from controlweave.llm.components import ForestOfBatch, components
 from controlweave.llm.tables import batch, chunks, partitions, payloads, prepared, written
 
 #: Counters of the frequency table that orders n-grams: 8 MB whatever the corpus. Two n-grams may
@@ -233,18 +233,6 @@ class Join:
         # linked sets share p / (100 + p) of their sizes' sum, so they differ in the rest
         return apart * (100 + p) <= (na + nb) * (100 - p)
 
-    def _fits(self, a: str, b: str):
-        """Length and positional filters for entries of the shorter set a and the longer set b."""
-        p = self.rule.percent
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        rest = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
-        return (
-            ((na < nb) | ((na == nb) & (F.col(f"{a}.node") < F.col(f"{b}.node"))))
-            & (na * 100 >= nb * p)
-            & (rest * (100 + p) >= (na + nb) * p)
-            & (F.col(f"{a}.place") < na - F.ceil(na * (2 * p) / (100 + p) - 1e-9) + 1)
-        )
-
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, each verified once."""
         once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -281,13 +269,144 @@ class Join:
         for turn in range(ROUNDS):
             new = written(self._verify(self._neighbours(self._grouped(found), turn)), "verified")
             found = new if found is None else found.union(new)
-        entries = self._grouped(found)
-        entries = written(entries.join(self.nodes.drop("n"), "node"), "signed-entries")
-        a, b = entries.alias("x"), entries.alias("y")
-        # a bucket that many groups share is one hot key of this join, which adaptive execution splits
-        near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & self._fits("x", "y") & self._alike("x", "y")
-        rest = a.join(b, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        return found.union(written(self._verify(rest), "verified"))
+        rest = self._remaining(self._grouped(found))
+        return rest if found is None else found.union(rest)
+
+    def _remaining(self, entries: DataFrame) -> DataFrame:
+        """Links between groups that still differ, over all pairs that share an n-gram of their prefixes.
+
+        Pairs never leave a task: the pairs of a bucket that pass the filters come out as a spanning forest,
+        and what hangs together so is verified block by block on the sets, where only links that join
+        two groups come out.
+        """
+        n = partitions(self.spark)
+        signature = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in _BITS)).alias("signature")
+        signed = entries.join(self.nodes.select("node", signature), "node")
+        sizes = entries.groupBy("gram").agg(F.count("*").alias("members"))
+        likely = _blocks(signed.join(sizes, "gram"), "gram", ENTRIES_PER_BLOCK, n).select(*_LIKELY_COLUMNS)
+        forest = written(likely.mapInArrow(_likely(self.rule), "a bigint, b bigint"), "likely-pairs")
+        clusters = components(forest)
+        roots = entries.select("node", "root").distinct()
+        placed = clusters.join(roots, F.col("id") == F.col("node")).select("node", F.col("component").alias("cluster"), "root")
+        placed = written(placed, "clusters")
+        sized = placed.join(placed.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
+        sets = self._sets(placed.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        held = _blocks(sized, "cluster", SETS_PER_BLOCK, n, sets).select("cluster", "low", "high", "block", "node", "root", "grams")
+        return written(held.mapInArrow(_linked(self.rule), "a bigint, b bigint"), "verified")
+
+
+def _blocks(rows: DataFrame, key: str, most: int, n: int, sets: DataFrame | None = None) -> DataFrame:
+    """Deal the members of a key into blocks of about ``most`` and send each to all pairs of blocks with its own.
+
+    Pairs (``low``, ``high``) come together within a partition, one after the other.
+    """
+    dealt = rows.withColumn("blocks", F.ceil(F.col("members") / most).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    paired = dealt.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    if sets is not None:
+        paired = paired.join(sets, "node")
+    return paired.repartition(n, key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+#: Members of a bucket, and sets of a cluster, in one block.
+ENTRIES_PER_BLOCK, SETS_PER_BLOCK = 2048, 512
+_LIKELY_COLUMNS = ["gram", "low", "high", "block", "node", "n", "place", "root", "signature"]
+
+
+def _groups(batches, width: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows with equal first ``width`` columns, several at a time, and where each begins."""
+    held: list[pa.RecordBatch] = []
+    rows, least = 0, ENTRIES_PER_BLOCK
+
+    def cut(table: pa.Table, last: bool) -> tuple[pa.Table, np.ndarray, pa.Table]:
+        keys = [table.column(i).to_numpy() for i in range(width)]
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        begins = np.flatnonzero(new)
+        stop = table.num_rows if last else int(begins[-1])
+        return table.slice(0, stop), begins[begins < stop], table.slice(stop)
+
+    for part in batches:
+        held.append(part)
+        rows += part.num_rows
+        if rows >= least:
+            done, begins, rest = cut(pa.Table.from_batches(held).combine_chunks(), False)
+            if done.num_rows:
+                yield done, begins
+            held, rows = rest.to_batches(), rest.num_rows
+            # a group longer than that is awaited without cutting at every batch
+            least = max(ENTRIES_PER_BLOCK, 2 * rows)
+    if rows:
+        done, begins, _ = cut(pa.Table.from_batches(held).combine_chunks(), True)
+        yield done, begins
+
+
+def _likely(rule: Rule):
+    """Of the pairs of each bucket that pass the length, positional and suffix filters, those that join two trees."""
+
+    def likely(batches) -> Iterator[pa.RecordBatch]:
+        p = rule.percent
+        for table, begins in _groups(batches, 3):
+            low, high, block, node, n, place, root = (table.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "block", "node", "n", "place", "root"))
+            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), U64).reshape(-1, RANGES // 64)
+            end = np.repeat(np.append(begins[1:], len(node)), np.diff(np.append(begins, len(node))))
+            at, step, found = np.arange(len(node)), 1, []
+            while len(at := at[at + step < end[at]]):
+                x, y = at, at + step
+                # blocks that differ meet each other only
+                kept = (root[x] != root[y]) & ((low[x] == high[x]) | (block[x] != block[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p)
+                x, y = x[kept], y[kept]
+                kept = np.minimum(n[x] - place[x], n[y] - place[y]) * (100 + p) >= (n[x] + n[y]) * p
+                short = np.where((n[x] < n[y]) | ((n[x] == n[y]) & (node[x] < node[y])), x, y)
+                kept &= place[short] < rule.prefix_short(n[short])
+                x, y = x[kept], y[kept]
+                kept = np.bitwise_count(signature[x] ^ signature[y]).sum(axis=1, dtype=np.int64) * (100 + p) <= (n[x] + n[y]) * (100 - p)
+                found.append(np.stack([node[x[kept]], node[y[kept]]]))
+                step += 1
+            if not found:
+                continue
+            forest = ForestOfBatch()
+            pairs = [(a, b) for a, b in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if forest.joins(a, b)]
+            if pairs:
+                yield batch(_PAIRS, list(zip(*pairs, strict=True)))
+
+    return likely
+
+
+def _linked(rule: Rule):
+    """Verified links of each cluster's blocks that join two groups."""
+
+    def link(batches) -> Iterator[pa.RecordBatch]:
+        p = rule.percent
+        for table, begins in _groups(batches, 3):
+            low, high, block, node, root = (table.column(c).to_numpy() for c in ("low", "high", "block", "node", "root"))
+            links = []
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), table.num_rows], strict=True):
+                sets = [np.frombuffer(x, U64) for x in table.column("grams").slice(a, b - a).to_pylist()]
+                sizes = np.array([len(x) for x in sets])
+                odd = np.stack([np.packbits((np.bincount((x >> U64(54)).astype(np.int64), minlength=RANGES) & 1).astype(np.uint8)).view(U64) for x in sets])
+                forest, roots = ForestOfBatch(), root[a:b].tolist()
+                for i in range(b - a):
+                    j = np.arange(i + 1, b - a)
+                    if low[a] != high[a]:
+                        j = j[block[a + j] != block[a + i]]
+                    j = j[(np.minimum(sizes[j], sizes[i]) * 100 >= np.maximum(sizes[j], sizes[i]) * p)]
+                    j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64) * (100 + p) <= (sizes[j] + sizes[i]) * (100 - p)]
+                    for k in j.tolist():
+                        if forest.root(roots[i]) == forest.root(roots[k]):
+                            continue
+                        both = np.sort(np.concatenate([sets[i], sets[k]]))
+                        common = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if 100 * common >= p * (len(both) - common):
+                            forest.joins(roots[i], roots[k])
+                            links.append((int(node[a + i]), int(node[a + k])))
+            if links:
+                yield batch(_PAIRS, list(zip(*links, strict=True)))
+
+    return link
 
 
 def near_duplicate_groups(docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
