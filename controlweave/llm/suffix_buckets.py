@@ -54,7 +54,7 @@ class Rule:
 
 
 def _squeezed(array: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(array if isinstance(array, bytes) else array.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(array if isinstance(array, bytes) else array.tobytes())
 
 
 def _unsqueezed(data: bytes, kind: str) -> np.ndarray:
@@ -198,70 +198,71 @@ def _met(rule: Rule):
     return met
 
 
-_OWN = -1
-
-
 def _pieces(rule: Rule, buckets: int):
     """What each block sends to the buckets: the bytes of runs that may repeat, each content once,
-    with the smallest id that has it; and, as bucket ``_OWN``, where its texts hold them."""
+    with the smallest id that has it."""
 
     def pieces(batches) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for row in part.to_pylist():
-                rows = _sent(Block(row, rule, buckets), row)
-                if rows:
-                    yield batch(_ANCHORS, list(zip(*rows, strict=True)))
+                sent = Runs(Block(row, rule, buckets), row["met"]).rows(row["block"])
+                if sent:
+                    yield batch(_ANCHORS, list(zip(*sent, strict=True)))
 
     return pieces
 
 
-def _sent(block: Block, row: dict) -> list[tuple[int, int, bytes]]:
-    length = block.rule.length
-    runs = block.runs
-    own, which = np.unique(runs["anchor"], return_inverse=True)
-    if not len(own):
-        return []
-    codes = np.concatenate([_unsqueezed(a["data"], np.uint8) for a in sorted(row["answers"], key=lambda a: a["bucket"])])[which]
-    # an anchor in two texts of the block is shared, too
-    low, high = np.full(len(own), len(block.ids)), np.full(len(own), -1)
-    np.minimum.at(low, which, runs["doc"])
-    np.maximum.at(high, which, runs["doc"])
-    kept = (codes > NOWHERE) | (low < high)[which]
-    hot = kept & (codes == HOT)
-    cool = kept & ~hot
-    begin, count, doc, key = (runs[n][cool] for n in ("begin", "count", "doc", "anchor"))
-    if hot.any():
-        single = _spread(runs["begin"][hot], runs["count"][hot])
-        whole = block.hashes(single)
-        for k in [*range(ANCHOR, length - ANCHOR, ANCHOR), length - ANCHOR]:
-            whole = mixed(whole + block.hashes(single + k))
-        begin = np.concatenate([begin, single])
-        count = np.concatenate([count, np.ones(len(single), np.int64)])
-        doc = np.concatenate([doc, np.repeat(runs["doc"][hot], runs["count"][hot])])
-        key = np.concatenate([key, block.dealt(whole)])
-    if not len(begin):
-        return []
-    known: dict[bytes, int] = {}
-    text = block.text
-    piece = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)], np.int64)
-    contents = list(known)
-    of_piece, least = np.zeros(len(contents), U64), np.full(len(contents), NO_ID)
-    of_piece[piece] = key
-    np.minimum.at(least, piece, block.ids[doc])
-    order = np.argsort(of_piece, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    sizes = np.array([len(contents[i]) for i in order], np.int64)
-    tops = ((of_piece[order] >> U64(24)) & U64(255)).astype(np.uint8)
-    rows = []
-    for k, number, s in _rows_by_bucket(row["block"], (of_piece[order] >> U64(32)).astype(np.int64)):
-        head = np.concatenate([[s.stop - s.start], sizes[s], least[order[s]]]).astype("<i8").tobytes()
-        rows.append((k, number, _squeezed(head + tops[s].tobytes() + b"".join([contents[i] for i in order[s]]))))
-    # a text whose id is larger than another one's with the same run loses all of the run
-    lost = block.ids[doc] > least[piece]
-    held = np.stack([begin, count, place[piece], lost.astype(np.int64)])
-    rows.append((_OWN, row["block"], _squeezed(np.concatenate([[len(begin)], held.ravel(), sizes - length + 1]).astype("<i8"))))
-    return rows
+class Runs:
+    """The runs of a block's windows that may repeat: ``begin``, ``count`` and ``piece`` (the number of its content)
+    of each, and whether it is ``lost``, as a text of the block with a smaller id has the same run.
+
+    Pieces are numbered in the order of their buckets and anchors.
+    """
+
+    def __init__(self, block: Block, met: list[dict] | None) -> None:
+        length, runs = block.rule.length, block.runs
+        own, which = np.unique(runs["anchor"], return_inverse=True)
+        codes = np.concatenate([np.empty(0, np.uint8), *(_unsqueezed(a["data"], np.uint8) for a in sorted(met or [], key=lambda a: a["bucket"]))])[which]
+        # an anchor in two texts of the block is shared, too
+        low, high = np.full(len(own), len(block.ids)), np.full(len(own), -1)
+        np.minimum.at(low, which, runs["doc"])
+        np.maximum.at(high, which, runs["doc"])
+        kept = (codes > NOWHERE) | (low < high)[which]
+        hot = kept & (codes == HOT)
+        cool = kept & ~hot
+        begin, count, doc, key = (runs[n][cool] for n in ("begin", "count", "doc", "anchor"))
+        if hot.any():
+            single = _spread(runs["begin"][hot], runs["count"][hot])
+            whole = block.hashes(single)
+            for k in [*range(ANCHOR, length - ANCHOR, ANCHOR), length - ANCHOR]:
+                whole = mixed(whole + block.hashes(single + k))
+            begin = np.concatenate([begin, single])
+            count = np.concatenate([count, np.ones(len(single), np.int64)])
+            doc = np.concatenate([doc, np.repeat(runs["doc"][hot], runs["count"][hot])])
+            key = np.concatenate([key, block.dealt(whole)])
+        known: dict[bytes, int] = {}
+        text = block.text
+        piece = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)], np.int64)
+        contents = list(known)
+        keys, least = np.zeros(len(contents), U64), np.full(len(contents), NO_ID)
+        keys[piece] = key
+        np.minimum.at(least, piece, block.ids[doc])
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.begin, self.count, self.piece, self.lost = begin, count, place[piece], block.ids[doc] > least[piece]
+        self.contents, self.keys, self.least = [contents[i] for i in order], keys[order], least[order]
+        self.windows = np.array([len(c) - length + 1 for c in self.contents], np.int64)
+        self.sizes = self.windows + length - 1
+
+    def rows(self, block: int) -> list[tuple[int, int, bytes]]:
+        """The pieces for each bucket."""
+        out = []
+        tops = ((self.keys >> U64(24)) & U64(255)).astype(np.uint8)
+        for bucket, number, s in _rows_by_bucket(block, (self.keys >> U64(32)).astype(np.int64)):
+            head = np.concatenate([[s.stop - s.start], self.sizes[s], self.least[s]]).astype("<i8").tobytes()
+            out.append((bucket, number, _squeezed(head + tops[s].tobytes() + b"".join(self.contents[s]))))
+        return out
 
 
 def bucket_pointers(data: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
@@ -369,38 +370,33 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.
 _CUT_DDL = "doc_id bigint, n_bytes bigint, spans array<struct<begin: bigint, end: bigint>>, kept binary"
 
 
-def _removed(rule: Rule, row: dict, n_bytes: int) -> np.ndarray:
+def _removed(block: Block, row: dict) -> np.ndarray:
     """Whether each byte of a block goes."""
-    cover = np.zeros(n_bytes + 1, np.int32)
-    if row["own"] is not None:
-        own = _unsqueezed(row["own"], "<i8")
-        n = int(own[0])
-        begin, count, piece, lost = own[1 : 1 + 4 * n].reshape(4, n)
-        windows = own[1 + 4 * n :]
-        counts = np.cumsum(windows)
-        parts = [_unsqueezed(a["data"], np.uint8) for a in sorted(row["answers"], key=lambda a: a["bucket"])]
+    cover = np.zeros(len(block.text) + 1, np.int32)
+    if row["judged"] is not None:
+        runs = Runs(block, row["met"])
+        parts = [_unsqueezed(a["data"], np.uint8) for a in sorted(row["judged"], key=lambda a: a["bucket"])]
         bits = np.concatenate([np.unpackbits(p[8:], count=int(p[:8].view("<i8")[0])) for p in parts]).astype(bool)
-        gone = bits[_spread((counts - windows)[piece], count)] | np.repeat(lost.astype(bool), count)
-        starts = _spread(begin, count)[gone]
+        first = np.cumsum(runs.windows) - runs.windows
+        gone = bits[_spread(first[runs.piece], runs.count)] | np.repeat(runs.lost, runs.count)
+        starts = _spread(runs.begin, runs.count)[gone]
         cover[starts] += 1
-        cover[starts + rule.length] -= 1
+        cover[starts + block.rule.length] -= 1
     return np.cumsum(cover[:-1]) > 0
 
 
-def _cut(rule: Rule):
+def _cut(rule: Rule, buckets: int):
     def cut(batches) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for row in part.to_pylist():
-                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
-                sizes = np.array(row["sizes"], np.int64)
-                ends = np.cumsum(sizes)
-                gone = _removed(rule, row, len(data))
+                block = Block(row, rule, buckets)
+                gone, data = _removed(block, row), np.frombuffer(block.text, np.uint8)
                 spans, kept = [], []
-                for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                for a, b in zip((block.ends - block.sizes).tolist(), block.ends.tolist(), strict=True):
                     edges = np.flatnonzero(np.diff(gone[a:b].view(np.int8), prepend=0, append=0)).tolist()
                     spans.append([{"begin": x, "end": y} for x, y in zip(edges[0::2], edges[1::2], strict=True)])
                     kept.append(data[a:b][~gone[a:b]].tobytes())
-                yield batch(_CUT, [row["ids"], sizes, spans, kept])
+                yield batch(_CUT, [row["ids"], block.sizes, spans, kept])
 
     return cut
 
@@ -423,11 +419,12 @@ def remove_repeats(docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_i
     buckets = rule.groups * n
     own = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("binary").alias("text"))
     blocks = written(own.mapInArrow(_packed(rule), _BLOCKS_DDL), "text-blocks")
-    of_block = F.collect_list(F.struct("bucket", "data")).alias("answers")
+    by_block = lambda rows, name: rows.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias(name))
     anchors = blocks.mapInArrow(_anchors(rule, buckets), _ANCHORS_DDL)
-    met = anchors.groupBy("bucket").applyInArrow(_met(rule), _ANCHORS_DDL).groupBy("block").agg(of_block)
-    pieces = written(blocks.join(met, "block").mapInArrow(_pieces(rule, buckets), _ANCHORS_DDL), "repeat-pieces")
-    judged = pieces.where(F.col("bucket") > _OWN).groupBy("bucket").applyInArrow(_judged(rule), _ANCHORS_DDL).groupBy("block").agg(of_block)
-    held = pieces.where(F.col("bucket") == _OWN).select("block", F.col("data").alias("own")).join(judged, "block")
-    cut = blocks.join(held, "block", "left").select("ids", "sizes", "data", "own", "answers").mapInArrow(_cut(rule), _CUT_DDL)
+    met = written(by_block(anchors.groupBy("bucket").applyInArrow(_met(rule), _ANCHORS_DDL), "met"), "anchors-met")
+    pieces = blocks.join(met, "block").mapInArrow(_pieces(rule, buckets), _ANCHORS_DDL)
+    judged = by_block(pieces.groupBy("bucket").applyInArrow(_judged(rule), _ANCHORS_DDL), "judged")
+    # runs are found once more: that costs less than to store them
+    answers = met.join(judged, "block", "left")
+    cut = blocks.join(answers, "block", "left").select("ids", "sizes", "data", "met", "judged").mapInArrow(_cut(rule, buckets), _CUT_DDL)
     return cut.withColumnRenamed("doc_id", id_column)
