@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -43,7 +44,9 @@ JOINED = 200
 GROUP_BYTES = 2 << 20
 #: The tokenizer's split pattern on lower-case ASCII.
 _ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_SHARDS = "shard string, first_id bigint, n_docs bigint, n_ids bigint"
+_SHARDS = "shard string, place int, first_id bigint, n_docs bigint, n_ids bigint"
+#: Rows of one document id that a single task may hold.
+REPEATED = 100_000
 _READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 _READ_IDS = "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>"
 
@@ -70,17 +73,20 @@ class WordTokenizer:
         self.number: dict[str, int] = {"": 0}
         self.flat, self.begins, self.sizes = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
         out = self._by_words(texts)
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.specials):
-                out[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self.specials:
+            whole = pc.match_substring_regex(texts, "|".join(map(re.escape, self.specials)))
+            for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+                out[i] = np.asarray(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
-    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+    def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
         # a comma or full stop after a letter is a match of its own, so it may stand apart
-        spread = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"([A-Za-z])([.,])(\s)", r"\1 \2\3")
+        spread = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])(\s)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(spread)
         flat = split.flatten()
         # case makes no difference in ASCII words (in others it may, before characters are composed)
@@ -110,7 +116,8 @@ class WordTokenizer:
         matches = np.fromiter((1 if w.isalpha() else len(_ASCII_SPLIT.findall(w.lower())) for w in plain), np.int64, len(plain))
         finals = np.flatnonzero(self.final[ids]) + 1
         if len(finals) != matches.sum():
-            raise ValueError("the tokenizer splits words otherwise than this reader")
+            # some word is split otherwise than by the pattern: one by one, then
+            plain, other, ids, finals, matches = [], [*plain, *other], ids[:0], finals[:0], matches[:0]
         ends = finals[np.cumsum(matches) - 1] if len(plain) else np.empty(0, np.int64)
         rest = [got.ids for got in encode(other)]
         sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
@@ -121,19 +128,26 @@ class WordTokenizer:
         self.number.update(zip([*plain, *other], range(len(self.number), len(self.number) + len(words)), strict=True))
 
 
-def _groups(batches) -> Iterator[tuple[pa.Array, list[str]]]:
+def _texts(column: pa.Array) -> pa.Array:
+    """UTF-8 bytes as text; null is empty, broken sequences become U+FFFD."""
+    try:
+        return column.cast(pa.large_string()).fill_null("")
+    except pa.ArrowInvalid:
+        return pa.array([decoded(t) for t in column.to_pylist()], pa.large_string())
+
+
+def _groups(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Keys and texts of several batches, about GROUP_BYTES of text together."""
-    parts, texts, size = [], [], 0
+    keys, texts, size = [], [], 0
     for part in batches:
-        some = part.column(1).to_pylist()
-        parts.append(part.column(0))
-        texts += [decoded(t) for t in some]
-        size += sum(len(t) for t in some if t)
+        keys.append(part.column(0))
+        texts.append(_texts(part.column(1)))
+        size += texts[-1].nbytes
         if size >= GROUP_BYTES:
-            yield pa.concat_arrays(parts), texts
-            parts, texts, size = [], [], 0
-    if texts:
-        yield pa.concat_arrays(parts), texts
+            yield pa.concat_arrays(keys), pa.concat_arrays(texts)
+            keys, texts, size = [], [], 0
+    if keys:
+        yield pa.concat_arrays(keys), pa.concat_arrays(texts)
 
 
 def write_ids(
@@ -142,12 +156,13 @@ def write_ids(
 ) -> DataFrame:
     """Tokenize every whole text and store the ids in ascending order of the document ids.
 
-    Result: the shards (``shard`` path without suffix, ``first_id``, ``n_docs``, ``n_ids``,
+    Result: the shards (``shard`` path without suffix, ``place`` among the shards, ``first_id``, ``n_docs``, ``n_ids``,
     ``base``); only shards listed there belong to the data set, files of lost attempts don't.
     ``end_id`` is appended to each document. Ids take 2 bytes if the vocabulary allows, else 4.
     Null and empty texts hold the end id only; repeated document ids are kept, ordered by their
-    texts; null document ids come first. An empty table gives no shards. Other columns are
-    ignored whatever their names. One shuffle, by ranges of the document id.
+    texts (ids with more than ``REPEATED`` rows by the CRC-32 of their texts first, so that they spread over shards); null document ids
+    come first. An empty table gives no shards. Other columns are ignored whatever their names. One shuffle of the texts, by
+    ranges of the document id.
     """
     spark = prepared(docs.sparkSession)
     folder = folder or fresh_folder(spark, "token-files")
@@ -155,7 +170,13 @@ def write_ids(
     width = 4 if (wide if wide is not None else max(size, (end_id or 0) + 1) > 1 << 16) else 2
     key = docs[id_column].cast("bigint").alias("doc_id")
     rows = docs.select(key, docs[text_column].cast("binary").alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), F.col("doc_id"), F.crc32("text")).sortWithinPartitions("doc_id", "text")
+    # at most one id per REPEATED rows
+    hot = [r.doc_id for r in rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > REPEATED).collect()]
+    place = [F.col("doc_id")]
+    if hot:
+        often = F.col("doc_id").isin([i for i in hot if i is not None]) | (F.col("doc_id").isNull() if None in hot else F.lit(False))
+        place.append(F.when(often, F.crc32("text")))
+    ordered = rows.repartitionByRange(partitions(spark), *place).sortWithinPartitions(*place, "text")
 
     def store(batches) -> Iterator[pa.RecordBatch]:
         tokenizer, store, place = WordTokenizer(tokenizer_path), *filesystem(folder)
@@ -176,13 +197,14 @@ def write_ids(
         if out is not None:
             for stream in (out, lengths, keys):
                 stream.close()
-            schema = pa.schema([("shard", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+            schema = pa.schema([("shard", pa.string()), ("place", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
             uri = f"{folder}/{name.rsplit('/', 1)[1]}"
-            yield batch(schema, [[uri], [first], [n_docs], [n_ids]])
+            # partitions are numbered in the order of their ranges
+            yield batch(schema, [[uri], [TaskContext.get().partitionId()], [first], [n_docs], [n_ids]])
 
     shards = written(ordered.mapInArrow(store, _SHARDS), "token-shards")
     # one row per shard: the prefix sum of their sizes fits in one task
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("shard")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     based = shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     return written(based.repartition(partitions(spark), "shard").mapInArrow(_index_writer(width), f"{_SHARDS}, base bigint"), "token-index")
 

@@ -73,6 +73,33 @@ def test_token_files_odd_rows(spark):
     assert token_files.read_ids(token_files.write_ids(frame(spark, []), WORDS)).count() == 0
 
 
+def test_repeated_ids_across_shards(spark, monkeypatch):
+    """One id with most rows goes to several shards, in the order of its texts' checksums."""
+    monkeypatch.setattr(token_files, "REPEATED", 20)
+    tokenizer = Tokenizer.from_file(WORDS)
+    rows = [(i % 7, f"text {i}") for i in range(60)] + [(7, f"often {i * i}") for i in range(90)] + [(None, f"none {i}") for i in range(30)] + [(9, "last")]
+    shards = token_files.write_ids(frame(spark, rows), WORDS, end_id=2)
+    assert shards.where("first_id = 7").count() > 1
+    hot = {7, None}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode()) if r[0] in hot else 0, r[1].encode()))
+    got = sorted(token_files.read_ids(shards).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.ids) for r in got] == [(d, tokenizer.encode(t, add_special_tokens=False).ids + [2]) for d, t in ordered]
+
+
+def test_words_that_the_tokenizer_splits_otherwise(monkeypatch):
+    tokenizer, mine = Tokenizer.from_file(WORDS), token_files.WordTokenizer(WORDS)
+    mine.final[:] = False  # as if no id told where a match ends
+    for text in ("one two 3 four's", "é"):
+        assert mine.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_broken_bytes_are_replaced(spark):
+    broken = spark.createDataFrame([(1, bytearray(b"a\xffb")), (2, bytearray(b"fine"))], "doc_id bigint, text binary")
+    tokenizer = Tokenizer.from_file(WORDS)
+    got = {r.doc_id: r.ids for r in token_files.read_ids(token_files.write_ids(broken, WORDS)).collect()}
+    assert got == {1: tokenizer.encode("a\ufffdb", add_special_tokens=False).ids, 2: tokenizer.encode("fine", add_special_tokens=False).ids}
+
+
 def test_a_shard_that_lost_ids_is_refused(spark, tmp_path):
     shards = token_files.write_ids(frame(spark, [(1, "some text")]), WORDS, end_id=2, folder=str(tmp_path / "ids"))
     path = shards.first().shard
