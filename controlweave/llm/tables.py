@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -57,9 +58,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written while someone collects them, to be removed when what was made from them is stored.
+_collected: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders that operators write meanwhile."""
+    folders: list[str] = []
+    _collected.append(folders)
+    try:
+        yield folders
+    finally:
+        _collected.remove(folders)
+
+
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders of the shared store that no frame is read from any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in folders:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame, stored once in the shared folder and read back: it survives lost executors."""
     path = fresh_folder(frame.sparkSession, purpose)
+    for folders in _collected:
+        folders.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
