@@ -2,7 +2,8 @@
 
 Controls with the same base dataset, joins and computed fields are counted in
 one pass: their filters and rules become conditional aggregates over the shared
-joined rows. Group rules at one grain share one grouping as well.
+joined rows or, where there are many, an index over all their predicates. Group
+rules at one grain share one grouping as well.
 """
 
 from __future__ import annotations
@@ -16,16 +17,22 @@ from pyspark.sql import functions as F
 
 from controlweave.functions.conditions import all_of, any_of, is_exception, quoted, sql_text
 from controlweave.operators.groups import fails, grain, metric
-from controlweave.operators.population import Joined, build_joined, build_population, population_filters
+from controlweave.operators.names import Lineage
+from controlweave.operators.population import Joined, build_joined, build_population, filter_column, population_filters
 from controlweave.operators.rules import compliant, rule_ids, with_references
 from controlweave.operators.sampling import sample
+from controlweave.plans.predicates import CONTROLS_PER_INDEX, PredicateIndex, atom_of, covering
 from controlweave.plans.spec import FILTERS, Control
 
 # Generated code grows with the number of aggregates and beyond this many is no
-# longer compiled by the JVM; more predicates are split over several aggregations,
-# which share the shuffles below them.
+# longer compiled by the JVM; more row predicates are counted by an index, and more
+# group metrics or exception tables are split over several passes, which share the
+# shuffles below them.
 PREDICATES_PER_JOB = 32
-# Up to this many different filters are offered to the scan as one disjunction.
+# Conditions that only Spark can compute, per index.
+FLAGS_PER_INDEX = 128
+# Up to this many different filters are offered to the scan as one disjunction;
+# of more, what covers them all is offered.
 FILTERS_TO_SCAN = 16
 
 METRICS = (
@@ -64,12 +71,15 @@ def members_of(controls: list[Control], joined: Joined, lenient: bool) -> list[M
     return out
 
 
-def relevant(frame: DataFrame, members: list[Member]) -> DataFrame:
-    """Rows some member covers, so selective filters still reach the scan."""
+def relevant(frame: DataFrame, members: list[Member], lineage: Lineage) -> DataFrame:
+    """Rows some member may cover, so selective filters still reach the scan."""
     distinct = {m.filters: m.covered for m in members}
-    if all(distinct) and len(distinct) <= FILTERS_TO_SCAN:
+    if not all(distinct):
+        return frame
+    if len(distinct) <= FILTERS_TO_SCAN:
         return frame.filter(any_of(distinct.values()))
-    return frame
+    cover = covering(distinct, lineage)
+    return frame if cover is None else frame.filter(cover)
 
 
 def long_rows(wide: DataFrame, rows: list[dict[str, str]], ids: list[str]) -> DataFrame:
@@ -108,10 +118,60 @@ def row_metrics(joined: Joined, members: list[Member], catalog, lenient: bool) -
         aggregates.append(F.count_if(m.covered & broken).alias(f"e{i}"))
         size = populations[m.filters]
         rows.append({"total_population": size, "sampled_population": size, "row_exceptions": f"e{i}"})
-    wide = relevant(marked.frame, members).agg(*aggregates)
+    wide = relevant(marked.frame, members, marked.lineage).agg(*aggregates)
     return long_rows(wide, rows, [m.control.control_id for m in members])
 
 
+def indexed_metrics(joined: Joined, members: list[Member], catalog, lenient: bool) -> DataFrame:
+    """Population and exceptions of any number of members over one scan, by a predicate index."""
+    rules = [r for m in members for r in m.control.row_assertions]
+    marked = with_references(joined, list(dict.fromkeys(rules)), catalog)
+    lineage = marked.lineage
+    users: dict = defaultdict(list)  # rules that only Spark can compute, and who covers the rows they are asked of
+    for m in members:
+        for r in m.control.row_assertions:
+            if atom_of(r, lineage) is None:
+                users[r].append(m.covered)
+    index = PredicateIndex(len(members))
+    flags: dict = {}
+    for i, m in enumerate(members):
+        for action in m.filters:
+            atom = atom_of(action, lineage) or flags.get(action)
+            if atom is None:
+                atom = flags[action] = index.flag(filter_column(action, lineage, lenient))
+            index.add(i, True, atom)
+        for r in m.control.row_assertions:
+            atom = atom_of(r, lineage) or flags.get(r)
+            if atom is None:
+                # a rule is computed on rows that some control asks it of, and can fail on those only
+                condition = compliant(r, lineage, lenient)
+                condition = F.when(any_of({id(c): c for c in users[r]}.values()), condition)
+                atom = flags[r] = index.flag(condition)
+            index.add(i, False, atom)
+    counted = index.counts(relevant(marked.frame, members, lineage))
+    names = F.array(*[F.lit(m.control.control_id) for m in members])
+    size = F.coalesce("covered", F.lit(0))
+    values = {"total_population": size, "sampled_population": size, "row_exceptions": F.coalesce("broken", F.lit(0))}
+    every = counted.sparkSession.range(len(members)).join(counted, F.col("id") == F.col("control"), "left")
+    return every.select(
+        F.get(names, F.col("id").cast("int")).alias("control_id"),
+        *[values.get(m, F.lit(0)).cast("bigint").alias(m) for m in METRICS],
+    )
+
+
+def index_chunks(members: list[Member], lineage: Lineage) -> list[list[Member]]:
+    """Members of one index each: nearly always all of them."""
+    out, flags = [[]], set()
+    for m in members:
+        own = {x for x in (*m.filters, *m.control.row_assertions) if atom_of(x, lineage) is None}
+        if out[-1] and (len(out[-1]) >= CONTROLS_PER_INDEX or len(flags | own) > FLAGS_PER_INDEX):
+            out.append([])
+            flags = set()
+        out[-1].append(m)
+        flags |= own
+    return out
+
+
 def group_metrics(joined: Joined, uses: list[tuple[Member, object, bool]]) -> DataFrame:
     """Failing and existing groups of rules that share one grain.
 
@@ -137,7 +197,7 @@ def group_metrics(joined: Joined, uses: list[tuple[Member, object, bool]]) -> Da
         if counting:
             row["total_population"] = row["sampled_population"] = f"p{i}"
         rows.append(row)
-    wide = relevant(joined.frame, members).groupBy(*keys).agg(*per_group).agg(*totals)
+    wide = relevant(joined.frame, members, lineage).groupBy(*keys).agg(*per_group).agg(*totals)
     return long_rows(wide, rows, [m.control.control_id for m, _, _ in uses])
 
 
@@ -165,7 +225,7 @@ def _exception_rows(joined: Joined, members: list[Member], catalog, lenient: boo
             F.lit(m.control.control_id).alias("control_id"), rule_ids(broken).alias("failed_assertions")
         )
         breaks.append(F.when(m.covered & any_of(broken.values()), found))
-    rows = relevant(marked.frame, members).withColumn("_break", F.explode(F.array(*breaks)))
+    rows = relevant(marked.frame, members, marked.lineage).withColumn("_break", F.explode(F.array(*breaks)))
     rows = rows.filter(F.col("_break").isNotNull())
     taken = ("control_id", "failed_assertions")
     own = [quoted(c).alias(f"{c}_1" if c.lower() in taken else c) for c in joined.frame.columns]
@@ -199,8 +259,11 @@ def metric_parts(controls: list[Control], catalog, lenient: bool = False) -> lis
         joined = build_joined(together[0], catalog)
         members = members_of(together, joined, lenient)
         by_rows = [m for m in members if m.control.row_assertions or not m.control.group_assertions]
-        for chunk in chunks(by_rows, lambda m: len(m.control.row_assertions)):
-            parts.append(row_metrics(joined, chunk, catalog, lenient))
+        if sum(max(1, len(m.control.row_assertions)) for m in by_rows) <= PREDICATES_PER_JOB:
+            if by_rows:
+                parts.append(row_metrics(joined, by_rows, catalog, lenient))
+        else:
+            parts += [indexed_metrics(joined, chunk, catalog, lenient) for chunk in index_chunks(by_rows, joined.lineage)]
         by_grain = defaultdict(list)
         for m in members:
             for i, rule in enumerate(m.control.group_assertions):

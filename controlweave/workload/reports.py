@@ -75,6 +75,41 @@ def shared_scan(spark, sf_dir):
     return verdicts(batch_controls(), tables(spark, sf_dir, "lineitem", "orders"))
 
 
+def generated_controls(n: int):
+    """n controls over items with their orders, all different: filters on two columns, one or two rules."""
+    return [
+        control(
+            "lineitem",
+            [WITH_ORDER, keep("l_quantity", "gt", 1 + i % 40), *([keep("l_returnflag", "eq", "RA"[i % 2])] if i % 3 == 0 else [])],
+            [
+                match("o_totalprice", "gt", 1000.0 + 50 * i, threshold=i % 100),
+                *([match("o_orderpriority", "not_in", ["1-URGENT", "5-LOW"], "r2")] if i % 5 == 0 else []),
+            ],
+            control_id=f"GEN-{i:04d}",
+        )
+        for i in range(n)
+    ]
+
+
+def generated_report(n: int) -> Query:
+    """Verdicts of n generated controls; the base and its join are read once."""
+    return Query(
+        lambda spark, sf_dir: verdicts(generated_controls(n), tables(spark, sf_dir, "lineitem", "orders")),
+        f"""
+WITH counted AS (
+    SELECT i, count(*) AS p, count(*) FILTER (WHERE (o_totalprice > 1000.0 + 50 * i AND (i % 5 <> 0 OR o_orderpriority NOT IN ('1-URGENT', '5-LOW'))) IS NOT TRUE) AS e
+    FROM range({n}) g(i) JOIN ({"SELECT * FROM " + ITEMS}) ON l_quantity > 1 + i % 40 AND (i % 3 <> 0 OR l_returnflag = substr('RA', 1 + CAST(i % 2 AS INT), 1))
+    GROUP BY i
+)
+SELECT 'GEN-' || lpad(CAST(i AS VARCHAR), 4, '0') AS control_id,
+       CASE WHEN CAST(e AS DOUBLE) / p * 100 <= i % 100 THEN 'PASS' ELSE 'FAIL' END AS verdict, e AS exception_count,
+       p AS total_population, p AS sampled_population, round(CAST(e AS DOUBLE) / p * 100, 2) AS exception_rate_percent,
+       CAST(i % 100 AS DOUBLE) AS materiality_threshold_percent, CAST(0 AS BIGINT) AS group_population,
+       CAST(NULL AS DOUBLE) AS group_exception_rate_percent
+FROM counted""",
+    )
+
+
 def batch_exceptions(spark, sf_dir):
     """All exceptions of the batch from one pass, summed up per control."""
     found = exception_rows(batch_controls(), tables(spark, sf_dir, "lineitem", "orders"))
@@ -236,6 +271,8 @@ QUERIES = {
         ),
     ),
     "batch_shared_scan": Query(shared_scan, BATCH_SQL),
+    "batch_100_controls": generated_report(100),
+    "batch_1000_controls": generated_report(1000),
     "batch_exceptions": Query(batch_exceptions, BATCH_EXCEPTIONS_SQL),
     "batch_recorded": Query(
         recorded_batch,
