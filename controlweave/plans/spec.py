@@ -400,6 +400,18 @@ def read_sampling(raw: Any) -> Sampling | None:
     return read_record(Sampling, raw, "population.sampling")
 
 
+def _tagged(value: date) -> dict:
+    """A date or time as an object that tells its type."""
+    return {"$datetime" if isinstance(value, datetime) else "$date": value.isoformat()}
+
+
+def _untagged(found: dict) -> Any:
+    for tag, kind in (("$datetime", datetime), ("$date", date)):
+        if set(found) == {tag}:
+            return kind.fromisoformat(found[tag])
+    return found
+
+
 @dataclass(frozen=True)
 class Control:
     """A whole control: who owns it, what it covers, what must hold."""
@@ -482,7 +494,7 @@ class Control:
 
     @classmethod
     def from_json(cls, text: str) -> Control:
-        return cls.from_dict(json.loads(text))
+        return cls.from_dict(json.loads(text, object_hook=_untagged))
 
     def to_dict(self) -> dict:
         sampling = {"sampling": asdict(self.sampling)} if self.sampling else {}
@@ -507,4 +519,5 @@ class Control:
         }
 
     def to_json(self) -> str:
-        return json.dumps(self.to_dict(), default=str, sort_keys=True)
+        """JSON from which ``from_json`` makes an equal control: dates and times are tagged."""
+        return json.dumps(self.to_dict(), default=_tagged, sort_keys=True)

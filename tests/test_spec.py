@@ -183,3 +183,22 @@ def test_steps_need_unique_ids():
     doc["population"] = {**doc["population"], "steps": [steps[0], {**steps[1], "step_id": "large"}]}
     with pytest.raises(SpecError, match="unique"):
         Control.from_dict(doc)
+
+
+def test_dates_and_times_come_back_typed():
+    from datetime import date, datetime
+
+    raw = {
+        "governance": {"control_id": "C"},
+        "population": {
+            "base_dataset": "t",
+            "steps": [
+                {"step_id": f"s{i}", "action": {"operation": "filter_comparison", "field": "f", "operator": "gt", "value": value}}
+                for i, value in enumerate([datetime(2024, 1, 2, 3), datetime(2024, 1, 2, 3, 4, 5, 678), date(2024, 1, 2), "2024-01-02", 5, 0.5])
+            ],
+        },
+        "assertions": [],
+    }
+    control = Control.from_dict(raw)
+    assert Control.from_json(control.to_json()) == control
+    assert [type(s.action.value) for s in Control.from_json(control.to_json()).steps] == [datetime, datetime, date, str, int, float]
