@@ -33,8 +33,11 @@ def equi_join(
     key of the right side only in an inner join. So where a key may hold very
     many right rows (``rows_per_key`` bounds them), the keys that do are measured
     in the plan and salted: their right rows are spread, their left rows repeated
-    once per share. All other rows go through the same join unchanged, and every
-    row is shuffled once.
+    once per share. All other rows go through the same join unchanged.
+
+    Where a right row goes follows from its values alone: equal rows of a hot key are
+    counted, dealt to the shares by arithmetic, and repeated after the join. So a task
+    that runs again, over rows in another order, makes the same rows.
     """
     condition = key_condition(pairs)
     if how == "inner" or rows_per_key is None or rows_per_key <= split_above:
@@ -50,13 +53,22 @@ def equi_join(
     repeated = marked.select(
         *[quoted(c) for c in left.columns], "_shares", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("_share")
     )
-    spread = beside(right, [r for _, r in pairs]).select(
-        *[quoted(c) for c in right.columns], F.floor(F.rand(7) * shares).alias("_salt")
+    own = [quoted(c) for c in right.columns]
+    measured = beside(right, [r for _, r in pairs])
+    cool = measured.filter(F.col("_shares").isNull()).select(*own, F.lit(0).cast("long").alias("_salt"), F.lit(1).cast("long").alias("_copies"))
+    warm = measured.filter(F.col("_shares").isNotNull()).groupBy(*own, "_shares").agg(F.count(F.lit(1)).alias("_n"))
+    warm = warm.withColumn("_parts", F.least("_shares", "_n"))
+    warm = warm.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")).select(
+        *own,
+        F.pmod(F.xxhash64(*own) + F.col("_part"), F.col("_shares")).alias("_salt"),
+        (F.floor(F.col("_n") / F.col("_parts")) + (F.col("_part") < F.col("_n") % F.col("_parts")).cast("long")).alias("_copies"),
     )
-    joined = repeated.join(spread, condition & (F.col("_share") == F.col("_salt")), "left")
+    joined = repeated.join(cool.union(warm), condition & (F.col("_share") == F.col("_salt")), "left")
     # a hot key has matches: a share of it without any is no miss
     matched = joined.filter(F.col("_shares").isNull() | F.col("_salt").isNotNull())
-    return matched.select(*[quoted(c) for c in [*left.columns, *right.columns]])
+    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int"))).alias("_copy")
+    columns = [quoted(c) for c in [*left.columns, *right.columns]]
+    return matched.select(*columns, copies).select(*columns)
 
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

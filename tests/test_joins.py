@@ -102,6 +102,19 @@ def test_a_salted_join_equals_the_plain_one(spark, how):
     assert values(split) == values(l.join(r, l.lk == r.rk, how))
 
 
+def test_a_task_that_runs_again_salts_as_before(spark):
+    """Shares follow from values, not from the order in which rows arrive."""
+    from pyspark.sql import functions as F
+
+    l, r = hot_sides(spark)
+    text = plan(equi_join(l, r, [("lk", "rk")], "left", rows_per_key=10**9, split_above=100), "simple")
+    assert "rand(" not in text and "monotonically" not in text
+    want = values(l.join(r, l.lk == r.rk, "left"))
+    for n in (1, 3, 7):  # other tasks, other orders
+        shuffled = r.orderBy(F.xxhash64("rv", F.lit(n))).repartition(n)
+        assert values(equi_join(l, shuffled, [("lk", "rk")], "left", rows_per_key=10**9, split_above=100)) == want
+
+
 def test_a_hot_right_key_is_spread(spark):
     """No partition of the salted join holds more than about one share of the hot key."""
     before = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
