@@ -334,15 +334,23 @@ def run_controls(
     for line in lines.values() if unstored else ():
         if line["verdict"] == "FAIL":
             line.update(error_type="ExceptionsNotStored", error_message="; ".join(unstored)[:2000])
-    ordered = [lines[c.control_id] for c in controls]
-    rows = [tuple(line.get(f.name) for f in REPORT.fields) for line in ordered]
-    reports = spark.createDataFrame(rows, REPORT)
+    def reported() -> DataFrame:
+        rows = [tuple(lines[c.control_id].get(f.name) for f in REPORT.fields) for c in controls]
+        return spark.createDataFrame(rows, REPORT)
+
     if ledger is not None:
+        record = lambda found: ledger.append_executions(reported(), by_id, catalog, joined_samples(spark, found, sample_rows), executed_at, run_id)
         try:
-            ledger.append_executions(reports, by_id, catalog, joined_samples(spark, samples, sample_rows), executed_at, run_id)
-        except Exception:  # noqa: BLE001 - a sample that fails must not lose the verdicts
-            ledger.append_executions(reports, by_id, catalog, joined_samples(spark, []), executed_at, run_id)
-    return reports
+            record(samples)
+        except Exception as error:  # noqa: BLE001 - a sample that fails must not lose the verdicts
+            if not samples:
+                raise
+            for line in lines.values():
+                if line["verdict"] == "FAIL":
+                    told = [line.get("error_message"), f"samples: {error_kind(error)}: {error}"]
+                    line.update(error_type=line.get("error_type") or "SampleNotStored", error_message="; ".join(filter(None, told))[:2000])
+            record([])
+    return reported()
 
 
 def exception_tables(controls: list[Control], catalog, lenient: bool) -> dict[str, DataFrame]:

@@ -279,3 +279,24 @@ def test_exceptions_and_executions_are_stored(spark, trades, tmp_path):
     assert len(json.loads(stored["GROUPED"].exceptions_sample)) == 2
     assert ledger.current_control("GROUPED") == grouped
     assert ledger.current_control("NONE") is None
+
+
+def test_a_sample_that_cannot_be_stored_is_told(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from controlweave.plans import run as module
+
+    real = module.joined_samples
+
+    def failing(session, parts, *more):
+        found = real(session, parts, *more)
+        return found.withColumn("exceptions_sample", F.raise_error(F.lit("no space"))) if parts else found
+
+    monkeypatch.setattr(module, "joined_samples", failing)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    cat = catalog(t=frame(spark, "k int", [(1,), (2,)]))
+    specs = [control("t", [], [match("k", "eq", 1)], control_id="BAD"), control("t", [], [match("k", "gt", 0)], control_id="GOOD")]
+    found = {r.control_id: r for r in run_controls(spark, specs, cat, ledger=ledger).collect()}
+    assert found["BAD"].verdict == "FAIL" and found["BAD"].error_type == "SampleNotStored" and "no space" in found["BAD"].error_message
+    assert found["GOOD"].verdict == "PASS" and found["GOOD"].error_message is None
+    assert values(ledger.executions(), "control_id", "verdict", "error_type") == [("BAD", "FAIL", "SampleNotStored"), ("GOOD", "PASS", None)]
