@@ -30,7 +30,9 @@ NUMBER_SHARE, DATE_SHARE = 1.0, 0.5
 # Date spellings tried in turn after ISO dates and timestamps.
 DATE_FORMATS = ("MM/dd/yyyy", "dd-MMM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy")
 
-RECORDS_PER_FILE = 1_000_000  # a file is hashed as one row, which may hold 2 GB: lower it for very wide rows
+RECORDS_PER_FILE = 1_000_000
+#: Bytes of a file that are hashed as one, and hashes that are joined into one.
+RANGE_BYTES, FAN_OUT = 64 << 20, 1024
 
 
 # --- cleaning -----------------------------------------------------------------------
@@ -168,15 +170,87 @@ def schema_version(frame: DataFrame) -> str:
     return hashlib.md5(text.encode()).hexdigest()[:16]
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every data file under ``path``, computed where the files are read."""
-    return (
+def byte_ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
+    """Every data file under ``path`` in ranges of ``size`` bytes: ``path``, ``length``, ``range``, ``offset``, ``bytes``.
+
+    Only the listing is read. Spark lists no empty files.
+    """
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "length", F.sha2("content", 256).alias("sha256_hash"))
+        .select("path", "length")
     )
+    last = F.ceil(F.col("length") / size) - 1
+    ranges = files.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("range"))
+    return ranges.withColumn("offset", F.col("range") * size).withColumn("bytes", F.least(F.lit(size), F.col("length") - F.col("offset")))
+
+
+def range_hashes(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
+    """SHA-256 of every byte range under ``path``: the leaves of the files' hash trees.
+
+    Ranges are spread over all tasks, and a task holds a few MB of one at a time, so files may have any size.
+    """
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        for part in batches:
+            found = []
+            for row in part.to_pylist():
+                store, name = pafs.FileSystem.from_uri(row["path"])
+                value, left = hashlib.sha256(), row["bytes"]
+                with store.open_input_file(name) as file:
+                    file.seek(row["offset"])
+                    while left and (data := file.read(min(left, 1 << 22))):
+                        value.update(data)
+                        left -= len(data)
+                if left:
+                    raise OSError(f"{row['path']} ends before byte {row['offset'] + row['bytes']}")
+                found.append(value.hexdigest())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "sha256_hash"])
+
+    ranges = byte_ranges(spark, path, size)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = ranges.repartition(tasks, "path", "range")
+    return spread.mapInArrow(digest, "path string, length bigint, range bigint, offset bigint, bytes bigint, sha256_hash string")
+
+
+def folded_hashes(leaves: DataFrame, keys: list[str], place: str, fan_out: int = FAN_OUT) -> DataFrame:
+    """The roots of hash trees: ``keys`` and ``sha256_hash``.
+
+    ``place`` numbers the leaves of a tree from 0. Up to ``fan_out`` neighbours are joined into the hash of their
+    hashes, level by level, so no task sees more than that of a tree; a tree of one leaf has the leaf's hash.
+    """
+    levels, span = 0, (leaves.agg(F.max(place)).first()[0] or 0) + 1
+    while span > 1:
+        levels, span = levels + 1, -(-span // fan_out)
+    nodes = leaves.select(*keys, F.col(place).alias("_place"), "sha256_hash")
+    for _ in range(levels):
+        children = F.array_sort(F.collect_list(F.struct("_place", "sha256_hash")))["sha256_hash"]
+        grouped = nodes.groupBy(*keys, F.floor(F.col("_place") / fan_out).alias("_place")).agg(children.alias("_children"))
+        joined = F.when(F.size("_children") == 1, F.col("_children")[0]).otherwise(F.sha2(F.array_join("_children", ""), 256))
+        nodes = grouped.select(*keys, "_place", joined.alias("sha256_hash"))
+    return nodes.drop("_place")
+
+
+def changed_ranges(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Where two listings of range hashes differ: ``path``, ``range``, ``offset``, ``bytes`` and ``change``."""
+    old = stored.select("path", "range", *[F.col(c).alias(f"_{c}") for c in ("offset", "bytes", "sha256_hash")])
+    both = current.join(old, ["path", "range"], "full_outer")
+    change = F.when(F.col("_sha256_hash").isNull(), "ADDED").when(F.col("sha256_hash").isNull(), "MISSING").otherwise("CHANGED")
+    differs = ~F.col("sha256_hash").eqNullSafe(F.col("_sha256_hash"))
+    return both.filter(differs).select("path", "range", F.coalesce("offset", "_offset").alias("offset"), F.coalesce("bytes", "_bytes").alias("bytes"), change.alias("change"))
+
+
+def file_hashes(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
+    """One hash for every data file under ``path``: its SHA-256 if it is one range, else the root of its hash tree."""
+    ranges = range_hashes(spark, path, size)
+    return folded_hashes(ranges, ["path", "length"], "range")
 
 
 def dataset_hash(spark: SparkSession, path: str) -> DataFrame:

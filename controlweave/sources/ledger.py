@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from controlweave.operators.joins import latest_per_key
 from controlweave.plans.spec import Control
+from controlweave.sources.evidence import changed_ranges
 
 CONTROLS = (
     "control_id string, control_json string, version string, owner_role string, "
@@ -28,6 +29,10 @@ EXECUTIONS = (
     "evidence_hashes map<string,string>, exceptions_sample string, error_type string, "
     "error_message string, executed_at timestamp_ntz, control_id string"
 )
+RANGES = (
+    "dataset_alias string, path string, length bigint, range bigint, offset bigint, bytes bigint, "
+    "sha256_hash string, recorded_at timestamp_ntz"
+)
 RECORDED_VERDICTS = ("PASS", "FAIL", "ERROR")
 
 
@@ -81,6 +86,21 @@ class Ledger:
         frame = self.spark.createDataFrame(manifests, MANIFESTS)
         self._append("evidence_manifests", frame)
 
+    def ranges(self) -> DataFrame:
+        return self._read("evidence_ranges", RANGES)
+
+    def append_ranges(self, alias: str, ranges: DataFrame, recorded_at: datetime | None = None) -> None:
+        """Store the leaves of a landing's hash trees, one row per 64 MB of evidence."""
+        moment = F.lit((recorded_at or now()).isoformat(sep=" ")).cast("timestamp_ntz")
+        rows = ranges.withColumns({"dataset_alias": F.lit(alias), "recorded_at": moment})
+        self._append("evidence_ranges", rows.select(*[p.split()[0] for p in RANGES.split(", ")]), "dataset_alias")
+
+    def tampered_ranges(self, alias: str, current: DataFrame) -> DataFrame:
+        """Which byte ranges of a dataset's landed files are no longer those recorded."""
+        files = current.select("path").distinct()
+        recorded = latest_per_key(self.ranges().filter(F.col("dataset_alias") == alias), ["path", "range"], ["recorded_at"])
+        return changed_ranges(recorded.join(files, "path", "left_semi"), current)
+
     def append_executions(
         self, reports: DataFrame, controls: dict[str, Control], catalog, samples: DataFrame, executed_at: datetime,
         run_id: str | None = None,

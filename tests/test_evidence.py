@@ -160,3 +160,63 @@ def test_other_formats(spark, tmp_path, kind):
     assert evidence.read_source(spark, path, kind).count() == 2
     with pytest.raises(SpecError):
         evidence.read_source(spark, path, "xlsx")
+
+
+def settled(frame_):
+    return frame_.sparkSession.createDataFrame(frame_.collect(), frame_.schema)
+
+
+def test_a_file_of_more_than_two_gigabytes_and_a_flipped_byte(spark, tmp_path):
+    import hashlib
+    import os
+
+    path = tmp_path / "large" / "part.parquet"
+    os.makedirs(path.parent)
+    size = (2 << 30) + 12_345
+    with open(path, "wb") as file:  # holes: nothing of this takes disk
+        file.truncate(size)
+    ranges = settled(evidence.range_hashes(spark, str(path.parent)))
+    assert ranges.count() == 33 and {r.bytes for r in ranges.collect()} == {64 << 20, 12_345}
+    zeros = hashlib.sha256(bytes(64 << 20)).hexdigest()
+    leaves = [zeros] * 32 + [hashlib.sha256(bytes(12_345)).hexdigest()]
+    root = evidence.folded_hashes(ranges, ["path"], "range").first().sha256_hash
+    assert root == hashlib.sha256("".join(leaves).encode()).hexdigest()
+    with open(path, "r+b") as file:
+        file.seek((5 << 26) + 99)
+        file.write(b"\x01")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.append_ranges("large", ranges)
+    current = settled(evidence.range_hashes(spark, str(path.parent)))
+    found = values(ledger.tampered_ranges("large", current), "range", "offset", "bytes", "change")
+    assert found == [(5, 5 << 26, 64 << 20, "CHANGED")]
+    ledger.append_ranges("large", current)
+    assert ledger.tampered_ranges("large", current).isEmpty()
+
+
+def test_hash_trees_of_small_files_and_of_files_that_grow(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "few"
+    folder.mkdir()
+    for name, data in (("a.parquet", b"abc" * 10), ("b.parquet", b"x"), ("c.txt", b"no evidence"), ("d.parquet", b"")):
+        (folder / name).write_bytes(data)
+    hashes = {r.path.rsplit("/", 1)[1]: r.sha256_hash for r in evidence.file_hashes(spark, str(folder)).collect()}
+    assert hashes == {"a.parquet": hashlib.sha256(b"abc" * 10).hexdigest(), "b.parquet": hashlib.sha256(b"x").hexdigest()}
+    before = settled(evidence.range_hashes(spark, str(folder), size=8))
+    assert before.count() == 5
+    (folder / "a.parquet").write_bytes(b"abc" * 12)
+    (folder / "b.parquet").unlink()
+    after = evidence.range_hashes(spark, str(folder), size=8)
+    assert values(evidence.changed_ranges(before, after), "range", "change") == [(0, "MISSING"), (3, "CHANGED"), (4, "ADDED")]
+
+
+def test_trees_do_not_depend_on_the_order_of_rows_and_fold_by_neighbours(spark):
+    import hashlib
+
+    h = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    leaves = [h(str(i)) for i in range(11)]
+    level = [h(*leaves[:3]), h(*leaves[3:6]), h(*leaves[6:9]), h(*leaves[9:])]
+    want = h(h(*level[:3]), level[3])
+    frame_ = spark.createDataFrame([("f", i, x) for i, x in reversed(list(enumerate(leaves)))] + [("g", 0, leaves[0])], "f string, i bigint, sha256_hash string")
+    assert values(evidence.folded_hashes(frame_.repartition(5), ["f"], "i", fan_out=3)) == [("f", want), ("g", leaves[0])]
+    assert evidence.folded_hashes(frame_.limit(0), ["f"], "i").count() == 0
