@@ -39,11 +39,9 @@ VERSION = 1
 NULL_ID = -(1 << 63)
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 400_000
-#: Words given to the tokenizer as one text.
-JOINED = 200
-GROUP_BYTES = 2 << 20
-#: The tokenizer's split pattern on lower-case ASCII.
-_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words given to the tokenizer as one text, and the mark between them.
+JOINED, MARK = 200, "|"
+GROUP_BYTES = 6 << 20
 _SHARDS = "shard string, place int, first_id bigint, n_docs bigint, n_ids bigint"
 #: Rows of one document id that a single task may hold.
 REPEATED = 100_000
@@ -63,10 +61,10 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.specials = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Whether an id ends a match of the split pattern.
-        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or r"\A(?!)")
+        mark = self.tokenizer.encode(f"a {MARK} a", add_special_tokens=False).ids
+        #: The id of the mark, if it has one of its own.
+        self.mark = mark[1] if len(mark) == 3 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -79,7 +77,7 @@ class WordTokenizer:
             texts = pa.array(texts, pa.large_string())
         out = self._by_words(texts)
         if self.specials:
-            whole = pc.match_substring_regex(texts, "|".join(map(re.escape, self.specials)))
+            whole = pc.match_substring_regex(texts, self.special.pattern)
             for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
                 out[i] = np.asarray(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
@@ -105,23 +103,20 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words: ASCII ones joined by spaces, as a call costs more than a word."""
-        special = {w for w in words if any(s in w for s in self.specials)}
-        plain = [w for w in words if w.isascii() and w not in special]
-        other = [w for w in words if not w.isascii() or w in special]
-        joined = [" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        """Encode new words: many joined by a mark that none of them holds, as a call costs more than a word."""
+        plain = [w for w in words if MARK not in w and not self.special.search(w)] if self.mark is not None else []
+        joined = [f" {MARK} ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
         encode = lambda some: self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-        ids = np.array([i for got in encode(joined) for i in got.ids], np.uint32)
-        # the pattern's matches in each word tell which of the final ids are its last
-        matches = np.fromiter((1 if w.isalpha() else len(_ASCII_SPLIT.findall(w.lower())) for w in plain), np.int64, len(plain))
-        finals = np.flatnonzero(self.final[ids]) + 1
-        if len(finals) != matches.sum():
-            # some word is split otherwise than by the pattern: one by one, then
-            plain, other, ids, finals, matches = [], [*plain, *other], ids[:0], finals[:0], matches[:0]
-        ends = finals[np.cumsum(matches) - 1] if len(plain) else np.empty(0, np.int64)
+        ids = np.array([i for got in encode(joined) for i in (*got.ids, self.mark)], np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(plain):
+            # some word gives the mark itself: one by one, then
+            plain, ids, marks = [], ids[:0], marks[:0]
+        known = set(plain)
+        other = [w for w in words if w not in known]
         rest = [got.ids for got in encode(other)]
-        sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
-        new = np.concatenate([ids, np.array([i for r in rest for i in r], np.uint32)])
+        sizes = np.concatenate([np.diff(marks, prepend=-1) - 1, np.fromiter(map(len, rest), np.int64, len(rest))])
+        new = np.concatenate([ids[ids != self.mark] if len(ids) else ids, np.array([i for r in rest for i in r], np.uint32)])
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, new])
