@@ -196,6 +196,44 @@ def test_notices_in_long_lines_and_lists():
     assert [g.licence for g in scanner.scan(prose(300) + " licence")] == [None]
 
 
+def test_licences_that_hardly_differ():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    every = [(name, w) for name, wordings in licenses.TEMPLATES.items() for w in wordings]
+    for name, wording in every:
+        for text in (wording, wording.upper(), f"Copyright 2019 A. Person. {wording} See also the file NOTICE."):
+            assert [(g.licence, g.exact) for g in scanner.scan(text)] == [(name, True)], text
+    for text in ("It is not released under the MIT License.", "This was never licensed under the MIT License.", "Not licensed under CC BY 4.0."):
+        assert [g.licence for g in scanner.scan(text)] == [None], text
+    # a distinguishing word more or less is no confirmation of the other licence
+    agpl, lgpl, mit0 = licenses.TEMPLATES["AGPL-3.0"][1], licenses.TEMPLATES["LGPL-2.1"][1], licenses.TEMPLATES["MIT-0"][2]
+    few = licenses.Scanner({k: v for k, v in licenses.TEMPLATES.items() if k in ("GPL-2.0", "GPL-3.0", "MIT")})
+    assert [g.licence for g in few.scan(agpl)] == [None] == [g.licence for g in few.scan(lgpl)]
+    assert [g.licence for g in few.scan(mit0)] == [None]
+    assert [g.licence for g in few.scan("Licensed under the MIT-0 License.")] == [None]
+    changed = scanner.scan(agpl.replace("redistribute it and/or", "redistribute it or"))
+    assert [(g.licence, g.exact, g.missing) for g in changed] == [("AGPL-3.0", False, ("and",))]
+
+
+def test_the_compressor_decides(monkeypatch):
+    """Both wordings would be confirmed; the one that saves more bytes wins, in any order of the templates."""
+    first = "the holder of this work grants everyone the right to copy and change it for any purpose without any fee"
+    second = first.replace("everyone", "whomsoever")
+    for templates in ({"A": (first,), "B": (second,)}, {"B": (second,), "A": (first,)}):
+        assert [(g.licence, g.exact) for g in licenses.Scanner(templates).scan(second)] == [("B", True)]
+        assert [(g.licence, g.exact) for g in licenses.Scanner(templates).scan(first)] == [("A", True)]
+    monkeypatch.setattr(licenses.Template, "saved", lambda self, words: (10, 20))
+    assert [g.licence for g in licenses.Scanner({"A": (first,), "B": (second,)}).scan(second)] == ["A"]
+    monkeypatch.setattr(licenses.Template, "saved", lambda self, words: (10 if words == self.words else 0, 20))
+    assert [g.licence for g in licenses.Scanner({"A": (first,), "B": (second,)}).scan(f"and so on {second} and so on")] == [None]
+
+
+def test_very_long_texts_are_scanned_whole(spark):
+    filler = "plain words of prose without a cue\n" * 40_000
+    rows = [(1, f"{filler}Released under the MIT License.\n{filler}Licensed under the ISC License.\n{filler}")]
+    got = sorted((r.first_line, r.licence) for r in licenses.notices(frame(spark, rows)).collect())
+    assert got == [(40_000, "MIT"), (80_001, "ISC")]
+
+
 def test_licence_query_against_plain_search(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = {(r.doc_id, r.first_line, r.licence) for r in QUERIES["op10_licenses"].run(spark, sf_dir).collect()}
