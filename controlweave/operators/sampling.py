@@ -97,9 +97,10 @@ def draws_below_cut(
     """The lowest draws of each stratum (or of all rows), any number of them: by ``quota``,
     or ``size`` rows shared out among the strata.
 
-    Counts by draw prefix, at most 16**PREFIX per stratum, give the bucket the
-    cut-off falls in; the draws inside that one bucket give the cut-off itself.
-    No task ever holds a stratum: rows are only compared with the cut-off.
+    The population is read twice. Counts by draw prefix, at most 16**PREFIX per stratum,
+    give the bucket the cut-off falls in. Rows up to that bucket, the sample and a little
+    more, are checkpointed; all else, the cut-off within the bucket and the sample for as
+    many uses as there are, is found in them. No task ever holds a stratum.
     """
     shared_folder(frame.sparkSession)
     names = frame.columns
@@ -114,15 +115,12 @@ def draws_below_cut(
         counted = histogram.withColumn("_total", F.sum("_rows").over(Window.partitionBy(*[quoted(s) for s in strata])))
         wanted = F.least(quota(F.col("_total")), F.col("_total"))
     buckets = _cut(counted, strata, "_bucket", wanted)
-    inside = beside(keyed, buckets, strata, bucket="_bucket", rest="_rest").filter(
-        F.col("_bucket") == F.col("_cut.bucket")
-    )
+    candidates = beside(keyed, buckets, strata, bucket="_bucket", rest="_rest").filter(F.col("_bucket") <= F.col("_cut.bucket"))
+    candidates = candidates.withColumn("_last", F.when(F.col("_bucket") == F.col("_cut.bucket"), F.col("_cut.rest"))).drop("_cut", "_bucket").checkpoint()
+    inside = candidates.filter(F.col("_last").isNotNull())
     columns = [quoted(c) for c in names]
     grouping = [quoted(s) for s in strata] if unique else columns
-    distinct = inside.groupBy(*grouping, "_draw").agg(
-        F.count(F.lit(1)).alias("_rows"), F.first("_cut.rest").alias("_cut_rest")
-    )
-    distinct = distinct.checkpoint()  # one bucket of rows; read again below instead of found again
+    distinct = inside.groupBy(*grouping, "_draw").agg(F.count(F.lit(1)).alias("_rows"), F.first("_last").alias("_cut_rest"))
     draws = distinct.groupBy(*[quoted(s) for s in strata], "_draw").agg(
         F.sum("_rows").alias("_rows"), F.first("_cut_rest").alias("_cut_rest")
     )
@@ -132,7 +130,7 @@ def draws_below_cut(
     including = F.concat("_draw", F.lit("~"))
     bound = including if unique else F.when(F.col("_rest") == F.col("_rows"), including).otherwise(F.col("_draw"))
     cuts = cuts.withColumn("_bound", bound)
-    whole = beside(keyed, cuts, strata, **cut).filter(F.col("_draw") < F.col("_cut.bound")).select(*columns)
+    whole = beside(candidates, cuts, strata, **cut).filter(F.col("_draw") < F.col("_cut.bound")).select(*columns)
     if unique:
         return whole
 

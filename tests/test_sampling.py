@@ -164,3 +164,15 @@ def test_without_a_seed_a_new_sample_is_drawn(spark):
         spec = control("t", sampling={"enabled": True, "sample_size": plan.sample_size, "random_seed": None})
         draws.add(tuple(sorted(r.k for r in population(spec, catalog(t=df)).frame.collect())))
     assert len(draws) > 1
+
+
+def test_a_sample_is_read_from_its_candidates(spark, tmp_path):
+    """Once drawn, neither rows nor metrics read the population again."""
+    from helpers import plan
+
+    path = str(tmp_path / "t")
+    spark.range(5000).selectExpr("id AS k", "id % 5 AS s").write.parquet(path)
+    for method, more in (("random", {}), ("stratified", {"stratification_field": "s"})):
+        spec = control("t", sampling={"enabled": True, "method": method, "sample_size": 300, "sample_key": ["k"], **more})
+        picked = population(spec, catalog(t=spark.read.parquet(path))).frame
+        assert "FileScan" not in plan(picked, "simple") and picked.count() == 300
