@@ -206,62 +206,48 @@ def every_kth(
 ) -> DataFrame:
     """Systematic sample: order by key, then take every k-th row from a start.
 
-    Ranks come from a range-partitioned, sorted and checkpointed frame: position
-    inside the partition plus the sizes of the partitions before it. The
-    checkpoint fixes the partitions, so the sizes and the ranks agree even if a
-    task is run again.
+    Copies are counted, never written out to be ranked: a distinct row, or key, with n copies has the n
+    ranks after those of all rows before it, and arithmetic tells how many of them are taken. The ranks
+    come from a range-partitioned, sorted and checkpointed frame of distinct rows: counts within the
+    partition plus those of the partitions before it. The checkpoint fixes the partitions, so
+    the ranks agree even if a task is run again.
     """
     shared_folder(frame.sparkSession)
     names = frame.columns
-    if unique:
-        ordered, sort = frame.select(*[quoted(k) for k in key]), [quoted(k) for k in key]
-    else:
-        counted = frame.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("_rows"))
-        ordered, sort = numbered_copies(counted, names), [quoted(c) for c in names] + [F.col("_copy")]
+    by = [quoted(c) for c in (key if unique else names)]
+    counted = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     placed = (
-        ordered.repartitionByRange(*sort)
-        .sortWithinPartitions(*sort)
+        counted.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
         .checkpoint()
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_place", 33))
-        .withColumn("_position", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # one row per partition
+    sizes = placed.groupBy("_part").agg(F.sum("_rows").alias("_rows"))  # one row per partition
     upto = F.sum("_rows").over(Window.orderBy("_part"))
     offsets = sizes.select("_part", (upto - F.col("_rows")).alias("_offset"))
-    total = sizes.agg(F.sum("_rows")).scalar()
+    total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
     if size:
-        step, most = F.greatest(F.lit(1).cast("long"), F.floor(total / F.lit(size))), F.lit(size)
+        step, most = F.greatest(F.lit(1).cast("long"), F.floor(total / F.lit(size))), F.lit(size).cast("long")
     else:
         step, most = F.greatest(F.lit(1).cast("long"), F.round(F.lit(1.0 / share)).cast("long")), total
+    within = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn("_rank", F.col("_offset") + F.col("_position"))
-        .withColumn("_step", step)
-    )
-    chosen = ranked.filter(
-        (F.pmod("_rank", "_step") == F.pmod(F.lit(seed).cast("long"), F.col("_step")))
-        & (F.floor(F.col("_rank") / F.col("_step")) < most)
+        placed.withColumn("_upto", F.sum("_rows").over(within))
+        .join(F.broadcast(offsets), "_part")
+        .withColumns({"_first": F.col("_offset") + F.col("_upto") - F.col("_rows"), "_step": step, "_most": most})
+        .withColumn("_start", F.pmod(F.lit(seed).cast("long"), F.col("_step")))
     )
+    # the j-th row taken has the rank start + j * step: which j fall on the ranks of this row's copies
+    lowest = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_first") - F.col("_start")) / F.col("_step")))
+    highest = F.least(F.col("_most") - 1, F.floor((F.col("_first") + F.col("_rows") - 1 - F.col("_start")) / F.col("_step")))
+    chosen = ranked.withColumn("_taken", highest - lowest + 1).filter("_taken > 0")
     if not unique:
-        return chosen.select(*[quoted(c) for c in names])
+        return write_out(chosen, "_taken", names)
     picks = chosen.select(*[quoted(k).alias(f"_pick_{i}") for i, k in enumerate(key)])
     return frame.join(picks, same_stratum(key, picks.columns), "left_semi")
 
 
-def numbered_copies(counted: DataFrame, names: list[str]) -> DataFrame:
-    """Identical rows told apart by a number, so they can be ordered and split."""
-    columns = [quoted(c) for c in names]
-    blocks = counted.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_rows - 1) div {COPY_BLOCK}")))
-    )
-    first = F.col("_block") * COPY_BLOCK + 1
-    last = F.least(F.col("_rows"), (F.col("_block") + 1) * COPY_BLOCK)
-    single = blocks.filter(F.col("_rows") <= COPY_BLOCK)
-    many = blocks.filter(F.col("_rows") > COPY_BLOCK).repartition(*columns, F.col("_block"))
-    return single.unionByName(many).select(*columns, F.explode(F.sequence(first, last)).alias("_copy"))
-
-
 def chosen_rows(frame: DataFrame, selection: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Judgmental sample: the rows whose key was picked by hand."""
     picks = selection.select(*[quoted(r).alias(f"_pick_{i}") for i, (_, r) in enumerate(pairs)]).distinct()

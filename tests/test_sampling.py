@@ -176,3 +176,19 @@ def test_a_sample_is_read_from_its_candidates(spark, tmp_path):
         spec = control("t", sampling={"enabled": True, "method": method, "sample_size": 300, "sample_key": ["k"], **more})
         picked = population(spec, catalog(t=spark.read.parquet(path))).frame
         assert "FileScan" not in plan(picked, "simple") and picked.count() == 300
+
+
+def test_systematic_ranks_of_copies_by_arithmetic(spark, monkeypatch):
+    """Any step and start over rows of which many are copies; only distinct rows are checkpointed."""
+    stored, kind = [], type(spark.range(1))
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: stored.append(real(self, *a, **k)) or stored[-1])
+    rows = [("a", 1)] * 37 + [("b", None)] * 5 + [("c", i) for i in range(20)] + [("d", 2)] * 90
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    for size, seed in ((10, 1), (7, 5), (152, 3), (1, 140), (500, 2), (33, 9)):
+        got = drawn(spark, rows, "k string, v int", method="systematic", sample_size=size, random_seed=seed)
+        step = max(1, len(rows) // size)
+        assert Counter(got) == Counter(ordered[seed % step :: step][:size])
+    assert {s.count() for s in stored} == {23}
+    monkeypatch.undo()
+    assert drawn(spark, [], "k string, v int", method="systematic", sample_size=3, random_seed=1) == []
