@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -28,7 +27,7 @@ NO_VALUE = ("", "-", "n/a", "na", "nan", "none", "null")
 NUMBER_SHARE, DATE_SHARE = 1.0, 0.5
 
 # Date spellings tried in turn after ISO dates and timestamps.
-DATE_FORMATS = ("MM/dd/yyyy", "dd-MMM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy")
+DATE_FORMATS = ("MM/dd/yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy")
 
 RECORDS_PER_FILE = 1_000_000
 #: Bytes of a file that are hashed as one, and hashes that are joined into one.
@@ -69,19 +68,57 @@ def as_timestamp(column: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Col
     return F.coalesce(*tries)
 
 
-def readable_columns(
-    frame: DataFrame, names: list[str], readable: Callable[[Column], Column], min_share: float
-) -> set[str]:
-    """Columns of which at least this share of the values can be read, found in one pass over
-    all of them. Spellings of "no value" don't count; a column without other values is left out."""
+def shape(date_format: str) -> str:
+    """Formats of one shape read the same texts otherwise: ``MM/dd/yyyy`` and ``dd/MM/yyyy``."""
+    return re.sub(r"[A-Za-z]+", lambda letters: str(len(letters[0])), date_format)
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What one column's values can be read as, counted over all of them. Spellings of "no value" don't count."""
+
+    present: int
+    numbers: int
+    dates: int
+    by_format: dict[str, int]
+
+    def is_number(self, min_share: float) -> bool:
+        return self.numbers > 0 and self.numbers >= min_share * self.present
+
+    def is_date(self) -> bool:
+        return self.dates > 0 and self.dates >= DATE_SHARE * self.present
+
+    def elected(self) -> tuple[str, ...]:
+        """One format of each shape, the one that reads most of the column; between equals the first."""
+        best: dict[str, str] = {}
+        for found in self.by_format:
+            held = best.setdefault(shape(found), found)
+            if self.by_format[found] > self.by_format[held]:
+                best[shape(found)] = found
+        return tuple(best.values())
+
+
+def profiles(frame: DataFrame, dated: list[str], sniffed: list[str], decimal_comma: bool, date_formats: tuple[str, ...]) -> dict[str, Profile]:
+    """The profiles of these columns, from one aggregate over one pass."""
+    counts, names = [], list(dict.fromkeys([*dated, *sniffed]))
     if not names:
-        return set()
-    present = lambda n: quoted(n).isNotNull() & ~F.lower(F.trim(quoted(n).cast("string"))).isin(*NO_VALUE)
-    counts = frame.agg(
-        *[F.count_if(present(n) & F.coalesce(readable(quoted(n)), F.lit(False))).alias(f"m{i}") for i, n in enumerate(names)],
-        *[F.count_if(present(n)).alias(f"n{i}") for i, n in enumerate(names)],
-    ).first()
-    return {n for i, n in enumerate(names) if counts[f"m{i}"] > 0 and counts[f"m{i}"] >= min_share * counts[f"n{i}"]}
+        return {}
+    for i, name in enumerate(names):
+        column = quoted(name)
+        present = column.isNotNull() & ~F.lower(F.trim(column.cast("string"))).isin(*NO_VALUE)
+        reads = lambda test, present=present: F.count_if(present & F.coalesce(test, F.lit(False)))
+        counts.append(F.count_if(present).alias(f"n{i}"))
+        if name in sniffed:
+            counts.append(reads(column.rlike(NUMBER_TEXT) & as_number(column, decimal_comma).isNotNull()).alias(f"m{i}"))
+        if name in dated:
+            text = column.cast("string")
+            counts.append(reads(as_timestamp(text, date_formats).isNotNull()).alias(f"d{i}"))
+            counts += [reads(F.try_to_date(text, fmt).isNotNull()).alias(f"f{i}_{k}") for k, fmt in enumerate(date_formats)]
+    found = frame.agg(*counts).first().asDict()
+    return {
+        name: Profile(found[f"n{i}"], found.get(f"m{i}", 0), found.get(f"d{i}", 0), {fmt: found.get(f"f{i}_{k}", 0) for k, fmt in enumerate(date_formats)})
+        for i, name in enumerate(names)
+    }
 
 
 @dataclass(frozen=True)
@@ -102,7 +139,8 @@ def cleaning(
 ) -> list[Cleaned]:
     """Decide each column's rule from its name, type and content.
 
-    Columns with a date name become timestamps if half of their values are dates. Of the
+    Columns with a date name become timestamps if half of their values are dates; of formats that read the same
+    texts otherwise, a column is read by the one that fits most of it. Of the
     others, identifier-like names become text, and text columns become numbers if
     every value (or ``min_share`` of them) is number text. ``overrides`` fixes the rule of
     single columns.
@@ -113,10 +151,11 @@ def cleaning(
     open_to = [n for n in types if n not in overrides]
     dated = [n for n in open_to if DATE_KEYWORD in n and (n in texts or is_identifier(n))]
     is_date = lambda column: as_timestamp(column.cast("string"), date_formats).isNotNull()
-    dates = readable_columns(frame, dated, is_date, DATE_SHARE)
-    sniffed = [n for n in texts if n in open_to and n not in dates and not is_identifier(n)]
-    is_number = lambda column: column.rlike(NUMBER_TEXT) & as_number(column, decimal_comma).isNotNull()
-    numbers = readable_columns(frame, sniffed, is_number, min_share)
+    sniffed = [n for n in texts if n in open_to and not is_identifier(n)]
+    timed = [n for n, rule in overrides.items() if rule == "timestamp" and n in types]
+    read = profiles(frame, [*dated, *timed], sniffed, decimal_comma, date_formats)
+    dates = {n for n in dated if read[n].is_date()}
+    numbers = {n for n in sniffed if n not in dates and read[n].is_number(min_share)}
 
     def rule_for(name: str) -> str:
         if name in overrides:
@@ -133,7 +172,7 @@ def cleaning(
         if rule == "numeric":
             column = as_number(column, decimal_comma)
         elif rule == "timestamp":
-            column = as_timestamp(column.cast("string"), date_formats)
+            column = as_timestamp(column.cast("string"), read[name].elected())
         elif rule == "string":
             column = column.cast("string")
         elif rule != "keep":

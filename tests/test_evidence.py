@@ -220,3 +220,22 @@ def test_trees_do_not_depend_on_the_order_of_rows_and_fold_by_neighbours(spark):
     frame_ = spark.createDataFrame([("f", i, x) for i, x in reversed(list(enumerate(leaves)))] + [("g", 0, leaves[0])], "f string, i bigint, sha256_hash string")
     assert values(evidence.folded_hashes(frame_.repartition(5), ["f"], "i", fan_out=3)) == [("f", want), ("g", leaves[0])]
     assert evidence.folded_hashes(frame_.limit(0), ["f"], "i").count() == 0
+
+
+def test_a_column_of_slashed_dates_is_read_by_one_format(spark):
+    rows = [("03/04/2024", "03/04/2024", "03/04/2024"), ("13/04/2024", "04/13/2024", "05/06/2024"), ("25/12/2023", "12/25/2023", "n/a"), ("2024-01-02", "02.01.2024", None)]
+    got = evidence.clean(frame(spark, "`day date` string, `month date` string, `open date` string", rows))
+    days = lambda name: [r[name] and r[name].date().isoformat() for r in got.collect()]
+    assert days("day_date") == ["2024-04-03", "2024-04-13", "2023-12-25", "2024-01-02"]
+    assert days("month_date") == ["2024-03-04", "2024-04-13", "2023-12-25", "2024-01-02"]
+    assert days("open_date") == ["2024-03-04", "2024-05-06", None, None]  # nothing decides: the first of the formats
+
+
+def test_rules_are_decided_in_one_pass(spark, monkeypatch):
+    df = frame(spark, "a string, b string, `start date` string, id string", [("1", "x", "2024-01-02", "7")] * 20)
+    passes = []
+    kind = type(df)
+    real = kind.first
+    monkeypatch.setattr(kind, "first", lambda self: passes.append(1) or real(self))
+    plan = {c.name: c.rule for c in evidence.cleaning(evidence.with_clean_names(df))}
+    assert plan == {"a": "numeric", "b": "keep", "start_date": "timestamp", "id": "string"} and len(passes) == 1
