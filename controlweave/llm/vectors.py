@@ -28,13 +28,18 @@ _FOUND_DDL = f"a bigint, b bigint, part int, tail boolean, place int, {_ROWS_DDL
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def passes_needed(n: int, threshold: float, window: int, recall: float) -> int:
+#: Neighbours that would be enough if hashes cut the vectors evenly. Windows are larger, as a third of
+#: the vectors may lie in one narrow region, which few of the hashes cut.
+EVEN_WINDOW = 32
+
+
+def passes_needed(n: int, threshold: float, recall: float) -> int:
     """Passes after which a pair right at the threshold was neighbours once with this probability.
 
     A pass brings two vectors into one window if they agree in the leading hashes that tell about
-    n / window groups apart; each hash agrees with probability 1 - angle / pi.
+    n / EVEN_WINDOW groups apart; each hash agrees with probability 1 - angle / pi.
     """
-    agree = (1 - math.acos(threshold) / math.pi) ** max(1.0, math.log2(max(n, 2) / window))
+    agree = (1 - math.acos(threshold) / math.pi) ** max(1.0, math.log2(max(n, 2) / EVEN_WINDOW))
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
@@ -94,13 +99,19 @@ def _windows(threshold: float, window: int):
             seen += len(rows)
             links = []
             both = last + rows
+            passes = np.array([r["pass"] for r in both])
             for dim in {r["dim"] for r in rows}:
-                new = [i for i in range(len(last), len(both)) if both[i]["dim"] == dim]
-                old = [i for i, r in enumerate(both) if r["dim"] == dim]
+                new = np.array([i for i in range(len(last), len(both)) if both[i]["dim"] == dim])
+                old = np.array([i for i, r in enumerate(both) if r["dim"] == dim])
                 close = _matrix([both[i]["unit"] for i in new], dim) @ _matrix([both[i]["unit"] for i in old], dim).T >= threshold
-                for x, y in zip(*np.nonzero(close), strict=True):
-                    i, j = new[x], old[y]
-                    if 0 < i - j <= window and both[i]["pass"] == both[j]["pass"] and forest.joins(both[i]["node"], both[j]["node"]):
+                apart = new[:, None] - old[None, :]
+                close &= (apart > 0) & (apart <= window) & (passes[new][:, None] == passes[old][None, :])
+                # one vector of each group is enough
+                roots = np.array([forest.root(r["node"]) for r in both])
+                x, y = np.nonzero(close & (roots[new][:, None] != roots[old][None, :]))
+                _, first = np.unique(np.stack([x, roots[old[y]]]), axis=1, return_index=True)
+                for i, j in zip(new[x[first]].tolist(), old[y[first]].tolist(), strict=True):
+                    if forest.joins(both[i]["node"], both[j]["node"]):
                         links.append((both[i]["node"], both[j]["node"]))
             last = both[-window:]
             if links or heads:
@@ -123,12 +134,16 @@ def _across(threshold: float, window: int):
 
     def compare(rows: pa.Table) -> pa.Table:
         all_rows, forest, links = rows.to_pylist(), ForestOfBatch(), []
-        tails, heads = ([r for r in all_rows if r["tail"] is side] for side in (True, False))
-        for t in tails:
-            for h in heads:
-                if t["place"] + h["place"] < window and t["pass"] == h["pass"] and t["dim"] == h["dim"]:
-                    if np.frombuffer(t["unit"]) @ np.frombuffer(h["unit"]) >= threshold and forest.joins(t["node"], h["node"]):
-                        links.append((t["node"], h["node"]))
+        kinds = {(r["pass"], r["dim"]) for r in all_rows}
+        for kind in sorted(kinds):
+            tails, heads = ([r for r in all_rows if r["tail"] is side and (r["pass"], r["dim"]) == kind] for side in (True, False))
+            if not tails or not heads:
+                continue
+            close = _matrix([r["unit"] for r in tails], kind[1]) @ _matrix([r["unit"] for r in heads], kind[1]).T >= threshold
+            close &= np.array([r["place"] for r in tails])[:, None] + np.array([r["place"] for r in heads])[None, :] < window
+            for i, j in zip(*np.nonzero(close), strict=True):
+                if forest.joins(tails[i]["node"], heads[j]["node"]):
+                    links.append((tails[i]["node"], heads[j]["node"]))
         return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}, schema=_LINKS)
 
     return compare
@@ -241,7 +256,7 @@ def _counts(classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame
 
 def near_duplicates(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9,
-    window: int = 32, recall: float = 0.95, passes: int | None = None, seed: int = 7,
+    window: int = 512, recall: float = 0.98, passes: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """Links between vectors whose cosine, in double precision, reaches the threshold.
 
@@ -269,7 +284,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([u.tobytes() for u in _units(part.column(1))], pa.binary()), part.column(2)], names=["node", "unit", "weight"])
 
     classes = written(grouped.select("node", "vector", "weight").mapInArrow(unit, "node bigint, unit binary, weight bigint"), "units")
-    passes = passes or passes_needed(classes.count(), threshold, window, recall)
+    passes = passes or passes_needed(classes.count(), threshold, recall)
     found = components(links_found(classes, threshold, window, passes, seed))
     counts = _counts(classes, found, threshold)
     nodes = grouped.join(found, F.col("node") == F.col("id"), "left").join(counts, "node", "left")
