@@ -1,11 +1,14 @@
-"""Connected components of a table of links, by alternating star rounds."""
+"""Connected components of a table of links: stars within tasks, then alternating star rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from controlweave.llm.tables import written
+from controlweave.llm.tables import batch, written
 
 
 class ForestOfBatch:
@@ -31,6 +34,21 @@ class ForestOfBatch:
         return True
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _stars(batches) -> Iterator[pa.RecordBatch]:
+    """The links of one task as stars: each id with the smallest one that the task's links reach."""
+    forest = ForestOfBatch()
+    for part in batches:
+        for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            forest.joins(a, b)
+    ids = list(forest.parent)
+    for at in range(0, len(ids), 1 << 16):
+        some = ids[at : at + (1 << 16)]
+        yield batch(_LINKS, [[forest.root(x) for x in some], some])
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's smallest neighbour."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
@@ -53,7 +71,8 @@ def components(links: DataFrame) -> DataFrame:
     itself and links with null are ignored; repeated links do no harm; no links give no rows.
     """
     ordered = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    current, before = written(ordered.distinct(), "links"), None
+    # tasks hold as many links as adaptive execution gives them; chains within one need no rounds
+    current, before = written(ordered.distinct().mapInArrow(_stars, "a bigint, b bigint"), "links"), None
     while True:
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
