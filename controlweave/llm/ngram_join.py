@@ -33,7 +33,7 @@ _BITS = [f"s{i}" for i in range(RANGES // 64)]
 #: Bits of the table of nodes whose sets are needed.
 NEEDED_BITS = 23
 #: Rounds of linear linking before all remaining pairs are looked at.
-ROUNDS = 2
+ROUNDS = 1
 
 
 @dataclass(frozen=True)
