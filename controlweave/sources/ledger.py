@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,8 @@ EXECUTIONS = (
     "evidence_hashes map<string,string>, exceptions_sample string, error_type string, "
     "error_message string, executed_at timestamp_ntz, control_id string"
 )
+#: The folder of a run: its day.
+DAY = "executed_on"
 RANGES = (
     "dataset_alias string, path string, length bigint, range bigint, offset bigint, bytes bigint, "
     "sha256_hash string, recorded_at timestamp_ntz"
@@ -59,8 +61,11 @@ class Ledger:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, table: str, frame: DataFrame, *partitions: str) -> None:
-        frame.coalesce(1).write.mode("append").partitionBy(*partitions).parquet(f"{self.folder}/{table}")
+    def _append(self, table: str, frame: DataFrame, *partitions: str, order: list[str] | None = None) -> None:
+        one = frame.coalesce(1)
+        if order:
+            one = one.sortWithinPartitions(*partitions, *order)
+        one.write.mode("append").partitionBy(*partitions).parquet(f"{self.folder}/{table}")
 
     def controls(self) -> DataFrame:
         return self._read("controls", CONTROLS)
@@ -68,8 +73,31 @@ class Ledger:
     def manifests(self) -> DataFrame:
         return self._read("evidence_manifests", MANIFESTS)
 
-    def executions(self) -> DataFrame:
-        return self._read("executions", EXECUTIONS)
+    def executions(self, since: date | None = None) -> DataFrame:
+        """Recorded runs; with ``since`` only the folders of that day and later are read."""
+        rows = self._read("executions", f"{EXECUTIONS}, {DAY} date")
+        if since is not None:
+            rows = rows.filter(F.col(DAY) >= F.lit(since))
+        return rows.drop(DAY)
+
+    def compact(self, day: date) -> None:
+        """Put the runs of one day into one file, ordered by control.
+
+        For a day that is over: who reads it meanwhile may see rows twice.
+        """
+        path = f"{self.folder}/executions/{DAY}={day.isoformat()}"
+        fresh = f"{self.folder}/_compacted-{uuid.uuid4().hex}"
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        store = hadoop(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files = lambda folder: [f.getPath() for f in store.listStatus(hadoop(folder)) if f.getPath().getName().endswith(".parquet")]
+        before = files(path)
+        rows = self.spark.read.schema(EXECUTIONS).parquet(path)
+        rows.coalesce(1).sortWithinPartitions("control_id", "executed_at").write.parquet(fresh)
+        for new in files(fresh):
+            store.rename(new, hadoop(f"{path}/{new.getName()}"))
+        for old in before:
+            store.delete(old, False)
+        store.delete(hadoop(fresh), True)
 
     def append_controls(
         self, controls: list[Control], approved_by: str, approved_at: datetime | None = None
@@ -131,7 +159,9 @@ class Ledger:
             .withColumn("executed_at", F.lit(executed_at.isoformat(sep=" ")).cast("timestamp_ntz"))
             .select(*names)
         )
-        self._append("executions", rows, "control_id")
+        # one file per run and day, however many controls: its row groups are ordered by control
+        dated = rows.withColumn(DAY, F.col("executed_at").cast("date"))
+        self._append("executions", dated, DAY, order=["control_id"])
 
     def current_control(self, control_id: str) -> Control | None:
         row = current_controls(self.controls().filter(F.col("control_id") == control_id)).first()

@@ -10,7 +10,9 @@ from controlweave.sources.ledger import (
     execution_history,
 )
 
-from helpers import frame, values
+from controlweave.plans.run import run_controls
+
+from helpers import catalog, control, frame, match, values
 
 T0 = datetime(2025, 1, 31, 12)
 EXECUTIONS = (
@@ -91,3 +93,22 @@ def test_an_empty_ledger_has_its_columns(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "none"))
     assert ledger.executions().count() == ledger.controls().count() == ledger.manifests().count() == 0
     assert "evidence_hashes" in ledger.executions().columns
+
+
+def test_runs_are_stored_by_day_and_compacted(spark, tmp_path):
+    from datetime import date
+
+    cat = catalog(t=frame(spark, "k int", [(1,), (2,)]))
+    specs = [control("t", [], [match("k", "gt", i)], control_id=f"C{i:02d}") for i in range(40)]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    for day in (1, 1, 1, 2):
+        run_controls(spark, specs, cat, ledger=ledger, executed_at=datetime(2025, 1, day, 12))
+    files = lambda day: len(list((tmp_path / "ledger" / "executions" / f"executed_on=2025-01-0{day}").glob("*.parquet")))
+    assert (files(1), files(2)) == (3, 1)
+    before = values(ledger.executions(), "execution_id", "control_id", "verdict", "executed_at")
+    assert len(before) == 160 and len({r[0] for r in before}) == 160
+    ledger.compact(date(2025, 1, 1))
+    assert (files(1), files(2)) == (1, 1)
+    assert values(ledger.executions(), "execution_id", "control_id", "verdict", "executed_at") == before
+    assert ledger.executions(since=date(2025, 1, 2)).count() == 40
+    assert "executed_on" not in ledger.executions().columns
