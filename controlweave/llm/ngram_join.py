@@ -353,23 +353,25 @@ def _likely(rule: Rule):
             low, high, block, node, n, place, root = (table.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "block", "node", "n", "place", "root"))
             signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), U64).reshape(-1, RANGES // 64)
             end = np.repeat(np.append(begins[1:], len(node)), np.diff(np.append(begins, len(node))))
-            at, step, found = np.arange(len(node)), 1, []
+            nodes, own = np.unique(node, return_inverse=True)
+            forest, tree, pairs = ForestOfBatch(), nodes.copy(), []
+            at, step = np.arange(len(node)), 1
             while len(at := at[at + step < end[at]]):
                 x, y = at, at + step
-                # blocks that differ meet each other only
-                kept = (root[x] != root[y]) & ((low[x] == high[x]) | (block[x] != block[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p)
+                # blocks that differ meet each other only; what hangs together already need not meet
+                kept = (root[x] != root[y]) & (tree[own[x]] != tree[own[y]]) & ((low[x] == high[x]) | (block[x] != block[y]))
+                kept &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p
                 x, y = x[kept], y[kept]
                 kept = np.minimum(n[x] - place[x], n[y] - place[y]) * (100 + p) >= (n[x] + n[y]) * p
                 short = np.where((n[x] < n[y]) | ((n[x] == n[y]) & (node[x] < node[y])), x, y)
                 kept &= place[short] < rule.prefix_short(n[short])
                 x, y = x[kept], y[kept]
                 kept = np.bitwise_count(signature[x] ^ signature[y]).sum(axis=1, dtype=np.int64) * (100 + p) <= (n[x] + n[y]) * (100 - p)
-                found.append(np.stack([node[x[kept]], node[y[kept]]]))
+                new = [(a, b) for a, b in zip(node[x[kept]].tolist(), node[y[kept]].tolist(), strict=True) if forest.joins(a, b)]
+                if new:
+                    pairs += new
+                    tree = np.array([forest.root(v) for v in nodes.tolist()])
                 step += 1
-            if not found:
-                continue
-            forest = ForestOfBatch()
-            pairs = [(a, b) for a, b in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if forest.joins(a, b)]
             if pairs:
                 yield batch(_PAIRS, list(zip(*pairs, strict=True)))
 
@@ -388,20 +390,20 @@ def _linked(rule: Rule):
                 sets = [np.frombuffer(x, U64) for x in table.column("grams").slice(a, b - a).to_pylist()]
                 sizes = np.array([len(x) for x in sets])
                 odd = np.stack([np.packbits((np.bincount((x >> U64(54)).astype(np.int64), minlength=RANGES) & 1).astype(np.uint8)).view(U64) for x in sets])
-                forest, roots = ForestOfBatch(), root[a:b].tolist()
+                group = root[a:b].copy()
                 for i in range(b - a):
-                    j = np.arange(i + 1, b - a)
+                    j = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
                     if low[a] != high[a]:
                         j = j[block[a + j] != block[a + i]]
                     j = j[(np.minimum(sizes[j], sizes[i]) * 100 >= np.maximum(sizes[j], sizes[i]) * p)]
                     j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64) * (100 + p) <= (sizes[j] + sizes[i]) * (100 - p)]
                     for k in j.tolist():
-                        if forest.root(roots[i]) == forest.root(roots[k]):
+                        if group[i] == group[k]:
                             continue
                         both = np.sort(np.concatenate([sets[i], sets[k]]))
                         common = int(np.count_nonzero(both[1:] == both[:-1]))
                         if 100 * common >= p * (len(both) - common):
-                            forest.joins(roots[i], roots[k])
+                            group[group == group[k]] = group[i]
                             links.append((int(node[a + i]), int(node[a + k])))
             if links:
                 yield batch(_PAIRS, list(zip(*links, strict=True)))
