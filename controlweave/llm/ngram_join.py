@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from controlweave.llm.arrays import U64, Words, combined
-from controlweave.llm.components import ForestOfBatch, components
+from controlweave.llm.components import components
 from controlweave.llm.tables import batch, chunks, partitions, payloads, prepared, written
 
 #: Counters of the frequency table that orders n-grams: 8 MB whatever the corpus. Two n-grams may
@@ -354,7 +354,7 @@ def _likely(rule: Rule):
             signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), U64).reshape(-1, RANGES // 64)
             end = np.repeat(np.append(begins[1:], len(node)), np.diff(np.append(begins, len(node))))
             nodes, own = np.unique(node, return_inverse=True)
-            forest, tree, pairs = ForestOfBatch(), nodes.copy(), []
+            tree, pairs = np.arange(len(nodes)), []
             at, step = np.arange(len(node)), 1
             while len(at := at[at + step < end[at]]):
                 x, y = at, at + step
@@ -367,10 +367,10 @@ def _likely(rule: Rule):
                 kept &= place[short] < rule.prefix_short(n[short])
                 x, y = x[kept], y[kept]
                 kept = np.bitwise_count(signature[x] ^ signature[y]).sum(axis=1, dtype=np.int64) * (100 + p) <= (n[x] + n[y]) * (100 - p)
-                new = [(a, b) for a, b in zip(node[x[kept]].tolist(), node[y[kept]].tolist(), strict=True) if forest.joins(a, b)]
-                if new:
-                    pairs += new
-                    tree = np.array([forest.root(v) for v in nodes.tolist()])
+                for i, j in zip(own[x[kept]].tolist(), own[y[kept]].tolist(), strict=True):
+                    if tree[i] != tree[j]:
+                        tree[tree == tree[j]] = tree[i]
+                        pairs.append((int(nodes[i]), int(nodes[j])))
                 step += 1
             if pairs:
                 yield batch(_PAIRS, list(zip(*pairs, strict=True)))
