@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from controlweave.llm.tables import batch, written
+from controlweave.llm.tables import batch, release_shuffles, written
 
 
 class ForestOfBatch:
@@ -80,4 +80,5 @@ def components(links: DataFrame) -> DataFrame:
                 current.select("a", "a").distinct()
             )
         before = state
+        release_shuffles(links.sparkSession)
         current = written(_small_star(_large_star(current).distinct()).distinct(), "links")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
@@ -81,6 +82,15 @@ def remove(spark: SparkSession, folders: Iterable[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffle files of frames that are no longer used.
+
+    It does so when the driver collects its garbage, which a driver with little to do otherwise does too late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame, stored once in the shared folder and read back: it survives lost executors."""
     path = fresh_folder(frame.sparkSession, purpose)
