@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from llm_cases import LONG, ODD, frame
+from pyspark.sql import functions as F
 
 from controlweave.llm import decontaminate, licenses, toxicity
 from controlweave.llm.queries import QUERIES
@@ -240,3 +241,29 @@ def test_licence_query_against_plain_search(spark):
     lines = {w: name for name, wordings in licenses.TEMPLATES.items() for w in wordings}
     want = {(d, i, lines[x]) for d, t in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() for i, x in enumerate((t or "").split("\n")) if x in lines}
     assert want and got == want
+
+
+def test_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """More passages than the former sample took: each counts once in each step."""
+    read, sketched = [], decontaminate._sketched
+
+    def counting(idf, basis):
+        run = sketched(idf, basis)
+        accumulator = spark.sparkContext.accumulator(0)
+        read.append(accumulator)
+
+        def step(batches):
+            def counted():
+                for part in batches:
+                    accumulator.add(sum(len(s) for s in part.column(0).to_pylist()))
+                    yield part
+
+            return run(counted())
+
+        return step
+
+    monkeypatch.setattr(decontaminate, "_sketched", counting)
+    # texts of one letter: a passage and a byte each
+    docs = spark.range(250_000).select(F.col("id").alias("doc_id"), F.char(97 + F.col("id") % 26).alias("text"))
+    decontaminate.fit(docs.union(spark.createDataFrame([(None, None), (1, "")], "doc_id bigint, text string")))
+    assert [a.value for a in read] == [250_000, 250_000]
