@@ -24,7 +24,6 @@ from controlweave.plans.metrics import exception_rows, metrics, sharing_key
 from controlweave.plans.spec import Control, SpecError
 
 EMPTY_POPULATION = "The population holds no rows after its filters, so nothing can be attested."
-SAMPLE_BUCKETS = 64
 SAMPLE_ROWS = 100  # exceptions shown in a report; all of them go to the exceptions sink
 PARALLEL_JOBS = 4
 
@@ -382,16 +381,14 @@ def exception_tables(controls: list[Control], catalog, lenient: bool) -> dict[st
 
 def samples_per_control(frame: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Some exceptions of each control as JSON lines, the same on every run: those
-    whose JSON has the lowest hashes. A control's rows are first cut down in many
-    buckets, so none is sorted whole in one task."""
+    whose JSON has the lowest hashes. The hashes alone are ranked first, at most ``rows`` of a
+    control leave a task, so no other JSON is sorted or shuffled."""
     names = [c for c in frame.columns if c != "control_id"]
     lines = frame.select("control_id", as_json(frame, names)).withColumn("_hash", F.xxhash64("exception_json"))
-    lines = lines.withColumn("_bucket", F.pmod("_hash", F.lit(SAMPLE_BUCKETS)))
-    order = [F.col("_hash"), F.col("exception_json")]
-    for keys in (["control_id", "_bucket"], ["control_id"]):
-        lines = lines.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        lines = lines.filter(F.col("_rank") <= rows)
-    return lines.select("control_id", "_rank", "exception_json")
+    ranked = lambda some, *order: some.withColumn("_rank", F.row_number().over(Window.partitionBy("control_id").orderBy(*order))).filter(F.col("_rank") <= rows)
+    cuts = ranked(lines.select("control_id", "_hash"), "_hash").groupBy(F.col("control_id").alias("_control")).agg(F.max("_hash").alias("_cut"))
+    low = lines.join(F.broadcast(cuts), F.col("control_id").eqNullSafe(F.col("_control")) & (F.col("_hash") <= F.col("_cut")))
+    return ranked(low.select(*lines.columns), "_hash", "exception_json").select("control_id", "_rank", "exception_json")
 
 
 def joined_samples(spark: SparkSession, parts: list[DataFrame], rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from controlweave.plans import metrics as counting
 from controlweave.plans.run import (
@@ -300,3 +301,16 @@ def test_a_sample_that_cannot_be_stored_is_told(spark, tmp_path, monkeypatch):
     assert found["BAD"].verdict == "FAIL" and found["BAD"].error_type == "SampleNotStored" and "no space" in found["BAD"].error_message
     assert found["GOOD"].verdict == "PASS" and found["GOOD"].error_message is None
     assert values(ledger.executions(), "control_id", "verdict", "error_type") == [("BAD", "FAIL", "SampleNotStored"), ("GOOD", "PASS", None)]
+
+
+def test_samples_rank_hashes_before_any_json_is_sorted(spark):
+    from controlweave.plans.run import samples_per_control
+
+    rows = spark.range(20_000).select(F.concat(F.lit("C"), F.col("id") % 3).alias("control_id"), (F.col("id") % 7000).alias("v"))
+    found = samples_per_control(rows, 20)
+    lines = rows.select("control_id", F.to_json(F.struct("v")).alias("j")).withColumn("h", F.xxhash64("j")).collect()
+    wanted = {(c, k + 1, j) for c in ("C0", "C1", "C2") for k, (_, j) in enumerate(sorted((r.h, r.j) for r in lines if r.control_id == c)[:20])}
+    assert {tuple(r) for r in found.collect()} == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # what is ranked with its JSON has passed the join with the controls' largest ranked hashes
+    assert "Join" in plan and plan.rindex("exception_json") > plan.index("Join")
