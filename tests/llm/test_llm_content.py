@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import LONG, ODD, frame
 from pyspark.sql import functions as F
@@ -267,3 +268,30 @@ def test_space_is_fitted_on_every_passage(spark, monkeypatch):
     docs = spark.range(250_000).select(F.col("id").alias("doc_id"), F.char(97 + F.col("id") % 26).alias("text"))
     decontaminate.fit(docs.union(spark.createDataFrame([(None, None), (1, "")], "doc_id bigint, text string")))
     assert [a.value for a in read] == [250_000, 250_000]
+
+
+def test_sums_of_passages_against_plain_matrices(monkeypatch):
+    """Rows of texts are worked on together; features of many passages are summed in pieces."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", *(f"w{rng.randrange(400)}" for _ in range(6))]) for _ in range(rng.randrange(1, 90))).encode() for _ in range(300)]
+    parts = [pa.record_batch([pa.array(texts[at : at + 7], pa.binary())], names=["text"]) for at in range(0, len(texts), 7)]
+    terms = list(decontaminate._terms(parts))
+    idf = np.random.default_rng(4).random(decontaminate.FEATURES) + 0.5
+    basis = np.random.default_rng(5).standard_normal((decontaminate.FEATURES, 5), np.float32)
+    rows = []
+    for sizes, features, counts in decontaminate._read_terms(terms):
+        for feature, count in zip(np.split(features, np.cumsum(sizes)[:-1]), np.split(counts, np.cumsum(sizes)[:-1]), strict=True):
+            row = np.zeros(decontaminate.FEATURES)
+            row[feature] = (1 + np.log(count.astype(float))) * idf[feature]
+            rows.append(row / np.linalg.norm(row))
+    want = np.array(rows).T @ (np.array(rows) @ basis)
+    for together in (1, 100, 1 << 15):
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        made, weighed = [], decontaminate._weighed
+        with monkeypatch.context() as patch:
+            patch.setattr(decontaminate, "_weighed", lambda *a: made.append(1) or weighed(*a))
+            (got,) = decontaminate._sketched(idf, basis)(iter(terms))
+        values = np.concatenate([np.frombuffer(v, np.float32) for v in got.column("values").to_pylist()]).reshape(want.shape)
+        np.testing.assert_allclose(values, want, rtol=1e-4, atol=1e-4)
+    assert len(made) == 2  # one sum over all passages, one over all features
+    assert np.count_nonzero(np.array(rows), axis=0).max() > decontaminate.WIDTH
