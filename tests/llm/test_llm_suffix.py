@@ -108,3 +108,33 @@ def test_query_digests(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans) == (n, sum(b - a for a, b in spans), len(spans))
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
     assert len(got) == len(rows)
+
+
+def test_pieces_are_let_go_when_judged(spark, monkeypatch):
+    """The last step reads what the buckets answered, not the buckets' shuffle, whose files may go before it runs."""
+    released = []
+    monkeypatch.setattr(suffix_buckets, "release_shuffles", lambda session: released.append(session))
+    same = "a stretch of bytes that two documents hold, longer than fifty bytes"
+    cut = suffix_buckets.remove_repeats(spark.createDataFrame([(1, "x" + same), (2, "y" + same), (3, None)], "doc_id bigint, text string"))
+    assert "FlatMapGroupsInArrow" not in cut._jdf.queryExecution().toString()
+    assert len(released) == 2
+    assert {r.doc_id: bytes(r.kept) for r in cut.collect()} == {1: ("x" + same).encode(), 2: b"y", 3: b""}
+
+
+def test_buckets_are_ordered_as_their_bytes():
+    """A bucket and what follows are sorted as one number."""
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    end = np.repeat([700, 711, 1500, 3000], [700, 11, 789, 1500])
+    pointer = suffix_buckets.bucket_pointers(data, end, 50)
+    names = {}
+    for at in range(len(data)):
+        if at + 50 <= end[at]:
+            assert names.setdefault(data[at : at + 50].tobytes(), pointer[at]) == pointer[at]
+    assert len(set(names.values())) == len(names)
+    assert sorted(names, key=names.get) == sorted(names)
+
+
+def test_windows_are_looked_at_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_buckets, "RUN_BYTES", 700)
+    test_parts_of_a_long_text(spark, monkeypatch)
