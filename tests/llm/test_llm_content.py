@@ -270,6 +270,32 @@ def test_space_is_fitted_on_every_passage(spark, monkeypatch):
     assert [a.value for a in read] == [250_000, 250_000]
 
 
+def _table(parts, shape):
+    out = np.zeros(shape)
+    for r in parts.to_pylist():
+        rows = r["block"] * decontaminate._ROWS + np.frombuffer(r["rows"], "<u2").astype(int)
+        out[rows] += np.frombuffer(r["values"], np.float32).reshape(len(rows), -1)
+    return out
+
+
+def test_a_task_sends_the_rows_of_its_features_only():
+    """Many tasks of few texts: what they send follows from their words, not from the number of features."""
+    idf, basis = np.ones(decontaminate.FEATURES), np.random.default_rng(5).standard_normal((decontaminate.FEATURES, 5), np.float32)
+    sketch = decontaminate._sketched(idf, basis)
+    sent = []
+    for text in ("one two three", "three four", "", "five " * 40):
+        sent += sketch(decontaminate._terms([pa.record_batch([pa.array([text.encode()])], names=["text"])]))
+    assert len(sent) == 3
+    assert sum(len(v) for part in sent for v in part.column("values").to_pylist()) == 6 * basis.shape[1] * 4
+    together = pa.Table.from_batches(sent).combine_chunks()
+    blocks = {}
+    for part in together.to_batches():
+        for k in range(part.num_rows):
+            blocks.setdefault(part.column("block")[k].as_py(), []).append(part.slice(k, 1))
+    added = [out for k, parts in blocks.items() for out in decontaminate._added((pa.scalar(k),), iter(parts))]
+    np.testing.assert_allclose(_table(pa.Table.from_batches(added), basis.shape), _table(together, basis.shape), rtol=1e-6)
+
+
 def test_sums_of_passages_against_plain_matrices(monkeypatch):
     """Rows of texts are worked on together; features of many passages are summed in pieces."""
     rng = random.Random(3)
@@ -291,7 +317,7 @@ def test_sums_of_passages_against_plain_matrices(monkeypatch):
         with monkeypatch.context() as patch:
             patch.setattr(decontaminate, "_weighed", lambda *a: made.append(1) or weighed(*a))
             (got,) = decontaminate._sketched(idf, basis)(iter(terms))
-        values = np.concatenate([np.frombuffer(v, np.float32) for v in got.column("values").to_pylist()]).reshape(want.shape)
+        values = _table(got, want.shape)
         np.testing.assert_allclose(values, want, rtol=1e-4, atol=1e-4)
     assert len(made) == 2  # one sum over all passages, one over all features
     assert np.count_nonzero(np.array(rows), axis=0).max() > decontaminate.WIDTH
