@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from llm_cases import ODD, SENTENCE, frame
 
 from controlweave.llm import suffix_buckets
 from controlweave.llm.suffix_buckets import Rule, bucket_pointers
+from controlweave.llm.tables import release_shuffles
 
 
 def plain(rows, length=50):
@@ -138,3 +140,20 @@ def test_buckets_are_ordered_as_their_bytes():
 def test_windows_are_looked_at_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix_buckets, "RUN_BYTES", 700)
     test_parts_of_a_long_text(spark, monkeypatch)
+
+
+def test_shuffles_of_the_latest_write_are_released(spark, tmp_path):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    def settled(most):
+        until = time.time() + 5
+        while files() > most and time.time() < until:
+            time.sleep(0.2)
+        return files()
+
+    release_shuffles(spark)
+    before = settled(0)
+    spark.range(0, 1000, 1, 4).repartition(3, "id").write.parquet(str(tmp_path / "rows"))
+    assert files() > before
+    release_shuffles(spark)
+    assert settled(before) <= before
