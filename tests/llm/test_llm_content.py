@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -321,3 +322,20 @@ def test_sums_of_passages_against_plain_matrices(monkeypatch):
         np.testing.assert_allclose(values, want, rtol=1e-4, atol=1e-4)
     assert len(made) == 2  # one sum over all passages, one over all features
     assert np.count_nonzero(np.array(rows), axis=0).max() > decontaminate.WIDTH
+
+
+def test_sums_of_passages_hold_little_memory():
+    """What is prepared for the small products covers some entries at a time, not all that are worked on together."""
+    rng = np.random.default_rng(7)
+    n, each = decontaminate.TOGETHER, 24
+    features = np.sort(rng.integers(0, decontaminate.FEATURES, (n, each)).astype("<u2"), axis=1)
+    part = pa.record_batch([pa.array([np.full(n, each, np.uint8).tobytes()]), pa.array([features.tobytes()]), pa.array([np.ones(n * each, np.uint8).tobytes()])], schema=decontaminate._TERMS)
+    idf, basis = rng.random(decontaminate.FEATURES) + 0.5, rng.standard_normal((decontaminate.FEATURES, decontaminate.SKETCH), np.float32)
+    tracemalloc.start()
+    try:
+        (got,) = decontaminate._sketched(idf, basis)(iter([part]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.num_rows == decontaminate.FEATURES // decontaminate._ROWS
+    assert peak < 80e6
