@@ -3,6 +3,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import ODD, SENTENCE, frame
 
@@ -157,3 +158,35 @@ def test_shuffles_of_the_latest_write_are_released(spark, tmp_path):
     assert files() > before
     release_shuffles(spark)
     assert settled(before) <= before
+
+
+def sent(texts, rule=Rule()):
+    """The pieces that blocks of one text each send, after they have exchanged their anchors."""
+    rows = [{"block": i, "ids": [i], "sizes": [len(t)], "data": suffix_buckets._squeezed(t)} for i, t in enumerate(texts)]
+    parts = [pa.RecordBatch.from_pylist([r], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])) for r in rows]
+    asked = [r for part in suffix_buckets._anchors(rule, 2)(parts) for r in part.to_pylist()]
+    met = []
+    for bucket in (0, 1):
+        own = [r for r in asked if r["bucket"] == bucket]
+        if own:
+            met += [r for part in suffix_buckets._met(rule)((pa.scalar(bucket),), iter([pa.RecordBatch.from_pylist(own, suffix_buckets._ANCHORS)])) for r in part.to_pylist()]
+    return [suffix_buckets.Runs(suffix_buckets.Block(r, rule, 2), [m for m in met if m["block"] == r["block"]]).contents for r in rows]
+
+
+def test_anchors_that_stand_among_other_bytes_are_not_sent():
+    """Of an anchor in several texts, only windows whose bytes before or behind it are shared too may repeat."""
+    rng = random.Random(11)
+    noise = lambda n: bytes(rng.randrange(33, 127) for _ in range(n))
+    short, long = noise(34), noise(50)
+    assert not any(sent([noise(200) + short + noise(200) for _ in range(40)]))
+    pieces = sent([noise(200) + long + noise(200) for _ in range(40)])
+    assert all(any(long in p for p in own) for own in pieces)
+
+
+@pytest.mark.parametrize("length", [24, 25, 37, 50, 90])
+def test_lengths_and_hot_anchors_against_all_strings(spark, length):
+    rng = random.Random(length)
+    rows = [(i, "".join(rng.choice("ab") * rng.randrange(1, 60) + str(rng.randrange(3)) for _ in range(rng.randrange(0, 14)))) for i in range(24)]
+    rows = [(i, t + ("" if i % 3 else rows[rng.randrange(24)][1])) for i, t in rows]
+    for hot in (2, 256):
+        assert cut(spark, rows, length=length, hot_blocks=hot, block_bytes=300) == plain(rows, length)
