@@ -339,3 +339,33 @@ def test_sums_of_passages_hold_little_memory():
         tracemalloc.stop()
     assert got.num_rows == decontaminate.FEATURES // decontaminate._ROWS
     assert peak < 80e6
+
+
+def test_blocks_of_windows_are_summed_as_before():
+    """Sums of up to BLOCK vectors, to the bit those of numpy's reduceat, over more blocks than one round takes."""
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal((decontaminate.FEATURES, 48)).astype(np.float32)
+    texts = [" ".join(f"w{rng.integers(9000)}" for _ in range(n)).encode() for n in (0, 1, 7, 8, 9, 64, 0, 30_001, 3)]
+    words = decontaminate.Words(texts, marks=True)
+    features = decontaminate._features(words)
+    starts = np.concatenate([np.arange(a, b, decontaminate.BLOCK) for a, b in zip(words.first[:-1], words.first[1:], strict=True)])
+    ends = np.concatenate([np.minimum(np.arange(a, b, decontaminate.BLOCK) + decontaminate.BLOCK, b) for a, b in zip(words.first[:-1], words.first[1:], strict=True)])
+    got = decontaminate.Search(decontaminate.Space(table), [], 0.6)._block_sums(features, starts, ends - starts)
+    assert np.array_equal(got, np.add.reduceat(table[features], starts, axis=0))
+
+
+def test_stretches_without_an_items_words_are_not_aligned(monkeypatch):
+    """Only stretches that hold enough of an item's words are aligned with it; what is found stays."""
+    rng = np.random.default_rng(6)
+    item = " ".join(f"i{k}" for k in range(30)) + "? answer here"
+    texts = [" ".join(f"w{rng.integers(500)}" for _ in range(600)).encode() for _ in range(3)]
+    texts.append(b" ".join([texts[0][:900], item.encode(), texts[1][:700]]))
+    words = decontaminate.Words(texts, marks=True)
+    space = decontaminate.Space(rng.standard_normal((decontaminate.FEATURES, 48)).astype(np.float32))
+    search = decontaminate.Search(space, decontaminate.read_items([(5, item)]), -1.0)  # every window is close
+    aligned, plain = [], decontaminate._ordered
+    monkeypatch.setattr(decontaminate, "_ordered", lambda hits, length: aligned.append(len(hits)) or plain(hits, length))
+    found = list(search.confirmed(words))
+    begin = len(decontaminate.Words([texts[0][:900]], marks=True).hashes)
+    assert [(f[:4]) for f in found] == [(3, 5, 1.0, 1.0)] and found[0][4:] == (begin, begin + 32)
+    assert 0 < len(aligned) <= 12
