@@ -38,6 +38,21 @@ def test_words_encode_as_whole_texts():
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_later_tasks_of_a_worker_know_the_words(spark, tmp_path):
+    """Words learned by one task are not encoded again by the next; another file under the same name is read anew."""
+    path = tmp_path / "words.json"
+    path.write_bytes(open(WORDS, "rb").read())
+    mine = token_files.word_tokenizer(str(path))
+    before = mine.encode(["some words, learned once"])[0].tolist()
+    learned = []
+    mine._learn = learned.extend
+    again = token_files.word_tokenizer(str(path))
+    assert again.encode(["once learned some words"])[0].tolist() == Tokenizer.from_file(WORDS).encode("once learned some words").ids and not learned
+    path.write_bytes(open(WORDS, "rb").read() + b"\n")
+    fresh = token_files.word_tokenizer(str(path))
+    assert fresh is not mine and fresh.encode(["some words, learned once"])[0].tolist() == before
+
+
 def test_pieces_encode_as_whole_texts(plain):
     codec = byte_bpe.Codec(RANKS, PATTERN, piece=20)
     for text in random_texts(1500, 2):
